@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from flowsieve.queries import cleaning, evaluation, sampling, sources  # noqa: F401
+    from flowsieve.queries import cleaning, evaluation, neighbors, sampling, sources  # noqa: F401
