@@ -71,11 +71,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     The copy is on reliable storage, so losing executors costs no recomputation.
+    With ``partition``, rows of one value share a folder and can be read alone.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if partition is None else df.write.partitionBy(partition)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,7 +67,7 @@ def _stored_tables(model, code: int) -> list[LeafTable]:
     nodes = raw.select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.rawCount",
                        "nodeData.leftChild", "nodeData.rightChild",
                        F.col("nodeData.split.featureIndex").alias("feature"),
-                       F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+                       F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
                        F.col("nodeData.split.numCategories").alias("categories")).toPandas()
     kind = type(model).__name__
     trees = nodes["treeID"].nunique()

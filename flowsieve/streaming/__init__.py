@@ -1,0 +1 @@
+"""No streaming operators: every stage works on bounded tables."""
