@@ -78,11 +78,11 @@ def train(slot: str, params: dict, rows: DataFrame, label_id: str, features: lis
 
 def score(model, rows: DataFrame, row_id: str, label_id: str, features: list[str]) -> DataFrame:
     """(row_id, label_id, prediction, score): score is per class, null if the model gives none."""
-    out = model.transform(assemble(rows, features))
+    ready = assemble(rows, features).select(named(row_id).alias("_id"), named(label_id).cast("int").alias("label_id"), "features")
+    out = model.transform(ready)
     scores = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
     values = vector_to_array(scores) if scores else F.lit(None).cast("array<double>")
-    return out.select(named(row_id).alias(row_id), named(label_id).cast("int").alias("label_id"),
-                      F.col("prediction").cast("int").alias("prediction"), values.alias("score"))
+    return out.select(F.col("_id").alias(row_id), "label_id", F.col("prediction").cast("int").alias("prediction"), values.alias("score"))
 
 
 def evaluate_predictions(predictions: DataFrame, digits: int | None = None) -> dict[str, DataFrame]:

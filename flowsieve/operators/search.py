@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.bounded import materialise
+from flowsieve.functions.scalar import named
 from flowsieve.operators import evaluate, models
 from flowsieve.operators.sample import chunk_number, stratified_folds
 from flowsieve.sources import store
@@ -106,7 +107,7 @@ def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slo
         total, top = rows.agg(F.count("*"), F.max(label_id)).first()
         classes = int(top) + 1
         chunks = max(1, -(-total // chunk_rows)) if chunk_rows else 1
-        folded = stratified_folds(rows.select(*columns), [row_id], label_id, folds)
+        folded = stratified_folds(rows.select(*[named(c) for c in columns]), [row_id], label_id, folds)
         stored = materialise(chunk_number(folded, [row_id], chunks), "folds", partition="chunk")
         for trial in range(start, wanted):
             point = draw_point(space, seed, trial)

@@ -59,6 +59,8 @@ def file_headers(spark: SparkSession, folder: str, recursive: bool = False) -> D
 
     def first_lines(batches):
         import csv
+        from urllib.parse import quote
+
         import pandas as pd
         from pyarrow import fs
 
@@ -66,7 +68,11 @@ def file_headers(spark: SparkSession, folder: str, recursive: bool = False) -> D
             rows = []
             for path in batch["path"]:
                 try:
-                    system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+                    local = re.match(r"file:/+(.*)", path)
+                    if local:
+                        system, name = fs.LocalFileSystem(), "/" + local.group(1)
+                    else:
+                        system, name = fs.FileSystem.from_uri(quote(path, safe="/:@"))
                     with system.open_input_stream(name) as stream:
                         head = b""
                         while b"\n" not in head:
