@@ -81,3 +81,17 @@ def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataF
     writer = df.write if partition is None else df.write.partitionBy(partition)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out partitions for iterative training if one is far above its share.
+
+    Counting rows per partition reads no columns; a table that is already even
+    is returned as it is, without a shuffle.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    loads = df.groupBy(F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_n"))
+    largest, total = loads.agg(F.max("_n"), F.sum("_n")).first()
+    if largest and largest * width > 2 * total:
+        return df.repartition(width)
+    return df

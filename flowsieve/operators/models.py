@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import materialise
+from flowsieve.functions.bounded import materialise, spread
 from flowsieve.functions.scalar import named
 from flowsieve.operators import evaluate
 from flowsieve.operators.select import assemble
@@ -71,9 +71,13 @@ def estimator(slot: str, params: dict, n_classes: int, n_features: int, seed: in
 def train(slot: str, params: dict, rows: DataFrame, label_id: str, features: list[str], n_classes: int | None = None,
           seed: int = 42):
     """Fit a slot on a table of numeric features and label codes."""
-    ready = assemble(rows.withColumn("label_id", named(label_id).cast("double")), features).select("features", "label_id")
-    classes = n_classes or int(ready.agg(F.max("label_id")).first()[0]) + 1
-    return estimator(slot, params, classes, len(features), seed).fit(ready)
+    numeric = rows.select(named(label_id).cast("double").alias("label_id"), *[named(f) for f in features])
+    ready = assemble(spread(numeric), features).select("features", "label_id").persist()
+    try:
+        classes = n_classes or int(ready.agg(F.max("label_id")).first()[0]) + 1
+        return estimator(slot, params, classes, len(features), seed).fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def score(model, rows: DataFrame, row_id: str, label_id: str, features: list[str]) -> DataFrame:

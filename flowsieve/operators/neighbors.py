@@ -26,11 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.bounded import join_on, materialise, small_arrow, small_table
+from flowsieve.functions.bounded import SMALL_ROWS, materialise, small_arrow, small_table
 from flowsieve.functions.scalar import hash_key, hash_modulo, named
+from flowsieve.operators.sample import first_rows
 
 BLOCK_ROWS = 2048      # units a task compares with at once
-MAX_PIVOTS = 4096      # over all classes; bounds what every task holds
+MAX_PIVOTS = 65_536    # over all classes
+PIVOT_BYTES = 64 << 20 # with the line above, bounds what every task holds
 VISIT_ROWS = 4096      # visiting units a task handles per block
 SLACK = 2e-9           # twice the rounding step of distances
 
@@ -93,42 +95,62 @@ def _unpack(pdf):
 
 
 class _Cells:
-    """Pivots with the class, size and radii of their cells; bounded by MAX_PIVOTS."""
+    """Pivots with the class, size and radii of their cells; bounded by PIVOT_BYTES.
+
+    Squared distances come from matrix products.  ``error`` bounds their rounding
+    and is taken off every bound, so pruning stays exact.
+    """
 
     def __init__(self, classes, matrix):
         self.classes, self.matrix = classes, matrix
+        self.centre = matrix.mean(axis=0)
+        self.moved = matrix - self.centre
+        self.norms = np.einsum("ij,ij->i", self.moved, self.moved)
+        self.members = {c: np.nonzero(classes == c)[0] for c in set(classes)}
         self.size = self.low = self.high = self.blocks = None
 
-    def of(self, cls):
-        return np.nonzero(self.classes == cls)[0]
-
-    def distances(self, vectors, cells):
-        gaps = np.empty((len(vectors), len(cells)))
-        step = max(1, 2_000_000 // max(1, len(cells) * vectors.shape[1]))
+    def squares(self, vectors, cells):
+        """Squared distances to the pivots of ``cells`` and the bound of their error."""
+        x = vectors - self.centre
+        norms = np.einsum("ij,ij->i", x, x)
+        square = np.maximum(norms[:, None] + self.norms[cells][None, :] - 2.0 * (x @ self.moved[cells].T), 0.0)
+        return square, 4e-15 * (x.shape[1] + 4) * (norms.max() + self.norms[cells].max())
+
+    def nearest(self, vectors, cls):
+        """Cell and radius of every row of one class."""
+        cells = self.members[cls]
+        cell, radius = np.empty(len(vectors), dtype=np.int32), np.empty(len(vectors))
+        step = max(1, 4_000_000 // len(cells))
         for s in range(0, len(vectors), step):
-            diff = vectors[s:s + step, None, :] - self.matrix[cells][None, :, :]
-            gaps[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-        return gaps
-
-    def bounds(self, vectors, own, ids_needed):
-        """For rows of cell ``own``: distance bound and the cells that may hold closer rows."""
-        cells = self.of(self.classes[own])
-        gap = self.distances(vectors, cells)
-        far = gap + self.high[cells]
-        order = np.argsort(far, axis=1)
-        reached = np.cumsum(self.size[cells][order], axis=1) >= ids_needed
-        first = np.argmax(reached, axis=1)
-        rows = np.arange(len(vectors))
-        enough = reached[rows, first]
-        upper = np.where(enough, far[rows, order[rows, first]], np.inf)
-        mine = np.nonzero(cells == own)[0][0]
+            best = self.squares(vectors[s:s + step], cells)[0].argmin(axis=1)
+            cell[s:s + step] = cells[best]
+            gaps = vectors[s:s + step] - self.matrix[cells[best]]
+            radius[s:s + step] = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
+        return cell, radius
+
+    def visits(self, vectors, own, reach, ids_needed):
+        """(row, cell, reach) of all cells that may hold rows within reach of a row of cell ``own``."""
+        cells = self.members[self.classes[own]]
+        size, low, high = self.size[cells], self.low[cells], self.high[cells]
         between = np.linalg.norm(self.matrix[cells] - self.matrix[own], axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (gap ** 2 - gap[:, [mine]] ** 2) / (2 * between)
-        plane[:, mine] = 0.0
-        plane = np.nan_to_num(plane, nan=0.0, posinf=0.0, neginf=0.0)
-        lower = np.maximum.reduce([np.zeros_like(gap), gap - self.high[cells], self.low[cells] - gap, plane])
-        return cells, upper, lower * (1 - 1e-9)
+        mine = np.nonzero(cells == own)[0][0]
+        step = max(1, 2_000_000 // len(cells))
+        found = []
+        for s in range(0, len(vectors), step):
+            square, error = self.squares(vectors[s:s + step], cells)
+            gap, margin = np.sqrt(square), np.sqrt(error)
+            far = gap + high + margin
+            bound = np.minimum(reach[s:s + step], np.where(size >= ids_needed, far, np.inf).min(axis=1))
+            if len(cells) >= ids_needed:
+                bound = np.minimum(bound, np.partition(far, ids_needed - 1, axis=1)[:, ids_needed - 1])
+            lower = np.maximum(gap - high, low - gap) - margin
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (square - square[:, [mine]] - 4 * error) / (2 * between)
+            plane[:, between == 0] = -np.inf
+            lower = np.maximum(lower, plane)
+            row, cell = np.nonzero((lower * (1 - 1e-12) <= bound[:, None] + SLACK) & (size > 0))
+            found.append((row + s, cells[cell], bound[row]))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k: int, within: str | None = None,
@@ -144,8 +166,8 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
     vec = (named(features) if isinstance(features, str) else F.array(*[named(f) for f in features])).cast("array<double>")
     cls = named(within).cast("string") if within else F.lit("")
     payload = named(label).cast("string") if label else F.lit("")
-    base = materialise(df.select(named(row_id).alias("id"), F.coalesce(cls, F.lit("")).alias("cls"),
-                                 vec.alias("vec"), F.coalesce(payload, F.lit("")).alias("label")), "points")
+    base = df.select(named(row_id).alias("id"), F.coalesce(cls, F.lit("")).alias("cls"), vec.alias("vec"),
+                     F.coalesce(payload, F.lit("")).alias("label"))
     units = materialise(_fold_copies(base, k), "units")
     id_type = base.schema["id"].dataType.simpleString()
 
@@ -195,19 +217,21 @@ def _copies(base: DataFrame, units: DataFrame, k: int, vectors: bool) -> DataFra
 
 
 def _choose_pivots(units: DataFrame, block_rows: int, max_pivots: int) -> _Cells:
-    """One pivot per block of units, sampled by hash; shared out when over the maximum."""
-    counts = units.groupBy("cls").agg(F.count("*").alias("n"))
-    total = units.count()
-    if total == 0:
-        return _Cells(np.empty(0, dtype=object), np.empty((0, 1)))
-    share = F.ceil(F.col("n") / F.lit(float(block_rows)))
-    fair = F.ceil(F.col("n") * F.lit(max_pivots / total))
-    wanted = small_table(counts.withColumn("_wanted", F.least(share, fair)).drop("n"))
-    place = F.row_number().over(W.partitionBy("cls").orderBy(hash_key("pivot", "_first")))
-    ranked = (units.withColumn("_first", F.col("ids")[0]).withColumn("_place", place)
-              .filter(F.col("_place") <= max_pivots))
-    chosen = join_on(ranked, wanted, ["cls"]).filter(F.col("_place") <= F.col("_wanted")).select("cls", "vec")
-    fetched = small_arrow(chosen, 16 * max_pivots)
+    """One pivot per block of units, taken by hash; shared out when over the maximum."""
+    first = units.head(1)
+    if not first:
+        return _Cells(np.empty(0, dtype=object), np.zeros((1, 1)))
+    limit = max(1, min(max_pivots, PIVOT_BYTES // (8 * max(1, len(first[0]["vec"])))))
+
+    def shares(counts):
+        total = F.sum("n").over(W.partitionBy())  # one row per class
+        share = F.ceil(F.col("n") / F.lit(float(block_rows)))
+        fair = F.ceil(F.col("n") * F.lit(float(limit)) / total)
+        return counts.withColumn("slot", F.lit(0)).withColumn("rank", F.least(share, fair).cast("bigint"))
+
+    keyed = units.select("cls", "vec", F.col("ids")[0].alias("_first"))
+    chosen = first_rows(keyed, ["_first"], "pivot", ["cls"], shares).select("cls", "vec")
+    fetched = small_arrow(chosen, 2 * limit + SMALL_ROWS)
     if fetched is None:
         raise ValueError("too many classes for a neighbour search")
     return _Cells(np.array(fetched.column("cls").to_pylist(), dtype=object),
@@ -219,19 +243,17 @@ def _assign_cells(units: DataFrame, cells: _Cells, block_rows: int) -> DataFrame
     schema = T.StructType([*units.schema.fields, T.StructField("uid", units.schema["ids"].dataType.elementType),
                            T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
 
+    shared = units.sparkSession.sparkContext.broadcast(cells)
+
     def nearest_pivot(batches):
+        pivots = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue
             vecs = np.stack(pdf["vec"].to_numpy())
-            cell = np.empty(len(pdf), dtype=np.int32)
-            radius = np.empty(len(pdf))
-            for c in pdf["cls"].unique():
-                rows = np.nonzero(pdf["cls"].to_numpy() == c)[0]
-                options = cells.of(c)
-                gap = cells.distances(vecs[rows], options)
-                best = gap.argmin(axis=1)
-                cell[rows], radius[rows] = options[best], gap[np.arange(len(rows)), best]
+            cell, radius = np.empty(len(pdf), dtype=np.int32), np.empty(len(pdf))
+            for c, rows in pdf.groupby("cls").indices.items():
+                cell[rows], radius[rows] = pivots.nearest(vecs[rows], c)
             yield pdf.assign(uid=pdf["ids"].map(lambda v: v[0]), cell=cell, radius=radius)
 
     assigned = materialise(units.mapInPandas(nearest_pivot, schema), "cells")
@@ -248,7 +270,7 @@ def _assign_cells(units: DataFrame, cells: _Cells, block_rows: int) -> DataFrame
 
 
 def _cell_numbers(df: DataFrame, key: str, numbers, column: str) -> DataFrame:
-    """Attach a per-cell number from a table of at most MAX_PIVOTS-odd entries."""
+    """Attach a per-cell number from a table with one entry per pivot."""
     listed = pd.DataFrame({"_cell": np.arange(len(numbers), dtype=np.int32), column: numbers.astype(np.int64)})
     right = F.broadcast(df.sparkSession.createDataFrame(listed, f"_cell int, {column} bigint"))
     return df.join(right, df[key] == right["_cell"]).drop("_cell")
@@ -258,7 +280,7 @@ def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, visit_rows
     """(uid, dist, nid, nlabel) candidates from all blocks that may matter."""
     count = k + 1
     flat = f"uid {id_type}, dist double, nid {id_type}, nlabel string"
-    multiple = bool((cells.blocks > 1).any() or any((cells.classes == c).sum() > 1 for c in set(cells.classes)))
+    multiple = bool((cells.blocks > 1).any() or any(len(m) > 1 for m in cells.members.values()))
 
     def own_block(pdf):
         matrix, ids, labels, ranks, offsets = _unpack(pdf)
@@ -274,18 +296,19 @@ def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, visit_rows
     bound = F.when(F.col("n") >= count, F.col("dist")).otherwise(F.lit(float("inf")))
     queries = assigned.select("uid", "vec", "cell", "block").join(reach.select("uid", bound.alias("reach")), "uid")
 
+    shared = assigned.sparkSession.sparkContext.broadcast(cells)
+
     def plan_visits(batches):
+        pivots = shared.value
         for pdf in batches:
             parts = []
             for own, rows in pdf.groupby("cell").indices.items():
                 vecs = np.stack(pdf["vec"].to_numpy()[rows])
-                options, upper, lower = cells.bounds(vecs, own, count)
-                reach = np.minimum(pdf["reach"].to_numpy()[rows], upper)
-                q, c = np.nonzero((lower <= (reach + SLACK)[:, None]) & (cells.size[options] > 0)[None, :])
-                alone = (options[c] == own) & (cells.blocks[options[c]] == 1)
-                q, c = q[~alone], c[~alone]
+                q, c, reach = pivots.visits(vecs, own, pdf["reach"].to_numpy()[rows], count)
+                others = (c != own) | (pivots.blocks[c] > 1)
+                q, c, reach = q[others], c[others], reach[others]
                 part = pdf.iloc[rows[q]][["uid", "vec", "block"]].copy()
-                part["home"], part["cell"], part["reach"] = np.int32(own), options[c].astype(np.int32), reach[q]
+                part["home"], part["cell"], part["reach"] = np.int32(own), c.astype(np.int32), reach
                 parts.append(part)
             if parts:
                 yield pd.concat(parts)[["uid", "vec", "block", "home", "cell", "reach"]]

@@ -1,12 +1,11 @@
 """Reproducible sampling and splitting with exact counts.
 
 Rows are ordered by an md5 key of their id.  "The first n rows of a class" is
-then a filter ``key <= cut`` once the key at rank n is known, and that cut is
-found from a histogram of key prefixes: count rows per (class, prefix), find
-the prefix holding rank n, and rank only the rows inside it.  The flow table is
-scanned for two columns and never shuffled or sorted, however large its largest
-class is.  Ids have to be unique; rows with equal ids share a key and stay
-together.
+then a filter ``key <= cut`` once the key at rank n is known.  To find it, a
+class of many rows is narrowed by histograms of key prefixes until few rows
+remain, and only those are ranked.  The flow table is scanned for two columns
+and never shuffled or sorted, however large its largest class is.  Ids have to
+be unique; rows with equal ids share a key and stay together.
 """
 
 from __future__ import annotations
@@ -20,12 +19,15 @@ from pyspark.sql import functions as F
 from flowsieve.functions.bounded import join_on, local_table, small_arrow, small_table
 from flowsieve.functions.scalar import hash_key, hash_modulo, named
 
-# Hex digits added per histogram level (4096 prefixes) and the number of rows a
-# single prefix may hold before it is refined by another level.
+# Hex digits added per histogram level (4096 prefixes) and the number of rows of
+# a group, or of one prefix of it, that are ranked without another level.
 PREFIX_DIGITS = 3
-RANKED_ROWS = 500_000
+RANKED_ROWS = 20_000
 KEY_DIGITS = 32
 
+# Sources sampled one by one; more of them are pooled by hash.
+MAX_SOURCES = 4_096
+
 QuotaFn = Callable[[DataFrame], DataFrame]
 
 
@@ -37,68 +39,59 @@ def rank_cuts(keyed: DataFrame, groups: list[str], quotas: QuotaFn,
     counts (groups, ``n``) to rows (groups, ``slot``, ``rank``).  Returns
     (groups, ``slot``, ``cut``); rank 0 gives the empty cut, which no key reaches.
     """
-    digits = PREFIX_DIGITS
-    histogram = (keyed.groupBy(*groups, F.substring("_key", 1, digits).alias("_prefix"))
-                 .agg(F.count("*").alias("_n")))
-    counts = histogram.groupBy(*groups).agg(F.sum("_n").alias("n"))
-    targets = quotas(counts).select(*groups, "slot", "rank")
-    located, biggest = _settled(_locate(histogram, targets, groups))
+    counts = keyed.groupBy(*groups).agg(F.count("*").alias("n"))
+    start = quotas(counts).select(*groups, "slot", F.lit("").alias("_prefix"), F.col("n").alias("_n"),
+                                  F.col("rank").cast("bigint").alias("_rank"))
+    located, biggest, small = _settled(start)
+    digits = 0
     while biggest > ranked_rows and digits < KEY_DIGITS:
+        wide = located.filter((F.col("_n") > ranked_rows) & (F.col("_rank") > 0))
         finer = digits + PREFIX_DIGITS
-        inside = _inside(keyed, located, groups, digits)
+        inside = _inside(keyed, wide, groups, small)
         histogram = (inside.groupBy(*groups, "_prefix", F.substring("_key", 1, finer).alias("_finer"))
                      .agg(F.count("*").alias("_n")))
-        located, biggest = _settled(_refine(histogram, located, groups))
+        narrow = located.filter((F.col("_n") <= ranked_rows) | (F.col("_rank") <= 0))
+        located, biggest, small = _settled(narrow.unionByName(_refine(histogram, wide, groups)))
         digits = finer
-    inside = _inside(keyed, located, groups, digits)
     order = W.partitionBy(*groups, "_prefix").orderBy("_key")
-    ranked = inside.withColumn("_rank", F.row_number().over(order).cast("bigint"))
+    ranked = (_inside(keyed, located.filter(F.col("_rank") > 0), groups, small)
+              .withColumn("_rank", F.row_number().over(order).cast("bigint")))
     cuts = join_on(located, ranked, [*groups, "_prefix", "_rank"], "left")
     return cuts.select(*groups, "slot", F.coalesce("_key", F.lit("")).alias("cut"))
 
 
-def _settled(located: DataFrame) -> tuple[DataFrame, int]:
-    """Materialise located prefixes; also the row count of the largest one."""
+def _settled(located: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Materialise located prefixes; also the largest row count and whether the table is small."""
     fetched = small_arrow(located)
     if fetched is None:
-        return located, located.agg(F.max("_n")).first()[0] or 0
-    return (local_table(located.sparkSession, fetched, located.schema),
-            max(fetched.column("_n").to_pylist(), default=0))
-
-
-def _locate(histogram: DataFrame, targets: DataFrame, groups: list[str]) -> DataFrame:
-    """Prefix and remaining rank inside it for every target rank.
-
-    Rank 0 stays at the first prefix with remaining rank 0, which matches no row.
-    """
-    upto = F.sum("_n").over(W.partitionBy(*groups).orderBy("_prefix")
-                            .rowsBetween(W.unboundedPreceding, 0))
-    hit = join_on(histogram.withColumn("_upto", upto), targets, groups)
-    found = (F.col("_upto") - F.col("_n") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
-    none = (F.col("rank") <= 0) & (F.col("_upto") == F.col("_n"))
-    return (hit.filter(found | none).select(*groups, "slot", "_prefix", "_n",
-                    F.when(none, 0).otherwise(F.col("rank") - F.col("_upto") + F.col("_n"))
-                    .cast("bigint").alias("_rank")))
+        wanted = located.filter(F.col("_rank") > 0)
+        return located, wanted.agg(F.max("_n")).first()[0] or 0, False
+    sizes = [n for n, rank in zip(fetched["_n"].to_pylist(), fetched["_rank"].to_pylist()) if rank > 0]
+    return local_table(located.sparkSession, fetched, located.schema), max(sizes, default=0), True
 
 
 def _refine(histogram: DataFrame, located: DataFrame, groups: list[str]) -> DataFrame:
-    """One more level: from a located prefix to a longer one."""
+    """One more level: from a located prefix to a longer one holding the rank."""
     upto = F.sum("_n").over(W.partitionBy(*groups, "_prefix").orderBy("_finer")
                             .rowsBetween(W.unboundedPreceding, 0))
     keys = [*groups, "_prefix"]
     hit = join_on(histogram.withColumn("_upto", upto), located.drop("_n"), keys)
-    found = (F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
-    none = (F.col("_rank") <= 0) & (F.col("_upto") == F.col("_n"))
-    return (hit.filter(found | none)
+    before = F.col("_upto") - F.col("_n")
+    return (hit.filter((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
             .select(*groups, "slot", F.col("_finer").alias("_prefix"), "_n",
-                    F.when(none, 0).otherwise(F.col("_rank") - F.col("_upto") + F.col("_n"))
-                    .cast("bigint").alias("_rank")))
+                    (F.col("_rank") - before).cast("bigint").alias("_rank")))
 
 
-def _inside(keyed: DataFrame, located: DataFrame, groups: list[str], digits: int) -> DataFrame:
-    """Rows whose key starts with a located prefix (semi-join, big side in place)."""
-    prefixed = keyed.withColumn("_prefix", F.substring("_key", 1, digits))
-    return join_on(prefixed, located.select(*groups, "_prefix"), [*groups, "_prefix"], "left_semi")
+def _inside(keyed: DataFrame, located: DataFrame, groups: list[str], small: bool) -> DataFrame:
+    """Rows under a located prefix, with that prefix.
+
+    Prefixes of one group may differ in length, so each row looks up its group's
+    prefixes in a table of a few entries per group.
+    """
+    wanted = located.groupBy(*groups).agg(F.collect_set("_prefix").alias("_prefixes"))
+    wanted = F.broadcast(wanted) if small else wanted
+    own = F.filter("_prefixes", lambda p: F.col("_key").startswith(p))
+    return (join_on(keyed, wanted, groups).withColumn("_prefix", F.explode(own)).drop("_prefixes"))
 
 
 def take_slots(df: DataFrame, ids: list[str], seed: int | str, groups: list[str],
@@ -226,13 +219,20 @@ def thin_common(df: DataFrame, ids: list[str], source: str | None, label: str, r
     """Keep all rare-class rows and an exact fraction of the others per source file.
 
     The fraction of n rows is rounded half to even.  Null labels count as common.
+    Beyond ``MAX_SOURCES`` files, files are pooled by hash and the fraction is
+    exact per pool, so the table of cuts stays small.
     """
     is_rare = F.coalesce(named(label).isin(list(rare)), F.lit(False))
     flagged = df.withColumn("_rare", is_rare)
-    groups = ["_rare"] + ([source] if source else [])
+    groups = ["_rare"]
+    if source:
+        many = df.select(named(source)).distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES
+        pool = F.pmod(F.xxhash64(named(source)), F.lit(MAX_SOURCES)).cast("string") if many else named(source)
+        flagged = flagged.withColumn("_source", pool)
+        groups.append("_source")
     part = F.bround(F.lit(float(fraction)) * F.col("n"))
     kept = first_rows(flagged, ids, seed, groups, single_quota(F.when(F.col("_rare"), F.col("n")).otherwise(part)))
-    return kept.drop("_rare")
+    return kept.drop("_rare", "_source")
 
 
 def thin_common_fast(df: DataFrame, ids: list[str], label: str, rare: list[str],

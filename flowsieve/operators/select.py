@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowsieve.functions.bounded import spread
 from flowsieve.functions.scalar import named
 
 # Features kept, and trees, depth and row share of the ranking forest.
@@ -29,8 +30,12 @@ def rank_features(df: DataFrame, label_id: str, features: list[str], trees: int
     """(rank, feature, importance) from a regression forest on the label code."""
     forest = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, maxBins=32,
                                    subsamplingRate=row_share, featureSubsetStrategy="all", seed=seed)
-    rows = assemble(df.withColumn("_y", named(label_id).cast("double")), features).select("features", "_y")
-    weights = forest.fit(rows).featureImportances.toArray()
+    rows = assemble(spread(df.select(named(label_id).cast("double").alias("_y"), *[named(f) for f in features])),
+                    features).select("features", "_y").persist()
+    try:
+        weights = forest.fit(rows).featureImportances.toArray()
+    finally:
+        rows.unpersist()
     scored = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, weights)],
                                              "feature string, importance double")
     # One row per feature.
