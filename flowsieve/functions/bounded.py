@@ -67,8 +67,13 @@ def work_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{work_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, inside one folder per application.
+
+    Intermediate tables outlive the query that reads them; drop the folder
+    ``flowsieve-<application id>`` once an application's results are stored.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{work_root(spark).rstrip('/')}/flowsieve-{application}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:

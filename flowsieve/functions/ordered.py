@@ -23,12 +23,13 @@ def with_ranges(df: DataFrame, order: str, rows: int | None = None, range_rows:
     """Add ``_range``: ascending value ranges of ``order`` with bounded row counts.
 
     ``df`` should be stored, as it is read again for the quantiles when large.
-    Equal values share a range, so ``order`` must not repeat without bound.
+    Equal values share a range, so ``order`` must not repeat without bound.  A
+    table that fits one range comes back without the column.
     """
     rows = df.count() if rows is None else rows
     parts = -(-rows // range_rows)
     if parts <= 1:
-        return df.withColumn(RANGE, F.lit(0.0))
+        return df
     steps = [i / parts for i in range(1, parts)]
     inner = sorted(set(df.approxQuantile(order, steps, 1.0 / (4 * parts))))
     splits = [float("-inf"), *[s for s in inner if abs(s) != float("inf")], float("inf")]
@@ -39,11 +40,14 @@ def running_before(df: DataFrame, groups: list[str], order: str, sums: list[str]
                    descending: bool = False) -> DataFrame:
     """Add ``<c>_before`` for each column in ``sums``: its total over earlier rows.
 
-    ``df`` carries ``_range``; ``order`` is unique inside a group.
+    ``df`` comes from ``with_ranges``; ``order`` is unique inside a group.
     """
     def direction(name):
         return F.col(name).desc() if descending else F.col(name)
 
+    if RANGE not in df.columns:
+        whole = W.partitionBy(*groups).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({f"{c}_before": F.sum(c).over(whole) - F.col(c) for c in sums})
     inside = W.partitionBy(*groups, RANGE).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
     across = W.partitionBy(*groups).orderBy(direction(RANGE)).rowsBetween(W.unboundedPreceding, 0)
     totals = df.groupBy(*groups, RANGE).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
@@ -60,6 +64,9 @@ def with_next(df: DataFrame, groups: list[str], order: str, columns: list[str],
     def direction(name):
         return F.col(name).desc() if descending else F.col(name)
 
+    if RANGE not in df.columns:
+        whole = W.partitionBy(*groups).orderBy(direction(order))
+        return df.withColumns({f"next_{c}": F.lead(c).over(whole) for c in columns})
     inside = W.partitionBy(*groups, RANGE).orderBy(direction(order))
     across = W.partitionBy(*groups).orderBy(direction(RANGE))
     pick = F.max_by if descending else F.min_by
