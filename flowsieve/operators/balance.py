@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import SMALL_ROWS, join_on, small_rows, small_table
+from flowsieve.functions.bounded import SMALL_ROWS, join_on, materialise, small_rows, small_table
 from flowsieve.functions.scalar import hash_key, hash_modulo, named, unit_interval
 from flowsieve.operators.clean import class_histogram
 from flowsieve.operators.neighbors import nearest_neighbors
@@ -81,23 +81,28 @@ def oversample(df: DataFrame, row_id: str, label: str, features: list[str], k: i
     return originals.unionByName(synthetic)
 
 
+def _with_agreement(df: DataFrame, row_id: str, label: str, features: list[str] | str, k: int) -> DataFrame:
+    """All columns plus n_neighbors and n_same; one join on the row id."""
+    owned = df.withColumn("_own", F.coalesce(named(label).cast("string"), F.lit("")))
+    near = nearest_neighbors(owned, row_id, features, k, label="_own")
+    same = F.size(F.filter("neighbors", lambda e: e["label"] == F.col("_own")))
+    return (owned.join(near, row_id).withColumn("n_neighbors", F.size("neighbors")).withColumn("n_same", same)
+            .drop("_own", "neighbors"))
+
+
 def neighbor_agreement(df: DataFrame, row_id: str, label: str, features: list[str] | str, k: int = 3) -> DataFrame:
     """(row_id, label, n_neighbors, n_same): how many of the k nearest share the class."""
-    near = nearest_neighbors(df.withColumn("_own", named(label).cast("string")), row_id, features, k, label="_own")
-    same = F.size(F.filter("neighbors", lambda e: e["label"] == F.col("_own")))
-    joined = df.select(row_id, named(label).alias(label), F.coalesce(named(label).cast("string"), F.lit("")).alias("_own")).join(near, row_id)
-    return joined.select(row_id, label, F.size("neighbors").alias("n_neighbors"), same.alias("n_same"))
+    return _with_agreement(df, row_id, label, features, k).select(row_id, label, "n_neighbors", "n_same")
 
 
 def edit_neighbors(df: DataFrame, row_id: str, label: str, features: list[str] | str, k: int = 3) -> DataFrame:
     """Drop every row whose k nearest neighbours do not all share its class."""
-    agreed = neighbor_agreement(df, row_id, label, features, k).filter(F.col("n_same") == F.col("n_neighbors"))
-    return df.join(agreed.select(row_id), row_id, "left_semi")
+    agreed = _with_agreement(df, row_id, label, features, k).filter(F.col("n_same") == F.col("n_neighbors"))
+    return agreed.select(*[named(c) for c in df.columns])
 
 
 def oversample_and_edit(df: DataFrame, row_id: str, label: str, features: list[str], k: int = 5,
                         edit_k: int = 3, seed: int = 42) -> DataFrame:
     """Oversample all classes, then edit the result."""
-    from flowsieve.functions.bounded import materialise
     grown = materialise(oversample(df, row_id, label, features, k, seed), "grown")
     return edit_neighbors(grown, row_id, label, features, edit_k)

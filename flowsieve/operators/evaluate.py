@@ -20,8 +20,12 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def confusion_counts(df: DataFrame, truth: str, predicted: str, groups: list[str] = ()) -> DataFrame:
-    """(groups, y, pred, n) of the pairs that occur."""
-    return df.groupBy(*groups, named(truth).alias("y"), named(predicted).alias("pred")).agg(F.count("*").alias("n"))
+    """(groups, y, pred, n) of the pairs that occur.
+
+    Counted once: the small result feeds every metric without another scan.
+    """
+    return small_table(df.groupBy(*groups, named(truth).alias("y"), named(predicted).alias("pred"))
+                       .agg(F.count("*").alias("n")))
 
 
 def confusion_matrix(counts: DataFrame, groups: list[str] = ()) -> DataFrame:

@@ -240,9 +240,10 @@ def representatives(df: DataFrame, row_id: str, label: str, features: list[str])
     joined = join_on(df.select(row_id, label, *[named(f) for f in features]), small_table(centres), [label])
     square = sum(((named(f) - named(f"_c_{f}")) * (named(f) - named(f"_c_{f}")) for f in features), F.lit(0.0))
     placed = joined.select(row_id, label, F.round(F.sqrt(square), 9).alias("dist"))
-    best = F.min(F.struct("dist", row_id)).alias("_best")
-    return placed.groupBy(named(label).alias(label)).agg(best).select(
-        label, F.col("_best")[row_id].alias(row_id), F.col("_best")["dist"].alias("dist"))
+    # Two hash aggregates instead of the minimum of a pair, which would sort all rows.
+    closest = small_table(placed.groupBy(named(label).alias(label)).agg(F.min("dist").alias("_least")))
+    ties = join_on(placed, closest, [label]).filter(F.col("dist") == F.col("_least"))
+    return ties.groupBy(named(label).alias(label)).agg(F.min(row_id).alias(row_id), F.min("dist").alias("dist"))
 
 
 def class_coverage(rows: DataFrame, sample: DataFrame, label: str) -> DataFrame:

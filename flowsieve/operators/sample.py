@@ -24,6 +24,7 @@ from flowsieve.functions.scalar import hash_key, hash_modulo, named
 PREFIX_DIGITS = 3
 RANKED_ROWS = 20_000
 KEY_DIGITS = 32
+ALL_ROWS = "g"
 
 # Sources sampled one by one; more of them are pooled by hash.
 MAX_SOURCES = 4_096
@@ -37,11 +38,15 @@ def rank_cuts(keyed: DataFrame, groups: list[str], quotas: QuotaFn,
 
     ``keyed`` has the group columns and ``_key``.  ``quotas`` maps the group
     counts (groups, ``n``) to rows (groups, ``slot``, ``rank``).  Returns
-    (groups, ``slot``, ``cut``); rank 0 gives the empty cut, which no key reaches.
+    (groups, ``slot``, ``cut``).  Rank 0 gives the empty cut, which no key reaches,
+    and a rank of all rows the cut "g", which no hex key exceeds; neither is
+    searched for.
     """
     counts = keyed.groupBy(*groups).agg(F.count("*").alias("n"))
+    rank, every = F.col("rank").cast("bigint"), F.col("rank") >= F.col("n")
     start = quotas(counts).select(*groups, "slot", F.lit("").alias("_prefix"), F.col("n").alias("_n"),
-                                  F.col("rank").cast("bigint").alias("_rank"))
+                                  F.when(every, 0).otherwise(rank).alias("_rank"),
+                                  F.when(every, ALL_ROWS).otherwise("").alias("_cut"))
     located, biggest, small = _settled(start)
     digits = 0
     while biggest > ranked_rows and digits < KEY_DIGITS:
@@ -57,7 +62,7 @@ def rank_cuts(keyed: DataFrame, groups: list[str], quotas: QuotaFn,
     ranked = (_inside(keyed, located.filter(F.col("_rank") > 0), groups, small)
               .withColumn("_rank", F.row_number().over(order).cast("bigint")))
     cuts = join_on(located, ranked, [*groups, "_prefix", "_rank"], "left")
-    return cuts.select(*groups, "slot", F.coalesce("_key", F.lit("")).alias("cut"))
+    return cuts.select(*groups, "slot", F.coalesce("_key", "_cut").alias("cut"))
 
 
 def _settled(located: DataFrame) -> tuple[DataFrame, int, bool]:
@@ -79,7 +84,7 @@ def _refine(histogram: DataFrame, located: DataFrame, groups: list[str]) -> Data
     before = F.col("_upto") - F.col("_n")
     return (hit.filter((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
             .select(*groups, "slot", F.col("_finer").alias("_prefix"), "_n",
-                    (F.col("_rank") - before).cast("bigint").alias("_rank")))
+                    (F.col("_rank") - before).cast("bigint").alias("_rank"), "_cut"))
 
 
 def _inside(keyed: DataFrame, located: DataFrame, groups: list[str], small: bool) -> DataFrame:
@@ -95,8 +100,8 @@ def _inside(keyed: DataFrame, located: DataFrame, groups: list[str], small: bool
 
 
 def take_slots(df: DataFrame, ids: list[str], seed: int | str, groups: list[str],
-               quotas: QuotaFn, slot: str, ranked_rows: int = RANKED_ROWS) -> DataFrame:
-    """Add ``slot``: the number of cuts of the row's group its key lies beyond.
+               quotas: QuotaFn, slot: str, ranked_rows: int = RANKED_ROWS, slots: int = 1) -> DataFrame:
+    """Add ``slot``: the number of the ``slots`` cuts of its group a row's key lies beyond.
 
     Slot 0 holds the first ``rank`` rows of the first quota, slot 1 those up to
     the second, and so on.
@@ -112,7 +117,7 @@ def take_slots(df: DataFrame, ids: list[str], seed: int | str, groups: list[str]
     table = small_table(cuts.groupBy(*groups).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("slot", "cut"))), lambda s: s["cut"]).alias("_cuts")))
     joined = join_on(df.withColumn("_key", hash_key(seed, *ids)), table, groups, "left")
-    beyond = F.size(F.filter("_cuts", lambda cut: F.col("_key") > cut))
+    beyond = sum((F.when(F.col("_key") > F.get("_cuts", F.lit(i)), 1).otherwise(0) for i in range(slots)), F.lit(0))
     return joined.withColumn(slot, beyond).drop("_key", "_cuts")
 
 
@@ -246,7 +251,7 @@ def thin_common_fast(df: DataFrame, ids: list[str], label: str, rare: list[str],
 def stratified_folds(df: DataFrame, ids: list[str], label: str, folds: int = 3,
                      seed: int = 42, column: str = "fold") -> DataFrame:
     """Assign each row to one of ``folds`` folds, keeping class shares."""
-    return take_slots(df, ids, seed, [label], fold_quota([label], folds), column)
+    return take_slots(df, ids, seed, [label], fold_quota([label], folds), column, slots=folds - 1)
 
 
 def chunk_number(df: DataFrame, ids: list[str], chunks: int, seed: int | str = "chunk",
