@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.bounded import materialise, spread
 from flowsieve.functions.scalar import named
 from flowsieve.operators import evaluate
-from flowsieve.operators.select import assemble
+from flowsieve.operators.select import STATISTICS_MB, assemble
 
 SLOTS = ("forest", "boost_depth", "boost_leaves", "boost_bins")
 
@@ -40,7 +40,8 @@ IGNORED_PARAMS = ("l2_leaf_reg",)
 
 def estimator(slot: str, params: dict, n_classes: int, n_features: int, seed: int = 42, parallelism: int = 4):
     """A Spark ML estimator for a slot from parameters of its search space."""
-    common = {"featuresCol": "features", "labelCol": "label_id", "maxBins": MAX_BINS, "seed": seed}
+    common = {"featuresCol": "features", "labelCol": "label_id", "maxBins": MAX_BINS, "seed": seed,
+              "maxMemoryInMB": STATISTICS_MB}
     depth = int(params.get("max_depth", params.get("depth", 6 if "num_leaves" not in params else DEPTH_LIMIT)))
     if "num_leaves" in params:
         depth = min(depth, math.ceil(math.log2(params["num_leaves"])))

@@ -17,6 +17,9 @@ RANK_TREES = 30
 RANK_DEPTH = 10
 RANK_ROWS = 0.1
 
+# Split statistics a task may hold; more means fewer passes per tree level.
+STATISTICS_MB = 512
+
 
 def assemble(df: DataFrame, features: list[str], column: str = "features") -> DataFrame:
     """Feature columns as one vector, under plain names Spark ML accepts."""
@@ -29,7 +32,8 @@ def rank_features(df: DataFrame, label_id: str, features: list[str], trees: int
                   row_share: float = RANK_ROWS, seed: int = 42) -> DataFrame:
     """(rank, feature, importance) from a regression forest on the label code."""
     forest = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, maxBins=32,
-                                   subsamplingRate=row_share, featureSubsetStrategy="all", seed=seed)
+                                   subsamplingRate=row_share, featureSubsetStrategy="all",
+                                   maxMemoryInMB=STATISTICS_MB, seed=seed)
     rows = assemble(spread(df.select(named(label_id).cast("double").alias("_y"), *[named(f) for f in features])),
                     features).select("features", "_y").persist()
     try:
