@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from flowsieve.functions.bounded import join_on, small_table, work_path
 from flowsieve.functions.scalar import named
+from flowsieve.functions.shipping import ship_package
 
 GROUP_BYTES = 64 << 20      # leaf tables of this size go to the executors at once
 LEAF_CHUNK = 512            # leaves of a tree evaluated together
@@ -166,6 +167,7 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
     Per row, base_value plus the sum of phi equals output.
     """
     spark = df.sparkSession
+    ship_package(spark)
     groups = _grouped(leaf_tables(model))
     rows = df.select(named(row_id).alias(row_id), F.array(*[named(f).cast("double") for f in features]).alias("_x"))
     schema = T.StructType([rows.schema[row_id], T.StructField("class_id", T.IntegerType()),

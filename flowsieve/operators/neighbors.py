@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from flowsieve.functions.bounded import SMALL_ROWS, materialise, small_arrow, small_table
 from flowsieve.functions.scalar import hash_key, hash_modulo, named
+from flowsieve.functions.shipping import ship_package
 from flowsieve.operators.sample import first_rows
 
 BLOCK_ROWS = 2048      # units a task compares with at once
@@ -163,6 +164,7 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
     ``within``, only rows of the same class are neighbours.  ``label`` is carried
     along for the neighbours.
     """
+    ship_package(df.sparkSession)
     vec = (named(features) if isinstance(features, str) else F.array(*[named(f) for f in features])).cast("array<double>")
     cls = named(within).cast("string") if within else F.lit("")
     payload = named(label).cast("string") if label else F.lit("")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from flowsieve.functions.bounded import materialise
 from flowsieve.functions.scalar import named, unique_names
+from flowsieve.functions.shipping import ship_package
 
 CSV_SUFFIX = "*.[cC][sS][vV]"
 CORRUPT = "_corrupt"
@@ -55,6 +56,7 @@ def file_headers(spark: SparkSession, folder: str, recursive: bool = False) -> D
     cannot be opened gives one row with ``error`` set instead of being skipped
     silently.
     """
+    ship_package(spark)
     schema = "file string, position int, column string, error string"
 
     def first_lines(batches):
