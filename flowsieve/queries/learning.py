@@ -18,7 +18,7 @@ from flowsieve.tables import table
 
 EVENT_FEATURES = ["value", "k", "user"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-# Fewer boosting rounds than the presets keep the bench short; rows are whole.
+# Fewer trees than the presets keep the checks short; rows are whole.
 SHORT_PARAMS = {
     "forest": {**models.BASE_PARAMS["forest"], "n_estimators": 20},
     "boost_depth": {**models.BASE_PARAMS["boost_depth"], "n_estimators": 5},
