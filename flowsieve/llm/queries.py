@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bpe, simhash
+import re
+
+from pyspark.sql import functions as F
+
+from flowsieve.llm import bpe, shards, simhash, url_filter, wordpiece
 from flowsieve.llm.shared import table
 
 QUERIES = {}
@@ -24,3 +28,100 @@ def op7_simhash_near_duplicates(spark, folder):
 def op9_byte_level_bpe(spark, folder):
     """Digests of every document's ids and of the text decoded from them."""
     return bpe.round_trip(table(spark, folder, "documents"))
+
+
+@query
+def op4_token_counts(spark, folder):
+    """Words, word pieces and unknown words of every document."""
+    return wordpiece.token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op10_uniform_shards(spark, folder):
+    """All documents in 16 shards whose row counts are at most one apart."""
+    placed = shards.uniform_shards(shards.sized_documents(table(spark, folder, "documents")), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def dated_lists(pages):
+    """Dated list changes for the hosts, domains and first path segments that occur in ``pages``.
+
+    Which of them are listed, and when, follows from checksums of their names.
+    """
+    def draw(name, salt=""):
+        return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col(name))), 1, 8), 16, 10).cast("bigint")
+
+    def change(source, name, list_name, kind, action, first, days, where):
+        day = F.date_add(F.lit("2024-01-01").cast("date"), (draw(name, f"{list_name}{action}{first}") % days + first).cast("int"))
+        return source.where(where).select(F.lit(list_name).alias("list"), F.lit(kind).alias("kind"), F.col(name).alias("pattern"),
+                                          F.lit(action).alias("action"), day.alias("changed_on"))
+
+    url = F.col("url")
+    seen = pages.select(url_filter.host_of(url).alias("host"), F.split(url_filter.path_of(url), "/")[0].alias("step")).where("host <> ''").distinct()
+    hosts = seen.select("host").distinct()
+    labels = F.split("host", r"\.")
+    domains = hosts.where(F.size(labels) >= 3).select(F.array_join(F.slice(labels, -3, 3), ".").alias("domain")).distinct()
+    sections = seen.where("step <> ''").select(F.concat_ws("/", "host", "step").alias("section")).distinct()
+    parts = [
+        change(hosts, "host", "hosts", "host", "block", 0, 150, draw("host") % 3 == 0),
+        change(hosts, "host", "hosts", "host", "remove", 150, 100, draw("host") % 6 == 0),
+        change(hosts, "host", "hosts", "host", "block", 260, 90, draw("host") % 12 == 0),
+        change(domains, "domain", "domains", "domain", "block", 0, 366, draw("domain") % 4 == 1),
+        change(sections, "section", "sections", "prefix", "block", 0, 300, draw("section") % 5 == 0),
+        change(sections, "section", "exempt", "prefix", "allow", 100, 200, draw("section") % 3 == 1),
+    ]
+    entries = parts[0]
+    for part in parts[1:]:
+        entries = entries.union(part)
+    return entries
+
+
+def captures(pages):
+    """Pages with a fetch day of 2024 that follows from the page id."""
+    draw = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (draw % 366).cast("int")).alias("fetched_on"))
+
+
+@query
+def op3_url_filters(spark, folder):
+    """Every capture judged by the list entries active on the day it was fetched."""
+    pages = table(spark, folder, "pages")
+    return url_filter.judge(captures(pages), dated_lists(pages))
+
+
+def _change_sql(source, name, list_name, kind, action, first, days, where):
+    return f"""SELECT '{list_name}' AS list, '{kind}' AS kind, {name} AS pattern, '{action}' AS action,
+      DATE '2024-01-01' + (draw('{list_name}{action}{first}' || {name}) % {days} + {first})::INTEGER AS day FROM {source} WHERE {where}"""
+
+
+ORACLE_SQL["op3_url_filters"] = ("""
+WITH raw AS (SELECT page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host,
+  trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') AS path,
+  DATE '2024-01-01' + (draw(page_id::VARCHAR) % 366)::INTEGER AS fetched_on FROM pages),
+hosts AS (SELECT DISTINCT host FROM raw WHERE host <> ''),
+domains AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM hosts WHERE len(string_split(host, '.')) >= 3),
+sections AS (SELECT DISTINCT host || '/' || split_part(path, '/', 1) AS section FROM raw WHERE host <> '' AND path <> ''),
+changes AS (""" + " UNION ALL ".join([
+    _change_sql("hosts", "host", "hosts", "host", "block", 0, 150, "draw(host) % 3 = 0"),
+    _change_sql("hosts", "host", "hosts", "host", "remove", 150, 100, "draw(host) % 6 = 0"),
+    _change_sql("hosts", "host", "hosts", "host", "block", 260, 90, "draw(host) % 12 = 0"),
+    _change_sql("domains", "domain", "domains", "domain", "block", 0, 366, "draw(domain) % 4 = 1"),
+    _change_sql("sections", "section", "sections", "prefix", "block", 0, 300, "draw(section) % 5 = 0"),
+    _change_sql("sections", "section", "exempt", "prefix", "allow", 100, 200, "draw(section) % 3 = 1"),
+]) + """),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until
+  FROM (SELECT list, kind, pattern, day, max(action) AS action FROM changes GROUP BY ALL)),
+hits AS (SELECT r.page_id, r.url, r.fetched_on, s.*, row_number() OVER (PARTITION BY r.page_id, r.url, r.fetched_on ORDER BY
+    CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(pattern) DESC, action = 'allow' DESC, list DESC, pattern DESC) AS place,
+    count(*) OVER (PARTITION BY r.page_id, r.url, r.fetched_on) AS n
+  FROM raw r JOIN spans s ON s.action <> 'remove' AND r.fetched_on >= s.day AND (s.until IS NULL OR r.fetched_on < s.until)
+    AND CASE s.kind WHEN 'host' THEN r.host = s.pattern
+                    WHEN 'domain' THEN r.host = s.pattern OR ends_with(r.host, '.' || s.pattern)
+                    ELSE r.host || '/' || r.path = s.pattern OR starts_with(r.host || '/' || r.path, s.pattern || '/') END)
+SELECT r.page_id, r.url, r.fetched_on, coalesce(h.n, 0)::BIGINT AS n_active, coalesce(h.action = 'block', false) AS blocked,
+  h.list || ':' || h.kind || ':' || h.pattern AS reason
+FROM raw r LEFT JOIN (SELECT * FROM hits WHERE place = 1) h ON h.page_id = r.page_id AND h.url = r.url""")
+# draw(x) stands for the number that the first eight hex digits of x's checksum spell.
+ORACLE_SQL["op3_url_filters"] = re.sub(r"draw\(([^()]*)\)", r"(('0x' || substr(md5(\1), 1, 8))::UBIGINT::BIGINT)",
+                                       ORACLE_SQL["op3_url_filters"])
