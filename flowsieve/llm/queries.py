@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, shards, simhash, url_filter, wordpiece
+from flowsieve.llm import bpe, shards, simhash, toxicity, url_filter, wordpiece
 from flowsieve.llm.shared import table
 
 QUERIES = {}
@@ -125,3 +125,9 @@ FROM raw r LEFT JOIN (SELECT * FROM hits WHERE place = 1) h ON h.page_id = r.pag
 # draw(x) stands for the number that the first eight hex digits of x's checksum spell.
 ORACLE_SQL["op3_url_filters"] = re.sub(r"draw\(([^()]*)\)", r"(('0x' || substr(md5(\1), 1, 8))::UBIGINT::BIGINT)",
                                        ORACLE_SQL["op3_url_filters"])
+
+
+@query
+def op6_toxic_segments(spark, folder):
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
