@@ -124,9 +124,20 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence))))
 
 
+def word_scores(words: list[str], scores: Scores) -> np.ndarray:
+    """Scores of a text's words; the k-th occurrence of a word above zero counts a k-th of it, as rates are by text."""
+    values = np.fromiter(map(scores.__getitem__, words), dtype=np.float64, count=len(words))
+    seen: dict[str, int] = {}
+    for at in np.flatnonzero(values > 0).tolist():
+        times = seen[words[at]] = seen.get(words[at], 0) + 1
+        if times > 1:
+            values[at] = (values[at] + DRIFT) / times - DRIFT
+    return values
+
+
 def _text_scores(text: str | None, scores: Scores) -> tuple[list[float], int]:
     words = words_of((text or "").lower())
-    values = np.fromiter(map(scores.__getitem__, words), dtype=np.float64, count=len(words))
+    values = word_scores(words, scores)
     return [s for s, _, _ in maximal_segments(values)], len(words)
 
 
@@ -298,7 +309,7 @@ def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 spans = list(word_spans(text or ""))
-                values = np.array([scores[s.group().lower()] for s in spans], dtype=float)
+                values = word_scores([s.group().lower() for s in spans], scores)
                 base = known.log_k + math.log(max(len(spans), 1))
                 for s, first, end in maximal_segments(values) if len(spans) else []:
                     if known.decay * s > base:
