@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, shards, simhash, toxicity, url_filter, wordpiece
+from flowsieve.llm import bpe, decontaminate, quality, shards, simhash, toxicity, url_filter, wordpiece
 from flowsieve.llm.shared import table
 
 QUERIES = {}
@@ -131,3 +131,15 @@ ORACLE_SQL["op3_url_filters"] = re.sub(r"draw\(([^()]*)\)", r"(('0x' || substr(m
 def op6_toxic_segments(spark, folder):
     """Toxicity score of every document."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_site_quality(spark, folder):
+    """Quality score of every document, by its text and its source and language."""
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op1_benchmark_matches(spark, folder):
+    """Every benchmark item that stands in a document with few enough edits."""
+    return decontaminate.matched_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
