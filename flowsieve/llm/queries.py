@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, decontaminate, quality, shards, simhash, toxicity, url_filter, wordpiece
+from flowsieve.llm import bpe, decontaminate, quality, shards, simhash, toxicity, url_filter, wordpiece, wrappers
 from flowsieve.llm.shared import table
 
 QUERIES = {}
@@ -143,3 +143,9 @@ def op5_site_quality(spark, folder):
 def op1_benchmark_matches(spark, folder):
     """Every benchmark item that stands in a document with few enough edits."""
     return decontaminate.matched_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_main_text(spark, folder):
+    """Main text of every page, whole."""
+    return wrappers.extract(table(spark, folder, "pages"))
