@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bpe, decontaminate, quality, shards, simhash, toxicity, url_filter, wordpiece, wrappers
+from flowsieve.llm import (
+    bpe, decontaminate, neighbour_graphs, quality, shards, simhash, toxicity, url_filter, wordpiece, wrappers,
+)
 from flowsieve.llm.shared import table
 
 QUERIES = {}
@@ -149,3 +151,9 @@ def op1_benchmark_matches(spark, folder):
 def op2_main_text(spark, folder):
     """Main text of every page, whole."""
     return wrappers.extract(table(spark, folder, "pages"))
+
+
+@query
+def op8_near_vectors(spark, folder):
+    """Links and component of every embedding at a cosine of at least 0.9."""
+    return neighbour_graphs.near_vectors(table(spark, folder, "embeddings"))
