@@ -30,6 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from flowsieve.functions.bounded import materialise
 from flowsieve.functions.shipping import ship_package
 from flowsieve.llm.components import components
+from flowsieve.llm.shared import quoted
 
 WORDS = 3
 DISTANCE = 3
@@ -175,7 +176,6 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for their fingerprints and moved once, to meet the kept ids.
     """
     ship_package(df.sparkSession)
-    names = df.columns
     slim = materialise(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp"),
                                  F.xxhash64(F.col(text_col)).alias("h")), "fingerprints")
     groups = fingerprint_groups(slim, **how)
@@ -184,9 +184,8 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = slim.groupBy("id", "h").agg(F.count("*").alias("_n"))
     chosen = materialise(chosen.join(same, F.col("_id").eqNullSafe(F.col("id")) & F.col("_h").eqNullSafe(F.col("h")))
                          .select("_id", "_h", "_n"), "chosen")
-    condition = df[f"`{id_col}`"].eqNullSafe(chosen["_id"]) & F.xxhash64(df[f"`{text_col}`"]).eqNullSafe(chosen["_h"])
-    kept = df.join(chosen, condition)
-    columns = [df[f"`{n}`"] for n in names]
-    single = kept.where("_n = 1").select(*columns)
-    repeated = kept.where("_n > 1").dropDuplicates(["_id", "_h"]).select(*columns)
-    return single.unionByName(repeated)
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.col(quoted(id_col)).alias("id"),
+                     F.xxhash64(F.col(quoted(text_col))).alias("h"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h")))
+    # Only rows that repeat the kept id and text need to meet once more.
+    return kept.where("_n = 1").select("row.*").unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_h"]).select("row.*"))

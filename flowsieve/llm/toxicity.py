@@ -12,8 +12,8 @@ and Tompa 1999).  Under ordinary text the best segment's score follows an
 extreme-value law (Karlin and Altschul 1990): lambda solves
 sum p(s) exp(lambda s) = 1 over ordinary words, K comes from the mean of the
 calibration texts' best scores.  A segment's evidence is lambda S - log(K n);
-the passages with positive evidence are significant and a text's evidence is the
-best one's plus that of the other significant ones.  A logistic curve turns it
+a text's evidence is the best one's plus that of all others expected less than
+once in a text.  Passages are reported from evidence SIGNIFICANT on.  A logistic curve turns it
 into a score.
 
 Fitting uses at most about FIT_ROWS labelled rows, chosen by their id's hash;
@@ -42,6 +42,8 @@ DRIFT = 0.5
 BEGINNINGS = (3, 4, 5, 6)
 # A node of the chain is kept if its score differs so much from its parent's.
 DISTINCT = 0.75
+# Ordinary text has such a passage about once in twenty texts.
+SIGNIFICANT = 3.0
 MEMO = 1_000_000
 EULER = 0.5772156649015329
 FOLDS = 5
@@ -115,7 +117,7 @@ class Model:
     slope: float
 
     def evidence(self, segments: list[float], words: int) -> float:
-        """Evidence of the best passage plus that of the other significant ones."""
+        """Evidence of the best passage plus that of the others above zero."""
         base = self.log_k + math.log(max(words, 1))
         each = sorted((self.decay * s - base for s in segments), reverse=True) or [-base]
         return each[0] + sum(e for e in each[1:] if e > 0)
@@ -297,7 +299,7 @@ def score_column(text: Column, model: Model, spark) -> Column:
     return run(text)
 
 
-def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = SIGNIFICANT) -> DataFrame:
     """(doc_id, first, last, evidence, passage) of every significant passage, by character offsets of the text."""
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -312,7 +314,7 @@ def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 values = word_scores([s.group().lower() for s in spans], scores)
                 base = known.log_k + math.log(max(len(spans), 1))
                 for s, first, end in maximal_segments(values) if len(spans) else []:
-                    if known.decay * s > base:
+                    if known.decay * s >= base + least:
                         a, b = spans[first].start(), spans[end - 1].end()
                         rows.append((doc, a, b, known.decay * s - base, text[a:b]))
             yield pd.DataFrame(rows, columns=["doc_id", "first", "last", "evidence", "passage"])

@@ -74,18 +74,18 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
     deepest = held.agg(F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))),
                        F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1))).first()
     keep = [c for c in captures.columns if c.lower() not in ("n_active", "blocked", "reason")]
-    captures = captures.select(*[F.col(quoted(c)) for c in keep])
-    asked = captures.select(F.col(quoted(url_col)).alias("_url"), F.col(quoted(day_col)).cast("date").alias("_day")).na.drop().distinct()
-    named = asked.select("_url", "_day", F.explode(candidate_patterns(F.col("_url"), deepest[0] or 0, deepest[1] or 0)).alias("k"))
-    matched = (named.select("_url", "_day", F.col("k.kind").alias("kind"), F.col("k.pattern").alias("pattern"))
+    rows = captures.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), F.col(quoted(url_col)).alias("url"),
+                           F.col(quoted(day_col)).cast("date").alias("day"))
+    asked = rows.select("url", "day").na.drop().distinct()
+    named = asked.select("url", "day", F.explode(candidate_patterns(F.col("url"), deepest[0] or 0, deepest[1] or 0)).alias("k"))
+    matched = (named.select("url", "day", F.col("k.kind").alias("kind"), F.col("k.pattern").alias("pattern"))
                .join(held, ["kind", "pattern"])
-               .where((F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))))
+               .where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))))
     rank = F.coalesce(*[F.when(F.col("kind") == k, r) for k, r in RANK.items()], F.lit(0))
     decisive = F.struct(rank.alias("rank"), F.length("pattern").alias("length"), (F.col("action") == "allow").cast("int").alias("allow"),
                         "list", "kind", "pattern")
-    verdicts = matched.groupBy("_url", "_day").agg(F.count("*").alias("n_active"), F.max(decisive).alias("d"))
-    verdicts = verdicts.select("_url", "_day", F.col("n_active").alias("_n"), (F.col("d.allow") == 0).alias("_b"),
-                               F.concat_ws(":", "d.list", "d.kind", "d.pattern").alias("_r"))
-    met = captures.join(verdicts, (captures[quoted(url_col)] == F.col("_url")) & (captures[quoted(day_col)].cast("date") == F.col("_day")), "left")
-    return met.select(*[captures[quoted(c)] for c in keep], F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"),
-                      F.coalesce("_b", F.lit(False)).alias("blocked"), F.col("_r").alias("reason"))
+    verdicts = matched.groupBy("url", "day").agg(F.count("*").alias("n"), F.max(decisive).alias("d"))
+    met = rows.join(verdicts, ["url", "day"], "left")
+    return met.select("row.*", F.coalesce("n", F.lit(0)).cast("long").alias("n_active"),
+                      F.coalesce(F.col("d.allow") == 0, F.lit(False)).alias("blocked"),
+                      F.when(F.col("n").isNotNull(), F.concat_ws(":", "d.list", "d.kind", "d.pattern")).alias("reason"))
