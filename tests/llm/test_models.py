@@ -144,7 +144,7 @@ def test_passages_are_parts_of_texts(spark, labelled):
     for r in sorted(found, key=lambda r: r.evidence):
         strongest[r.doc_id] = r.passage
     toxic = [d for d, (_, t) in truth.items() if t]
-    assert sum("zork" in strongest.get(d, "") for d in toxic) >= 0.95 * len(toxic)
+    assert sum("zork" in strongest.get(d, "").lower() for d in toxic) >= 0.95 * len(toxic)
 
 
 def test_toxicity_without_labels_or_rows(spark, labelled):
