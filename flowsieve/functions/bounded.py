@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A fitted table of at most this many rows is copied to every executor.
+# A fitted table of at most this many rows and bytes is copied to every executor.
 SMALL_ROWS = 50_000
+SMALL_BYTES = 32 << 20
 
 
 def small_arrow(df: DataFrame, limit: int = SMALL_ROWS):
@@ -36,7 +37,9 @@ def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     it are shuffled and left to adaptive skew handling.
     """
     fetched = small_arrow(df, limit)
-    return df if fetched is None else local_table(df.sparkSession, fetched, df.schema)
+    if fetched is None or fetched.nbytes > SMALL_BYTES:
+        return df
+    return local_table(df.sparkSession, fetched, df.schema)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -45,7 +48,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     condition = None
     for i, key in enumerate(keys):
         renamed = renamed.withColumnRenamed(key, f"_right_{i}")
-        term = left[f"`{key}`"].eqNullSafe(F.col(f"_right_{i}"))
+        term = left["`" + key.replace("`", "``") + "`"].eqNullSafe(F.col(f"_right_{i}"))
         condition = term if condition is None else condition & term
     return left.join(renamed, condition, how).drop(*[f"_right_{i}" for i in range(len(keys))])
 
@@ -59,7 +62,7 @@ def work_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="flowsieve-")
         sc.setCheckpointDir(root)

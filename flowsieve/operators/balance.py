@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import SMALL_ROWS, join_on, materialise, small_rows, small_table
+from flowsieve.functions.bounded import join_on, materialise, small_table
 from flowsieve.functions.scalar import hash_key, hash_modulo, named, unit_interval
 from flowsieve.operators.clean import class_histogram
-from flowsieve.operators.neighbors import nearest_neighbors
+from flowsieve.operators.neighbors import class_key, nearest_neighbors
 from flowsieve.operators.sample import single_quota, take_slots
 
 # Synthetic rows one input record expands to inside a task, and rows per task.
@@ -39,13 +39,12 @@ def oversample(df: DataFrame, row_id: str, label: str, features: list[str], k: i
     synthetic, base_id, neighbor_id).  Only classes below the largest size take
     part in the neighbour search, so the dominant class is never shuffled.
     """
-    histogram = class_histogram(df, label)
-    sizes = small_rows(histogram)
-    if sizes is None:
-        raise ValueError(f"more than {SMALL_ROWS} classes")
-    largest = max(r["n"] for r in sizes)
-    k = neighbor_count(min(r["n"] for r in sizes), k)
-    created = sum(largest - r["n"] for r in sizes)
+    histogram = materialise(class_histogram(df, label), "classes")
+    largest, smallest, rows, classes = histogram.agg(F.max("n"), F.min("n"), F.sum("n"), F.count("*")).first()
+    if not classes:
+        largest = smallest = rows = 2
+    k = neighbor_count(smallest, k)
+    created = largest * classes - rows if classes else 0
     id_type = df.schema[row_id].dataType.simpleString()
     originals = df.select(named(row_id).cast("string").alias(row_id), named(label).alias(label),
                           *[named(f).cast("double").alias(f) for f in features], F.lit(False).alias("synthetic"),
@@ -54,7 +53,7 @@ def oversample(df: DataFrame, row_id: str, label: str, features: list[str], k: i
         return originals
     minority = small_table(histogram.filter(F.col("n") < largest))
     lacking = join_on(df.select(row_id, label, *[named(f) for f in features]), minority, [label])
-    slots = take_slots(lacking, [row_id], seed, [label],
+    slots = take_slots(lacking, [row_id], f"{seed}:grow", [label],
                        single_quota(F.pmod(F.lit(largest) - F.col("n"), F.col("n"))), "_slot")
     share = F.floor((F.lit(largest) - F.col("n")) / F.col("n")).cast("bigint")
     bases = slots.select(row_id, label, F.array(*[named(f).cast("double") for f in features]).alias("_x"),
@@ -70,7 +69,7 @@ def oversample(df: DataFrame, row_id: str, label: str, features: list[str], k: i
     spread = started.repartition(int(tasks), row_id, "_from") if tasks > 1 else started
     last = F.least(F.col("_from") + EXPAND_ROWS, F.col("_copies")) - 1
     drawn = (spread.withColumn("_copy", F.explode(F.sequence("_from", last)))
-             .withColumn("_key", hash_key(seed, row_id, "_copy"))
+             .withColumn("_key", hash_key(f"{seed}:point", row_id, "_copy"))
              .withColumn("_n", F.element_at("neighbors", hash_modulo(F.col("_key"), F.size("neighbors")).cast("int") + 1))
              .withColumn("_u", unit_interval(F.substring("_key", 9, 8)))
              .withColumn("_new", F.zip_with("_x", F.col("_n")["vec"], lambda a, b: a + F.col("_u") * (b - a))))
@@ -83,7 +82,7 @@ def oversample(df: DataFrame, row_id: str, label: str, features: list[str], k: i
 
 def _with_agreement(df: DataFrame, row_id: str, label: str, features: list[str] | str, k: int) -> DataFrame:
     """All columns plus n_neighbors and n_same; one join on the row id."""
-    owned = df.withColumn("_own", F.coalesce(named(label).cast("string"), F.lit("")))
+    owned = df.withColumn("_own", class_key(named(label)))
     near = nearest_neighbors(owned, row_id, features, k, label="_own")
     same = F.size(F.filter("neighbors", lambda e: e["label"] == F.col("_own")))
     return (owned.join(near, row_id).withColumn("n_neighbors", F.size("neighbors")).withColumn("n_same", same)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,6 +154,11 @@ class _Cells:
         return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def class_key(col: Column) -> Column:
+    """A class as non-null text that tells a missing class from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))
+
+
 def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k: int, within: str | None = None,
                       label: str | None = None, vectors: bool = False, block_rows: int = BLOCK_ROWS,
                       max_pivots: int = MAX_PIVOTS, visit_rows: int = VISIT_ROWS) -> DataFrame:
@@ -166,9 +171,9 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
     """
     ship_package(df.sparkSession)
     vec = (named(features) if isinstance(features, str) else F.array(*[named(f) for f in features])).cast("array<double>")
-    cls = named(within).cast("string") if within else F.lit("")
+    cls = class_key(named(within)) if within else F.lit("")
     payload = named(label).cast("string") if label else F.lit("")
-    base = df.select(named(row_id).alias("id"), F.coalesce(cls, F.lit("")).alias("cls"), vec.alias("vec"),
+    base = df.select(named(row_id).alias("id"), cls.alias("cls"), vec.alias("vec"),
                      F.coalesce(payload, F.lit("")).alias("label"))
     units = materialise(_fold_copies(base, k), "units")
     id_type = base.schema["id"].dataType.simpleString()
@@ -190,7 +195,10 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
         "id", "cls", F.slice(F.filter("_all", lambda e: e["id"] != F.col("id")), 1, k).alias("neighbors"))
     result = own.unionByName(_copies(base, units, k, vectors)) if _has_full_units(units, k) else own
     named_result = result.withColumnRenamed("id", row_id)
-    return named_result.withColumnRenamed("cls", within) if within else named_result.drop("cls")
+    if not within:
+        return named_result.drop("cls")
+    own_class = F.when(F.col("cls") != "", F.substring("cls", 2, 1 << 30))
+    return named_result.withColumn("cls", own_class).withColumnRenamed("cls", within)
 
 
 def _fold_copies(base: DataFrame, k: int) -> DataFrame:

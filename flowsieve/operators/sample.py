@@ -6,6 +6,9 @@ class of many rows is narrowed by histograms of key prefixes until few rows
 remain, and only those are ranked.  The flow table is scanned for two columns
 and never shuffled or sorted, however large its largest class is.  Ids have to
 be unique; rows with equal ids share a key and stay together.
+
+Every kind of draw salts its keys with its own name, so a sample of a sample, or
+a split of it, is independent of how its rows were drawn before.
 """
 
 from __future__ import annotations
@@ -26,9 +29,6 @@ RANKED_ROWS = 20_000
 KEY_DIGITS = 32
 ALL_ROWS = "g"
 
-# Sources sampled one by one; more of them are pooled by hash.
-MAX_SOURCES = 4_096
-
 QuotaFn = Callable[[DataFrame], DataFrame]
 
 
@@ -192,7 +192,7 @@ def stratified_split(df: DataFrame, ids: list[str], label: str, test_fraction: f
                      seed: int = 42, column: str = "split") -> DataFrame:
     """Mark each row ``train`` or ``test``, keeping class shares."""
     quotas = _checked(proportional_quota([label], test_fraction=test_fraction))
-    slotted = take_slots(df, ids, seed, [label], quotas, "_slot")
+    slotted = take_slots(df, ids, f"{seed}:split", [label], quotas, "_slot")
     return slotted.withColumn(column, F.when(F.col("_slot") == 0, "train").otherwise("test")).drop("_slot")
 
 
@@ -209,14 +209,14 @@ def _checked(quotas: QuotaFn) -> QuotaFn:
 
 def stratified_sample(df: DataFrame, ids: list[str], label: str, size: int, seed: int = 42) -> DataFrame:
     """Sample of ``min(size, rows)`` rows keeping class shares."""
-    slotted = take_slots(df, ids, seed, [label], proportional_quota([label], total=size), "_slot")
+    slotted = take_slots(df, ids, f"{seed}:sample", [label], proportional_quota([label], total=size), "_slot")
     return slotted.filter(F.col("_slot") == 1).drop("_slot")
 
 
 def uniform_sample(df: DataFrame, ids: list[str], size: int, seed: int = 42) -> DataFrame:
     """Uniform sample without replacement of ``min(size, rows)`` rows."""
     quotas = single_quota(F.least(F.lit(int(size)).cast("bigint"), F.col("n")))
-    return first_rows(df, ids, seed, [], quotas)
+    return first_rows(df, ids, f"{seed}:uniform", [], quotas)
 
 
 def thin_common(df: DataFrame, ids: list[str], source: str | None, label: str, rare: list[str],
@@ -224,19 +224,16 @@ def thin_common(df: DataFrame, ids: list[str], source: str | None, label: str, r
     """Keep all rare-class rows and an exact fraction of the others per source file.
 
     The fraction of n rows is rounded half to even.  Null labels count as common.
-    Beyond ``MAX_SOURCES`` files, files are pooled by hash and the fraction is
-    exact per pool, so the table of cuts stays small.
+    With very many files the table of cuts is joined by a shuffle instead of sent.
     """
     is_rare = F.coalesce(named(label).isin(list(rare)), F.lit(False))
     flagged = df.withColumn("_rare", is_rare)
     groups = ["_rare"]
     if source:
-        many = df.select(named(source)).distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES
-        pool = F.pmod(F.xxhash64(named(source)), F.lit(MAX_SOURCES)).cast("string") if many else named(source)
-        flagged = flagged.withColumn("_source", pool)
+        flagged = flagged.withColumn("_source", named(source))
         groups.append("_source")
     part = F.bround(F.lit(float(fraction)) * F.col("n"))
-    kept = first_rows(flagged, ids, seed, groups, single_quota(F.when(F.col("_rare"), F.col("n")).otherwise(part)))
+    kept = first_rows(flagged, ids, f"{seed}:thin", groups, single_quota(F.when(F.col("_rare"), F.col("n")).otherwise(part)))
     return kept.drop("_rare", "_source")
 
 
@@ -245,13 +242,13 @@ def thin_common_fast(df: DataFrame, ids: list[str], label: str, rare: list[str],
     """Same, with an expected instead of an exact count: one pass, no fitting."""
     from flowsieve.functions.scalar import unit_interval
     is_rare = F.coalesce(named(label).isin(list(rare)), F.lit(False))
-    return df.filter(is_rare | (unit_interval(hash_key(seed, *ids)) < F.lit(float(fraction))))
+    return df.filter(is_rare | (unit_interval(hash_key(f"{seed}:thin", *ids)) < F.lit(float(fraction))))
 
 
 def stratified_folds(df: DataFrame, ids: list[str], label: str, folds: int = 3,
                      seed: int = 42, column: str = "fold") -> DataFrame:
     """Assign each row to one of ``folds`` folds, keeping class shares."""
-    return take_slots(df, ids, seed, [label], fold_quota([label], folds), column, slots=folds - 1)
+    return take_slots(df, ids, f"{seed}:fold", [label], fold_quota([label], folds), column, slots=folds - 1)
 
 
 def chunk_number(df: DataFrame, ids: list[str], chunks: int, seed: int | str = "chunk",

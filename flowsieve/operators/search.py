@@ -108,7 +108,11 @@ def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slo
         classes = int(top) + 1
         chunks = max(1, -(-total // chunk_rows)) if chunk_rows else 1
         folded = stratified_folds(rows.select(*[named(c) for c in columns]), [row_id], label_id, folds)
-        stored = materialise(chunk_number(folded, [row_id], chunks), "folds", partition="chunk")
+        numbered = chunk_number(folded, [row_id], chunks)
+        # A few files per chunk, not one per chunk and task; the second key keeps a lone chunk from one task.
+        if chunks > 1:
+            numbered = numbered.repartition("chunk", F.pmod(F.xxhash64(named(row_id)), F.lit(8)))
+        stored = materialise(numbered, "folds", partition="chunk")
         for trial in range(start, wanted):
             point = draw_point(space, seed, trial)
             part = stored.filter(F.col("chunk") == trial % chunks)
@@ -122,5 +126,10 @@ def train_best(trials: DataFrame, train_rows: DataFrame, label_id: str, features
                fixed: dict | None = None, n_classes: int | None = None):
     """Fit the parameters of the lowest loss on all training rows; ``fixed`` overrides some."""
     best = store.best_params(trials.filter(F.col("model") == slot)).first()
-    params = {**best["params"], **(fixed or {})}
-    return models.train(slot, params, train_rows, label_id, features, n_classes, MODEL_SEED)
+    return train_params(best["params"], train_rows, label_id, features, slot, fixed, n_classes)
+
+
+def train_params(params: dict, train_rows: DataFrame, label_id: str, features: list[str], slot: str,
+                 fixed: dict | None = None, n_classes: int | None = None):
+    """Fit given parameters on all training rows; ``fixed`` overrides some."""
+    return models.train(slot, {**params, **(fixed or {})}, train_rows, label_id, features, n_classes, MODEL_SEED)

@@ -13,7 +13,7 @@ class Preset:
     finder_trees: int               # ranking forest that sets the threshold
     finder_rows: float
     edit: bool                      # edit neighbours after oversampling
-    row_cap: int | None             # uniform sample of the balanced set above this
+    fit_rows: int | None            # most rows a classifier of the selection's evaluation is fitted on
     forest_fixed: dict = field(default_factory=dict)  # overrides of the tuned forest
 
 
@@ -34,7 +34,7 @@ IDS = Preset(
     finder_trees=30,
     finder_rows=0.1,
     edit=True,
-    row_cap=None,
+    fit_rows=None,
 )
 
 IOT = Preset(
@@ -51,11 +51,11 @@ IOT = Preset(
     finder_trees=15,
     finder_rows=0.05,
     edit=False,
-    row_cap=20_000_000,
+    fit_rows=20_000_000,
     forest_fixed={"max_depth": 30, "subsample": 0.1},
 )
 
-# Part held out for testing, seed, and rows explained per model.
+# Part held out for testing, seed, and sample sizes for explanations that ask for one.
 TEST_FRACTION = 0.2
 SEED = 42
 EXPLAIN_ROWS = 20_000

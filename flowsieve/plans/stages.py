@@ -50,8 +50,16 @@ def prepare(landed: DataFrame, path: str, preset: Preset, label: str = "Label",
 
 
 def prepare_folder(spark: SparkSession, folder: str, path: str, preset: Preset, label: str = "Label") -> FeatureSet:
-    """Same, starting from a folder of CSV files."""
-    return prepare(flows.land_flows(spark, folder, preset.recursive, label), path, preset, label)
+    """Same, starting from a folder of CSV files.
+
+    What was left out is stored beside the set: ``<path>_skipped`` has the files without label or header with
+    the reason, ``<path>_rejected`` the rows per file and how many of them did not fit their header.
+    """
+    headers = materialise(flows.file_headers(spark, folder, preset.recursive), "headers")
+    flows.skipped_files(headers, label).write.mode("overwrite").parquet(f"{path}_skipped")
+    landed = flows.number_rows(flows.read_flows(spark, folder, preset.recursive, label, headers), folder)
+    flows.rejected_rows(landed).write.mode("overwrite").parquet(f"{path}_rejected")
+    return prepare(landed, path, preset, label)
 
 
 def train_baselines(data: FeatureSet, params: dict[str, dict] | None = None, path: str | None = None) -> dict[str, dict]:
@@ -85,40 +93,69 @@ def select_and_balance(data: FeatureSet, path: str, preset: Preset, keep: int =
     features = [f for f in data.features if f in names]
     grow = balance.oversample_and_edit if preset.edit else balance.oversample
     grown = grow(train, ID, CODE, features).select(ID, CODE, *[named(f) for f in features]).withColumn(SPLIT, F.lit("train"))
-    if preset.row_cap:
-        grown = sample.uniform_sample(materialise(grown, "balanced"), [ID], preset.row_cap, presets.SEED)
     test = data.part("test").select(F.col(ID).cast("string").alias(ID), CODE, *[named(f) for f in features])
     both = grown.unionByName(test.withColumn(SPLIT, F.lit("test")))
     store.save_split(clean.narrow(both, features, [CODE]), path, SPLIT)
     return FeatureSet(store.load_split(spark, path), data.labels, features)
 
 
+def evaluate_selection(data: FeatureSet, preset: Preset, params: dict[str, dict] | None = None,
+                       path: str | None = None) -> dict[str, dict]:
+    """Fit and evaluate every slot on the selected features and the balanced train part.
+
+    With ``preset.fit_rows`` each classifier is fitted on a uniform sample of at most so many rows; the stored
+    set stays whole, and every test row is scored.
+    """
+    train = data.part("train")
+    if preset.fit_rows:
+        train = materialise(sample.uniform_sample(train, [ID], preset.fit_rows, presets.SEED), "fit")
+    classes, results = data.labels.count(), {}
+    for slot, setting in (params or models.BASE_PARAMS).items():
+        model = models.train(slot, setting, train, CODE, data.features, classes)
+        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path)
+    return results
+
+
 def tune(data: FeatureSet, path: str, preset: Preset, slots: tuple[str, ...] = models.SLOTS, trials: int | None = None,
          spaces: dict[str, dict] | None = None) -> dict[str, dict]:
-    """Search each slot's space, refit the best point on all train rows and report."""
+    """Search each slot's space, refit the best point on all train rows and report.
+
+    Stored best parameters end the search of their slot once they cover the trials asked for; a longer search
+    replaces them.
+    """
     spark = data.rows.sparkSession
     classes = data.labels.count()
     train, results = data.part("train"), {}
     for slot in slots:
         chunk = search.CHUNK_ROWS if slot == "forest" else None
-        log = search.search(train, ID, CODE, data.features, slot, f"{path}/trials", trials, chunk, (spaces or {}).get(slot))
-        best_path = f"{path}/{slot}/best_params"
-        if store.load_best_params(spark, best_path) is None:
+        best_path, trials_path = f"{path}/{slot}/best_params", f"{path}/trials"
+        best = store.load_best_params(spark, best_path)
+        wanted = search.TRIALS[slot] if trials is None else trials
+        if best is None or 0 < store.load_trials(spark, trials_path).filter(F.col("model") == slot).count() < wanted:
+            log = search.search(train, ID, CODE, data.features, slot, trials_path, trials, chunk, (spaces or {}).get(slot))
             store.save_best_params(store.best_params(log), best_path)
+            best = store.load_best_params(spark, best_path)
         fixed = preset.forest_fixed if slot == "forest" else None
-        model = search.train_best(log, train, CODE, data.features, slot, fixed, classes)
+        model = search.train_params(best.first()["params"], train, CODE, data.features, slot, fixed, classes)
         results[slot] = _evaluated(slot, model, data.part("test"), data.features, path)
     return results
 
 
 def explain_model(data: FeatureSet, slot: str, model, path: str, rows: int | None = None) -> dict[str, DataFrame]:
-    """Attributions of a stratified test sample with their global, class and local views."""
+    """Attributions of the test part with their global, class and local views.
+
+    All test rows are explained, or with ``rows`` a sample of so many that keeps class shares (20 000, and
+    10 000 for the forest, are the usual sizes: presets.EXPLAIN_ROWS, EXPLAIN_FOREST_ROWS).  ``model`` may be
+    the path of a stored one.
+    """
     spark = data.rows.sparkSession
+    if isinstance(model, str):
+        model = store.load_model(model)
     test = data.part("test")
-    sampled = materialise(sample.stratified_sample(test, [ID], CODE, rows or presets.EXPLAIN_ROWS, presets.SEED), "explained")
-    if slot == "forest":
-        sampled = sample.uniform_sample(sampled, [ID], presets.EXPLAIN_FOREST_ROWS, presets.SEED)
-    key = store.fingerprint(slot, model.uid, data.features, rows)
+    sampled = materialise(sample.stratified_sample(test, [ID], CODE, rows, presets.SEED) if rows else test, "explained")
+    # The rows themselves are part of the key: a test part prepared anew is explained anew.
+    content = sampled.agg(F.count("*"), F.sum(F.xxhash64(*[named(c) for c in sampled.columns]).cast("decimal(38,0)"))).first()
+    key = store.fingerprint(slot, model.uid, data.features, rows, *[str(v) for v in content])
     phi = store.load_or_compute(spark, path, f"attributions-{slot}", key,
                                 lambda: explain.attributions(sampled, model, ID, data.features))
     typical = explain.representatives(sampled, ID, CODE, data.features)

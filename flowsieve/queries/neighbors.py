@@ -51,10 +51,10 @@ def neighbors_all(spark, folder):
 WITH {pairs_sql(5, True)},
 c AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS top FROM embeddings GROUP BY 1),
 b AS (SELECT v.vec_id, v.label, v.e, (top - n) // n + CASE WHEN row_number() OVER
-        (PARTITION BY v.label ORDER BY md5('42:' || v.vec_id::VARCHAR)) <= (top - n) % n THEN 1 ELSE 0 END AS copies
+        (PARTITION BY v.label ORDER BY md5('42:grow:' || v.vec_id::VARCHAR)) <= (top - n) % n THEN 1 ELSE 0 END AS copies
       FROM v JOIN c USING (label)),
 g AS (SELECT vec_id, label, e, unnest(range(copies)) AS j FROM b WHERE copies > 0),
-h AS (SELECT *, md5('42:' || vec_id::VARCHAR || ':' || j::VARCHAR) AS key FROM g),
+h AS (SELECT *, md5('42:point:' || vec_id::VARCHAR || ':' || j::VARCHAR) AS key FROM g),
 s AS (SELECT h.vec_id::VARCHAR || '#' || h.j::VARCHAR AS vec_id, h.label, h.vec_id AS base_id, n.neighbor_id,
              h.e, n.ne, ('0x' || substr(h.key, 9, 8))::UBIGINT / 4294967296.0::DOUBLE AS u
       FROM h JOIN near n ON n.vec_id = h.vec_id AND n.place = ('0x' || substr(h.key, 1, 8))::UBIGINT % 5 + 1)
@@ -128,7 +128,7 @@ def nearest_to_centre(spark, folder):
 
 
 @query("absent_classes", """
-WITH s AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5('42:' || vec_id::VARCHAR)) AS rk FROM embeddings)
+WITH s AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5('42:uniform:' || vec_id::VARCHAR)) AS rk FROM embeddings)
 SELECT a.label, count(s.vec_id) AS n, count(s.vec_id) = 0 AS absent
 FROM (SELECT DISTINCT label FROM embeddings) a LEFT JOIN s ON s.label = a.label AND s.rk <= 12 GROUP BY 1""")
 def absent_classes(spark, folder):

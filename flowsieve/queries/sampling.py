@@ -20,7 +20,7 @@ def split_sql(source: str, key: str, label: str, fraction: float = 0.2, seed: in
     quota AS (SELECT g, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, g)
                                          <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM shares),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {label}
-                      ORDER BY md5('{seed}:' || {key}::VARCHAR)) AS rk FROM {source}),
+                      ORDER BY md5('{seed}:split:' || {key}::VARCHAR)) AS rk FROM {source}),
     parts AS (SELECT r.*, CASE WHEN r.rk <= q.k THEN 'train' ELSE 'test' END AS split
               FROM ranked r JOIN quota q ON r.{label} = q.g)"""
 
@@ -58,7 +58,7 @@ def stratified_split_rows(spark, folder):
 WITH flagged AS (SELECT *, o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') AS rare FROM orders),
 counts AS (SELECT rare, o_orderstatus AS src, count(*) AS n FROM flagged GROUP BY ALL),
 ranked AS (SELECT f.*, n, row_number() OVER (PARTITION BY f.rare, f.o_orderstatus
-                  ORDER BY md5('42:' || o_orderkey::VARCHAR)) AS rk
+                  ORDER BY md5('42:thin:' || o_orderkey::VARCHAR)) AS rk
            FROM flagged f JOIN counts c ON f.rare = c.rare AND f.o_orderstatus = c.src)
 SELECT o_orderkey, o_orderstatus, o_orderpriority FROM ranked
 WHERE rk <= CASE WHEN rare THEN n ELSE round_even(0.02 * n::DOUBLE, 0) END""")
@@ -72,7 +72,7 @@ def thin_common_rows(spark, folder):
 @query("thin_common_fast_rows", """
 SELECT o_orderkey, o_orderpriority FROM orders
 WHERE o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED')
-   OR ('0x' || substr(md5('42:' || o_orderkey::VARCHAR), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 0.1""")
+   OR ('0x' || substr(md5('42:thin:' || o_orderkey::VARCHAR), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 0.1""")
 def thin_common_fast_rows(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     return sample.thin_common_fast(orders, ["o_orderkey"], "o_orderpriority",
@@ -87,7 +87,7 @@ shares AS (SELECT g, n, (n::HUGEINT * n_train) // n_all AS base, (n::HUGEINT * n
 quota AS (SELECT g, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, g)
                                      <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM shares),
 ranked AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type
-                  ORDER BY md5('42:' || event_id::VARCHAR)) AS rk FROM events)
+                  ORDER BY md5('42:sample:' || event_id::VARCHAR)) AS rk FROM events)
 SELECT event_id, event_type FROM ranked JOIN quota ON event_type = g WHERE rk > k""")
 def stratified_sample_rows(spark, folder):
     events = table(spark, folder, "events").select("event_id", "event_type")
@@ -96,19 +96,38 @@ def stratified_sample_rows(spark, folder):
 
 @query("uniform_sample_rows", """
 SELECT o_orderkey, o_totalprice FROM
-  (SELECT *, row_number() OVER (ORDER BY md5('42:' || o_orderkey::VARCHAR)) AS rk FROM orders)
+  (SELECT *, row_number() OVER (ORDER BY md5('42:uniform:' || o_orderkey::VARCHAR)) AS rk FROM orders)
 WHERE rk <= 5000""")
 def uniform_sample_rows(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     return sample.uniform_sample(orders, ["o_orderkey"], 5000)
 
 
+@query("chained_samples", """
+WITH flagged AS (SELECT *, o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') AS rare FROM orders),
+sizes AS (SELECT rare, o_orderstatus AS src, count(*) AS n FROM flagged GROUP BY ALL),
+thin AS (SELECT o_orderkey, o_orderpriority FROM (SELECT f.*, n, row_number() OVER (PARTITION BY f.rare, f.o_orderstatus
+                  ORDER BY md5('42:thin:' || o_orderkey::VARCHAR)) AS rk
+           FROM flagged f JOIN sizes c ON f.rare = c.rare AND f.o_orderstatus = c.src)
+         WHERE rk <= CASE WHEN rare THEN n ELSE round_even(0.2 * n::DOUBLE, 0) END),
+""" + split_sql("thin", "o_orderkey", "o_orderpriority").strip() + """
+SELECT o_orderkey, o_orderpriority FROM
+  (SELECT *, row_number() OVER (ORDER BY md5('42:uniform:' || o_orderkey::VARCHAR)) AS rk FROM parts WHERE split = 'train')
+WHERE rk <= 2000""")
+def chained_samples(spark, folder):
+    """A uniform sample of the train part of a thinned table: each draw is independent of those before."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    thinned = sample.thin_common(orders, ["o_orderkey"], "o_orderstatus", "o_orderpriority", ["1-URGENT", "4-NOT SPECIFIED"], 0.2)
+    parts = sample.stratified_split(thinned, ["o_orderkey"], "o_orderpriority")
+    return sample.uniform_sample(parts.filter(F.col("split") == "train"), ["o_orderkey"], 2000).select("o_orderkey", "o_orderpriority")
+
+
 @query("stratified_folds_rows", """
 WITH sorted AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS pos FROM events),
 sizes AS (SELECT event_type, (pos % 3)::INT AS fold, count(*) AS n FROM sorted GROUP BY ALL),
 upto AS (SELECT event_type, fold, sum(n) OVER (PARTITION BY event_type ORDER BY fold) AS k FROM sizes),
 ranked AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type
-                  ORDER BY md5('42:' || event_id::VARCHAR)) AS rk FROM events)
+                  ORDER BY md5('42:fold:' || event_id::VARCHAR)) AS rk FROM events)
 SELECT r.event_id, r.event_type, min(u.fold)::INT AS fold
 FROM ranked r JOIN upto u ON r.event_type = u.event_type AND r.rk <= u.k GROUP BY ALL""")
 def stratified_folds_rows(spark, folder):
@@ -127,7 +146,7 @@ def chunk_slice_rows(spark, folder):
 
 @query("sampled_row_lookup", """
 WITH picked AS (SELECT o_orderkey FROM
-  (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey::VARCHAR)) AS rk FROM orders)
+  (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:uniform:' || o_orderkey::VARCHAR)) AS rk FROM orders)
   WHERE rk <= 1000)
 SELECT l_orderkey, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS amount
 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM picked) GROUP BY 1""")

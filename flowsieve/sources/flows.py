@@ -10,14 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.bounded import materialise
+from flowsieve.functions.bounded import materialise, small_table
 from flowsieve.functions.scalar import named, unique_names
 from flowsieve.functions.shipping import ship_package
 
 CSV_SUFFIX = "*.[cC][sS][vV]"
 CORRUPT = "_corrupt"
 HEADER_BYTES = 1 << 16
-MAX_LAYOUTS = 500
+# Copies of one line written out by one input row.
+COPY_ROWS = 10_000
 
 
 def escape_glob(path: str) -> str:
@@ -119,16 +120,15 @@ def skipped_files(headers: DataFrame, label: str = "Label") -> DataFrame:
             .select("file", reason.alias("reason")))
 
 
-def read_flows(spark: SparkSession, folder: str, recursive: bool = False, label: str = "Label") -> DataFrame:
+def read_flows(spark: SparkSession, folder: str, recursive: bool = False, label: str = "Label",
+               headers: DataFrame | None = None) -> DataFrame:
     """Union by name of all files that carry the label column, all text.
 
     Files are grouped by header, so there is one scan per distinct header rather
-    than per file.  Columns a file lacks are null.  Adds ``source_file`` and
+    than per file; ``headers`` may be passed if they are known.  Columns a file lacks are null.  Adds ``source_file`` and
     ``_corrupt`` (the raw line of a row that does not fit its header).
     """
-    layouts = file_layouts(file_headers(spark, folder, recursive)).limit(MAX_LAYOUTS + 1).collect()
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers under {folder}")
+    layouts = file_layouts(headers if headers is not None else file_headers(spark, folder, recursive)).collect()
     usable = sorted((tuple(r["columns"]), r["files"]) for r in layouts if label in r["columns"])
     if not usable:
         raise ValueError(f"no CSV file with a column {label!r} under {folder}")
@@ -142,13 +142,38 @@ def read_flows(spark: SparkSession, folder: str, recursive: bool = False, label:
 
 
 def land_flows(spark: SparkSession, folder: str, recursive: bool = False, label: str = "Label") -> DataFrame:
-    """Read flow files once, number their rows and keep them as parquet.
+    """Read flow files once, give their rows ids and keep them as parquet.
 
-    CSV rows have no key.  The number is fixed by writing it, so that later
-    passes - each reading only the columns it needs - agree on every row's id.
+    CSV rows have no key.  A row's id is a hash of its file's name inside the
+    folder and its content, and of its number among equal lines of the file, so
+    ids - and all samples and splits - do not depend on how files were cut into
+    partitions.
     """
-    flows = read_flows(spark, folder, recursive, label).withColumn("row_id", F.monotonically_increasing_id())
-    return materialise(flows, "flows")
+    return number_rows(read_flows(spark, folder, recursive, label), folder)
+
+
+def number_rows(flows: DataFrame, folder: str = "") -> DataFrame:
+    """``flows`` with a text ``row_id`` that follows from file and content alone.
+
+    Lines that a file repeats are folded and counted; as they are equal, their
+    numbers can be written out by any task, in pieces of ``COPY_ROWS``.
+    """
+    names = flows.columns
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.substring_index("source_file", f"/{base}/", -1) if base else F.col("source_file")
+    # Every value is marked, so that a missing one differs from an empty one.
+    cells = [F.coalesce(F.concat(F.lit("="), named(c)), F.lit("-")) for c in sorted(names) if c != "source_file"]
+    keyed = materialise(flows.withColumn("_line", F.md5(F.to_json(F.array(inside, *cells)))), "lines")
+    repeated = small_table(keyed.groupBy("_line").agg(F.count("*").alias("_n")).filter("_n > 1"))
+    single = keyed.join(repeated, "_line", "left_anti").withColumn("row_id", F.col("_line"))
+    folded = keyed.join(repeated, "_line").dropDuplicates(["_line"])
+    started = folded.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(COPY_ROWS).cast("bigint"))))
+    dealt = started.repartition("_line", "_from")
+    copies = dealt.withColumn("_at", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPY_ROWS, F.col("_n")) - 1)))
+    copies = copies.withColumn("row_id", F.when(F.col("_at") == 0, F.col("_line")).otherwise(
+        F.md5(F.concat_ws(":", "_line", F.col("_at").cast("string")))))
+    columns = [named(c) for c in names] + [F.col("row_id")]
+    return materialise(single.select(*columns).unionByName(copies.select(*columns)), "flows")
 
 
 def rejected_rows(flows: DataFrame) -> DataFrame:

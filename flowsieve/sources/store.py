@@ -6,6 +6,8 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark import SparkContext
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +101,11 @@ def load_best_params(spark: SparkSession, path: str) -> DataFrame | None:
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A stored model of any slot: forest, boosted or one boosted model per class.
+
+    The class is read from the stored metadata.
+    """
+    return DefaultParamsReader.loadParamsInstance(path, SparkContext.getOrCreate())

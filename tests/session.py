@@ -1,5 +1,7 @@
 """The Spark session used by tests."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -10,6 +12,7 @@ def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
              .config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowsieve-tests-"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -96,6 +96,16 @@ def test_folds_match_dealing_sorted_labels(spark):
     assert Counter((r.label, r.fold) for r in got) == Counter((g, i % 3) for i, g in enumerate(labels))
 
 
+def test_draws_of_draws_are_independent(spark):
+    df = flows(spark, {"a": 20_000, "b": 20_000}).withColumn("source", F.lit("f"))
+    thinned = sample.thin_common(df, ["row_id"], "source", "label", ["b"], 0.1)
+    train = sample.stratified_split(thinned, ["row_id"], "label").filter("split = 'train'")
+    got = Counter(r.label for r in sample.uniform_sample(train, ["row_id"], 4400).collect())
+    assert abs(got["a"] - 400) < 80
+    again = Counter(r.label for r in sample.uniform_sample(sample.stratified_sample(df, ["row_id"], "label", 8000), ["row_id"], 2000).collect())
+    assert abs(again["a"] - 1000) < 120
+
+
 def test_chunks_cover_the_table(spark):
     df = flows(spark, {"a": 50})
     ids = [r.row_id for t in range(4) for r in sample.chunk_slice(df, ["row_id"], t, 4).collect()]

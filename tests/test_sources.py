@@ -112,3 +112,21 @@ def test_report_and_params_files(spark, tmp_path):
     (tmp_path / "broken" / "part.json").write_text('{"model": "forest", "par')
     assert store.load_best_params(spark, str(tmp_path / "broken")) is None
     assert store.load_best_params(spark, str(tmp_path / "none")) is None
+
+
+def test_row_ids_do_not_depend_on_partitions(spark, tmp_path):
+    folder = tmp_path / "set"
+    folder.mkdir()
+    lines = [f"{i % 400},{i % 7},{'A' if i % 3 else ''}" for i in range(3000)] + ["1,1,A"] * 50
+    (folder / "a.csv").write_text("x,y,Label\n" + "\n".join(lines) + "\n")
+    (folder / "b.csv").write_text("y,Label,x\n" + "\n".join(lines[:100]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = flows.land_flows(spark, str(folder)).select("row_id", "x", "y", "Label").collect()
+            found.append(sorted(map(tuple, rows), key=repr))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 3150

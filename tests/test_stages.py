@@ -23,7 +23,7 @@ def prepared(spark, tmp_path_factory):
     header = " Flow Duration,Fwd Header Length.1,Noise, Constant,Timestamp, Label\n"
     (root / "one.csv").write_text(header + "\n".join(lines[:300]) + "\n")
     (root / "two.csv").write_text(header + "\n".join(lines[300:]) + "\n")
-    preset = presets.Preset(False, 0.5, ("Infiltration",), 5, 0.5, True, 10_000, {"max_depth": 3})
+    preset = presets.Preset(False, 0.5, ("Infiltration",), 5, 0.5, True, 200, {"max_depth": 3})
     data = stages.prepare_folder(spark, str(root), str(root / "stage0"), preset)
     return root, preset, data
 
@@ -44,7 +44,9 @@ def test_balance_tune_and_explain(spark, prepared):
     balanced = stages.select_and_balance(data, str(root / "stage2"), preset, keep=2)
     assert set(balanced.features) == {"Flow Duration", "Fwd Header Length.1"}
     sizes = {r.label_id: r["count"] for r in balanced.part("train").groupBy("label_id").count().collect()}
-    assert set(sizes) == {0, 1, 2} and min(sizes.values()) > 50
+    assert set(sizes) == {0, 1, 2} and min(sizes.values()) > 50 and sum(sizes.values()) > 2 * preset.fit_rows
+    reduced = stages.evaluate_selection(balanced, preset, {"forest": {"n_estimators": 3, "max_depth": 3}})
+    assert reduced["forest"]["predictions"].count() == balanced.part("test").count()
     assert balanced.part("test").count() == data.part("test").count()
     tuned = stages.tune(balanced, str(root / "stage3"), preset, ("forest",), trials=1, spaces=SPACE)
     lines = {r["class"]: r for r in tuned["forest"]["report"].collect()}
@@ -52,7 +54,11 @@ def test_balance_tune_and_explain(spark, prepared):
     assert tuned["forest"]["macro_auc"].first()["auc"] > 0.9
     again = stages.tune(balanced, str(root / "stage3"), preset, ("forest",), trials=1, spaces=SPACE)
     assert {r["class"]: r.f1 for r in again["forest"]["report"].collect()} == {c: r.f1 for c, r in lines.items()}
-    views = stages.explain_model(balanced, "forest", tuned["forest"]["model"], str(root / "stage4"))
+    assert spark.read.parquet(str(root / "stage0_rejected")).agg(F.sum("n_rows")).first()[0] == 532
+    views = stages.explain_model(balanced, "forest", str(root / "stage3" / "forest" / "model"), str(root / "stage4"))
+    assert views["attributions"].select("row_id").distinct().count() == balanced.part("test").count()
+    some = stages.explain_model(balanced, "forest", tuned["forest"]["model"], str(root / "stage4"), rows=30)
+    assert some["attributions"].select("row_id").distinct().count() == 30
     assert views["importance"].count() == 2
     assert views["coverage"].filter("absent").count() == 0
     assert {r.predicted_label for r in views["breakdown"].collect()} == {"Benign", "Bot", "Infiltration"}
