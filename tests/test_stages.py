@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.plans import presets, stages
 
-SPACE = {"forest": {"n_estimators": ("quniform", 2, 3, 1), "max_depth": ("quniform", 2, 4, 1)}}
+SPACE = {"forest": {"n_estimators": ("quniform", 10, 12, 1), "max_depth": ("quniform", 4, 5, 1)}}
 
 
 @pytest.fixture(scope="module")
