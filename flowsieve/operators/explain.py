@@ -11,6 +11,7 @@ by Gauss-Legendre nodes, for a whole batch of rows and leaves at once.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.bounded import join_on, small_table, work_path
+from flowsieve.functions.bounded import join_on, materialise, small_table, work_path
 from flowsieve.functions.scalar import named
 from flowsieve.functions.shipping import ship_package
 
@@ -45,21 +46,32 @@ class LeafTable:
 
 
 def leaf_tables(model) -> list[LeafTable]:
-    """Leaf tables of a fitted Spark ML tree model, from its stored node table."""
+    """Leaf tables of a fitted Spark ML tree model, all of them at once; meant for small models."""
+    return _fetched(stored_leaves(model))
+
+
+def stored_leaves(model) -> DataFrame:
+    """(number, size, data): the leaf table of every tree, built from the model's stored nodes by one task per tree."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import OneVsRestModel
 
     if isinstance(model, PipelineModel):
-        return leaf_tables(model.stages[-1])
-    if isinstance(model, OneVsRestModel):
-        return [t for code, part in enumerate(model.models) for t in _stored_tables(part, code)]
-    return _stored_tables(model, 1)
+        return stored_leaves(model.stages[-1])
+    models = model.models if isinstance(model, OneVsRestModel) else [model]
+    parts = [_leaves_of(part, code) for code, part in (enumerate(models) if len(models) > 1 else [(1, models[0])])]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    place = F.row_number().over(W.orderBy("code", "treeID"))  # one row per tree, without its data
+    numbers = table.select("code", "treeID").withColumn("number", place)
+    return materialise(table.join(numbers, ["code", "treeID"]).select("number", "size", "data"), "leaves")
 
 
-def _stored_tables(model, code: int) -> list[LeafTable]:
+def _leaves_of(model, code: int) -> DataFrame:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
+    ship_package(spark)
     path = work_path(spark, "model")
     model.write().save(path)
     raw = spark.read.parquet(f"{path}/data")
@@ -69,18 +81,22 @@ def _stored_tables(model, code: int) -> list[LeafTable]:
                        "nodeData.leftChild", "nodeData.rightChild",
                        F.col("nodeData.split.featureIndex").alias("feature"),
                        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-                       F.col("nodeData.split.numCategories").alias("categories")).toPandas()
+                       F.col("nodeData.split.numCategories").alias("categories"))
     kind = type(model).__name__
-    trees = nodes["treeID"].nunique()
-    if kind == "RandomForestClassificationModel":
-        weights, classes = np.full(trees, 1.0 / trees), model.numClasses
-    elif kind == "DecisionTreeClassificationModel":
-        weights, classes = np.ones(1), model.numClasses
-    elif kind.startswith("GBT"):
-        weights, classes = np.asarray(model.treeWeights), 0
-    else:
-        weights, classes = np.full(trees, 1.0 / trees), 0
-    return [_leaves(tree, weights[number], classes, code) for number, tree in nodes.groupby("treeID")]
+    boosted = list(model.treeWeights) if kind.startswith("GBT") else None
+    trees = 1 if "DecisionTree" in kind else len(model.treeWeights)
+    classes = model.numClasses if kind in ("RandomForestClassificationModel", "DecisionTreeClassificationModel") else 0
+
+    def build(tree: pd.DataFrame) -> pd.DataFrame:
+        number = int(tree["treeID"].iloc[0])
+        leaves = _leaves(tree, boosted[number] if boosted else 1.0 / trees, classes, code)
+        return pd.DataFrame({"code": [code], "treeID": [number], "size": [leaves.nbytes()], "data": [pickle.dumps(leaves)]})
+
+    return materialise(nodes.groupBy("treeID").applyInPandas(build, "code int, treeID int, size long, data binary"), "leaves")
+
+
+def _fetched(leaves: DataFrame) -> list[LeafTable]:
+    return [pickle.loads(r["data"]) for r in sorted(leaves.collect(), key=lambda r: r["number"])]
 
 
 def _leaves(tree: pd.DataFrame, weight: float, classes: int, code: int) -> LeafTable:
@@ -147,15 +163,15 @@ def tree_attributions(table: LeafTable, x: np.ndarray):
     return phi, base, output
 
 
-def _grouped(tables: list[LeafTable]) -> list[list[LeafTable]]:
-    """Trees in groups whose tables stay below the broadcast size."""
+def _grouped(leaves: DataFrame) -> list[list[int]]:
+    """Numbers of trees in groups whose tables stay below the broadcast size."""
     groups, size = [[]], 0
-    for table in tables:
-        if groups[-1] and size + table.nbytes() > GROUP_BYTES:
+    for number, own in sorted(map(tuple, leaves.select("number", "size").collect())):
+        if groups[-1] and size + own > GROUP_BYTES:
             groups.append([])
             size = 0
-        groups[-1].append(table)
-        size += table.nbytes()
+        groups[-1].append(number)
+        size += own
     return groups
 
 
@@ -168,7 +184,8 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
     """
     spark = df.sparkSession
     ship_package(spark)
-    groups = _grouped(leaf_tables(model))
+    leaves = stored_leaves(model)
+    groups = _grouped(leaves)
     rows = df.select(named(row_id).alias(row_id), F.array(*[named(f).cast("double") for f in features]).alias("_x"))
     schema = T.StructType([rows.schema[row_id], T.StructField("class_id", T.IntegerType()),
                            T.StructField("base_value", T.DoubleType()), T.StructField("output", T.DoubleType()),
@@ -195,7 +212,11 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
                                         "output": output[:, c], "_x": pdf["_x"], "_phi": list(phi[:, :, c])})
         return explain
 
-    parts = [rows.mapInPandas(explain_with(spark.sparkContext.broadcast(g)), schema) for g in groups]
+    if len(groups) > 1:
+        rows = materialise(rows, "explained")
+    # One group of tables is on the driver at a time, on its way to the executors.
+    parts = [rows.mapInPandas(explain_with(spark.sparkContext.broadcast(_fetched(leaves.filter(F.col("number").isin(g))))), schema)
+             for g in groups]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import work_path
+from flowsieve.functions.bounded import materialise, work_path
 from flowsieve.operators import encode, evaluate, explain, models, sample, search, select
 from flowsieve.plans import presets, stages
 from flowsieve.queries import query
@@ -18,21 +18,27 @@ from flowsieve.tables import table
 
 EVENT_FEATURES = ["value", "k", "user"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-# Fewer trees than the presets keep the checks short; rows are whole.
+# Forests have all their trees; fewer boosting rounds than the presets keep the checks short.  Rows are whole.
 SHORT_PARAMS = {
-    "forest": {**models.BASE_PARAMS["forest"], "n_estimators": 20},
+    "forest": models.BASE_PARAMS["forest"],
     "boost_depth": {**models.BASE_PARAMS["boost_depth"], "n_estimators": 5},
     "boost_leaves": {**models.BASE_PARAMS["boost_leaves"], "n_estimators": 5},
     "boost_bins": {**models.BASE_PARAMS["boost_bins"], "iterations": 5},
 }
+# Trees of the forest whose every row is explained.
+EXPLAINED_TREES = 20
 
 
-def lines(spark, folder):
-    """Line items with a key, a two-class code and a split."""
-    df = table(spark, folder, "lineitem").select(
+def all_lines(spark, folder):
+    """Line items with a key and a two-class code."""
+    return table(spark, folder, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
         (F.col("l_linestatus") == "O").cast("int").alias("label_id"), *LINE_FEATURES)
-    return sample.stratified_split(df, ["row_id"], "label_id")
+
+
+def lines(spark, folder):
+    """The same with a split, stored once for all that reads it."""
+    return materialise(sample.stratified_split(all_lines(spark, folder), ["row_id"], "label_id"), "lines")
 
 
 def events(spark, folder):
@@ -50,7 +56,7 @@ def parts(df):
 @query("feature_ranking")
 def feature_ranking(spark, folder):
     """Importances of a regression forest on the label code."""
-    return select.rank_features(lines(spark, folder), "label_id", LINE_FEATURES)
+    return select.rank_features(all_lines(spark, folder), "label_id", LINE_FEATURES)
 
 
 @query("selected_features")
@@ -71,7 +77,7 @@ def nth_largest_value(spark, folder):
 def baseline_comparison(spark, folder):
     """All four slots fitted on line items and compared on the test part."""
     train, test = parts(lines(spark, folder))
-    scored = models.compare_slots(train, test, "row_id", "label_id", LINE_FEATURES, SHORT_PARAMS)
+    scored = models.compare_slots(train, test, "row_id", "label_id", LINE_FEATURES, SHORT_PARAMS, n_classes=2)
     counts = evaluate.confusion_counts(scored, "label_id", "prediction", ["model"])
     return evaluate.compare_models(counts, ["model"])
 
@@ -81,7 +87,8 @@ def forest_report(spark, folder):
     """Per-class report of a forest on events."""
     train, test = parts(sample.stratified_split(events(spark, folder), ["row_id"], "label_id"))
     model = models.train("forest", SHORT_PARAMS["forest"], train, "label_id", EVENT_FEATURES)
-    return models.evaluate_predictions(models.score(model, test, "row_id", "label_id", EVENT_FEATURES), digits=4)["report"]
+    scored = models.score(model, test, "row_id", "label_id", EVENT_FEATURES)
+    return evaluate.report(evaluate.confusion_counts(scored, "label_id", "prediction"), digits=4)
 
 
 @query("class_probabilities")
@@ -97,7 +104,8 @@ def multiclass_boosting_auc(spark, folder):
     """One boosted ensemble per class, ranked by raw score."""
     train, test = parts(sample.stratified_split(events(spark, folder), ["row_id"], "label_id"))
     model = models.train("boost_leaves", {"n_estimators": 2, "num_leaves": 8, "learning_rate": 0.1}, train, "label_id", EVENT_FEATURES)
-    return models.evaluate_predictions(models.score(model, test, "row_id", "label_id", EVENT_FEATURES))["auc"]
+    scored = models.score(model, test, "row_id", "label_id", EVENT_FEATURES)
+    return evaluate.area_under_roc(evaluate.score_counts(evaluate.long_scores(scored, "label_id", "score"), ["class"]), ["class"])
 
 
 LINES_SQL = """keyed AS (
@@ -110,12 +118,11 @@ WITH {LINES_SQL}, {split_sql('keyed', 'row_id', 'label_id')}
 SELECT label_id, count(*) AS n, count(*) AS n_same FROM parts WHERE split = 'test' GROUP BY 1""")
 def stored_model_scores(spark, folder):
     """A model saved, loaded and applied: how many predictions of both agree."""
-    from pyspark.ml.classification import RandomForestClassificationModel
     train, test = parts(lines(spark, folder))
-    model = models.train("forest", {"n_estimators": 5, "max_depth": 5}, train, "label_id", LINE_FEATURES)
+    model = models.train("forest", SHORT_PARAMS["forest"], train, "label_id", LINE_FEATURES)
     path = work_path(spark, "forest")
     store.save_model(model, path)
-    loaded = RandomForestClassificationModel.load(path)
+    loaded = store.load_model(path)
     before = models.score(model, test, "row_id", "label_id", LINE_FEATURES).select("row_id", "label_id", "prediction")
     after = models.score(loaded, test, "row_id", "label_id", LINE_FEATURES).select("row_id", F.col("prediction").alias("again"))
     same = (F.col("prediction") == F.col("again")).cast("bigint")
@@ -162,11 +169,10 @@ def tuned_forest_report(spark, folder):
 
 
 def explained_events(spark, folder):
-    """A forest on events with the attributions of a stratified sample."""
+    """A forest on events with the attributions of every event."""
     rows = events(spark, folder)
-    model = models.train("forest", {"n_estimators": 10, "max_depth": 5}, rows, "label_id", EVENT_FEATURES)
-    picked = sample.stratified_sample(rows, ["row_id"], "label_id", presets.EXPLAIN_ROWS)
-    return picked, model, explain.attributions(picked, model, "row_id", EVENT_FEATURES)
+    model = models.train("forest", {**SHORT_PARAMS["forest"], "n_estimators": EXPLAINED_TREES}, rows, "label_id", EVENT_FEATURES)
+    return rows, model, explain.attributions(rows, model, "row_id", EVENT_FEATURES)
 
 
 @query("forest_attributions")
@@ -177,20 +183,21 @@ def forest_attributions(spark, folder):
 @query("boosted_attributions")
 def boosted_attributions(spark, folder):
     """Attributions of a boosted model with base value."""
-    rows = lines(spark, folder)
+    rows = all_lines(spark, folder)
     model = models.train("boost_depth", {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3}, rows, "label_id", LINE_FEATURES)
-    picked = sample.stratified_sample(rows, ["row_id"], "label_id", presets.EXPLAIN_ROWS)
-    return explain.attributions(picked, model, "row_id", LINE_FEATURES)
+    return explain.attributions(rows, model, "row_id", LINE_FEATURES)
 
 
 @query("attribution_additivity", """
 SELECT (row_number() OVER (ORDER BY event_type) - 1)::INT AS class_id,
-       (SELECT least(20000, count(*)) FROM events)::BIGINT AS n, 0.0::DOUBLE AS largest_gap
+       (SELECT count(*) FROM events)::BIGINT AS n, 0.0::DOUBLE AS largest_gap
 FROM (SELECT DISTINCT event_type FROM events)""")
 def attribution_additivity(spark, folder):
-    """Largest gap between base plus attributions and model output, per class."""
-    phi = explained_events(spark, folder)[2]
-    sums = phi.groupBy("row_id", "class_id").agg((F.max("base_value") + F.sum("phi") - F.max("output")).alias("gap"))
+    """Largest gap between base plus attributions and the model's own score, per class."""
+    rows, model, phi = explained_events(spark, folder)
+    scored = models.score(model, rows, "row_id", "label_id", EVENT_FEATURES).select("row_id", F.posexplode("score").alias("class_id", "own"))
+    sums = phi.groupBy("row_id", "class_id").agg((F.max("base_value") + F.sum("phi")).alias("total"))
+    sums = sums.join(scored, ["row_id", "class_id"]).withColumn("gap", F.col("total") - F.col("own"))
     return sums.groupBy("class_id").agg(F.count("*").alias("n"), F.round(F.max(F.abs("gap")), 9).alias("largest_gap"))
 
 
@@ -207,9 +214,12 @@ def class_attribution_summary(spark, folder):
 @query("local_breakdown")
 def local_breakdown(spark, folder):
     """From base value to prediction for the most typical row of every class."""
-    picked, model, phi = explained_events(spark, folder)
-    typical = explain.representatives(picked, "row_id", "label_id", EVENT_FEATURES)
-    scored = models.score(model, picked.join(typical.select("row_id"), "row_id", "left_semi"), "row_id", "label_id", EVENT_FEATURES)
+    rows = events(spark, folder)
+    model = models.train("forest", {**SHORT_PARAMS["forest"], "n_estimators": EXPLAINED_TREES}, rows, "label_id", EVENT_FEATURES)
+    typical = explain.representatives(rows, "row_id", "label_id", EVENT_FEATURES)
+    picked = materialise(rows.join(typical.select("row_id"), "row_id", "left_semi"), "typical")
+    phi = explain.attributions(picked, model, "row_id", EVENT_FEATURES)
+    scored = models.score(model, picked, "row_id", "label_id", EVENT_FEATURES)
     return explain.local_breakdown(phi, scored.select("row_id", F.col("prediction").alias("class_id")), "row_id")
 
 
