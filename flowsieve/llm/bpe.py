@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from flowsieve.functions.shipping import ship_package
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-# Remembered words, states and byte counts of a worker; beyond this they are made anew.
-MEMO = 1_000_000
+# Remembered words and states of a task; beyond this they are made anew.  Each task has coders of its own, so
+# their memory ends with it.
+MEMO = 300_000
+STATES = 60_000
 LONG_WORD = 64
 LOOKAHEAD = 256
 # A node and the token before it (0: none) in one number.
@@ -238,7 +240,7 @@ class Encoder:
             data = word.encode()
             rank = self.ranks.get(data)
             known = (rank,) if rank is not None else tuple(self.stream(data))
-            if len(self.states) >= MEMO:
+            if len(self.states) >= STATES:
                 self._forget_states()
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -336,17 +338,11 @@ class Decoder:
         return "".join(self.stream(ids) if None in texts else texts)
 
 
-_loaded: dict[tuple[int, str], tuple[Encoder, Decoder]] = {}
-
-
 def coders(data: bytes, pattern: str) -> tuple[Encoder, Decoder]:
-    """The coders of a rank table, built once per worker."""
-    key = (hash(data), pattern)
-    if key not in _loaded:
-        gc.set_threshold(200_000, 50, 50)  # the coders only hold what they keep
-        ranks = read_ranks(data)
-        _loaded[key] = (Encoder(ranks, pattern), Decoder(ranks))
-    return _loaded[key]
+    """The coders of a rank table."""
+    gc.set_threshold(200_000, 50, 50)  # the coders only hold what they keep
+    ranks = read_ranks(data)
+    return Encoder(ranks, pattern), Decoder(ranks)
 
 
 def _broadcast(spark, path: str | None, pattern: str | None):

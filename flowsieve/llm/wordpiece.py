@@ -22,8 +22,8 @@ from flowsieve.functions.shipping import ship_package
 
 VOCABULARY_FILE = "piece_bpe_32k.model"
 WORD_START = "▁"
-# Remembered words of a worker; beyond this they are counted anew.
-MEMO = 1_000_000
+# Remembered words of a task; beyond this they are counted anew.
+MEMO = 300_000
 LONG_WORD = 64
 
 
@@ -107,18 +107,12 @@ class Counter:
         return len(words), tokens, unknown
 
 
-_loaded: dict[int, Counter] = {}
-
-
 def piece_counter(model: bytes) -> Counter:
     """Counter of a sentence-piece vocabulary: all ordinary pieces may begin or go on a word."""
-    key = hash(model)
-    if key not in _loaded:
-        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        pieces = {processor.id_to_piece(i) for i in range(processor.get_piece_size())
-                  if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i))}
-        _loaded[key] = Counter(Automaton(pieces, pieces), WORD_START)
-    return _loaded[key]
+    processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+    pieces = {processor.id_to_piece(i) for i in range(processor.get_piece_size())
+              if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i))}
+    return Counter(Automaton(pieces, pieces), WORD_START)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
