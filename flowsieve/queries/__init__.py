@@ -31,5 +31,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     """Import the modules that register queries."""
     from flowsieve.queries import (  # noqa: F401
-        cleaning, evaluation, learning, neighbors, sampling, sources,
+        cleaning, evaluation, learning, neighbors, properties, sampling, sources,
     )

@@ -39,9 +39,10 @@ def read_text_csv(spark: SparkSession, folder: str, schema: T.StructType | None
     """CSV folder with every column as text, plus the file each row came from.
 
     Without a schema the header of the first file names the columns; values are
-    never inferred, so no extra pass over the data is made.
+    never inferred, so no extra pass over the data is made.  A file with another
+    header ends the read with an error; ``read_flows`` takes those by name.
     """
-    reader = spark.read.option("header", "true").option("pathGlobFilter", CSV_SUFFIX)
+    reader = spark.read.option("header", "true").option("pathGlobFilter", CSV_SUFFIX).option("enforceSchema", "false")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if schema is not None:
