@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.functions.bounded import SMALL_ROWS, materialise, small_arrow, small_table
+from flowsieve.functions.ordered import RANGE, RANGE_ROWS, with_ranges
 from flowsieve.functions.scalar import hash_key, hash_modulo, named
 from flowsieve.functions.shipping import ship_package
 from flowsieve.operators.sample import first_rows
@@ -178,9 +179,14 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
     units = materialise(_fold_copies(base, k), "units")
     id_type = base.schema["id"].dataType.simpleString()
 
-    cells = _choose_pivots(units, block_rows, max_pivots)
-    assigned = _assign_cells(units, cells, block_rows)
-    candidates = _search(assigned, cells, k, id_type, visit_rows)
+    single = not isinstance(features, str) and len(features) == 1
+    candidates = _on_a_line(units, k) if single else None
+    if candidates is None:
+        cells = _choose_pivots(units, block_rows, max_pivots)
+        assigned = _assign_cells(units, cells, block_rows)
+        candidates = _search(assigned, cells, k, id_type, visit_rows)
+    else:
+        assigned = units
 
     best = F.row_number().over(W.partitionBy("uid").orderBy("dist", "nid"))
     closest = candidates.withColumn("_place", best).filter(F.col("_place") <= k + 1).drop("_place")
@@ -201,6 +207,48 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
     return named_result.withColumn("cls", own_class).withColumnRenamed("cls", within)
 
 
+def _on_a_line(units: DataFrame, k: int, range_rows: int = RANGE_ROWS) -> DataFrame | None:
+    """(uid, dist, nid, nlabel) of a single feature: the nearest stand next to each other in value order.
+
+    Windows look k + 1 units to either side inside value ranges of bounded size; a range also gets the units next
+    to it.  Distances are rounded, so units beyond the window might tie with the last one needed: then None is
+    returned and the search in cells takes over.
+    """
+    count = k + 1
+    slim = materialise(units.select("cls", F.col("vec")[0].alias("v"), F.col("ids")[0].alias("uid"), "ids", "labels"), "line")
+    ranged = with_ranges(slim, "v", range_rows=range_rows)
+    groups = ["cls"]
+    ranged = ranged.withColumn("_pad", F.lit(False))
+    if RANGE in ranged.columns:
+        groups.append(RANGE)
+        inside = W.partitionBy(*groups)
+        ends = (ranged.withColumn("_a", F.row_number().over(inside.orderBy("v"))).withColumn("_b", F.row_number().over(inside.orderBy(F.desc("v"))))
+                .filter((F.col("_a") <= count) | (F.col("_b") <= count)))
+        # A few units per range and class, so a class's ends stand in one window.
+        unit = F.struct("v", "uid", "ids", "labels")
+        across = W.partitionBy("cls").orderBy("v")
+        ends = ends.withColumn("_before", F.collect_list(unit).over(across.rowsBetween(-count, -1))).withColumn(
+            "_after", F.collect_list(unit).over(across.rowsBetween(1, count)))
+        sides = [ends.filter(F.col("_a") == 1).select(*groups, F.explode("_before").alias("u")),
+                 ends.filter(F.col("_b") == 1).select(*groups, F.explode("_after").alias("u"))]
+        pads = sides[0].unionByName(sides[1]).select(*groups, "u.*").withColumn("_pad", F.lit(True))
+        ranged = ranged.unionByName(pads)
+    order = W.partitionBy(*groups).orderBy("v")
+    listed = F.struct("v", "ids", "labels")
+    near = ranged.withColumn("_low", F.collect_list(listed).over(order.rowsBetween(-count, -1))).withColumn(
+        "_high", F.collect_list(listed).over(order.rowsBetween(0, count))).filter(~F.col("_pad"))
+    units_near = near.select("uid", "v", "_low", "_high", F.explode(F.concat("_low", "_high")).alias("u"))
+    each = units_near.select("uid", F.round(F.abs(F.col("u.v") - F.col("v")), 9).alias("dist"), F.inline(F.arrays_zip(
+        F.col("u.ids").alias("nid"), F.col("u.labels").alias("nlabel"))))
+    candidates = materialise(each, "near")
+    rank = F.row_number().over(W.partitionBy("uid").orderBy("dist", "nid"))
+    last = candidates.withColumn("_place", rank).filter(F.col("_place") == count).select("uid", F.col("dist").alias("_last"))
+    edge = near.select("uid", F.when(F.size("_low") == count, F.round(F.col("v") - F.col("_low")[0]["v"], 9)).alias("_left"),
+                       F.when(F.size("_high") == count + 1, F.round(F.col("_high")[count]["v"] - F.col("v"), 9)).alias("_right"))
+    tied = edge.join(last, "uid").filter((F.col("_left") <= F.col("_last")) | (F.col("_right") <= F.col("_last")))
+    return None if tied.limit(1).count() else candidates
+
+
 def _fold_copies(base: DataFrame, k: int) -> DataFrame:
     """(cls, vec, ids, labels): distinct vectors with their k+1 lowest ids."""
     place = F.row_number().over(W.partitionBy("cls", "vec").orderBy("id"))

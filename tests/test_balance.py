@@ -106,3 +106,36 @@ def test_oversample_and_edit_against_brute_force(spark):
     want = {i for i, c in zip(ids, labels) if all(by_id[j] == c for _, j in near[i])}
     got = balance.oversample_and_edit(df, "row_id", "label", names)
     assert {r.row_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("within,range_rows", [(None, 1_000_000), ("label", 1_000_000), (None, 15), ("label", 12)])
+def test_one_feature_is_searched_in_value_order(spark, monkeypatch, within, range_rows):
+    from flowsieve.operators import neighbors
+    search = neighbors._on_a_line
+    used = []
+
+    def line(units, k):
+        used.append(search(units, k, range_rows))
+        return used[-1]
+
+    monkeypatch.setattr(neighbors, "_on_a_line", line)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(240, 1)) * 20, 1)
+    x[:80] = x[0]
+    classes = np.where(rng.random(240) < 0.8, "big", "small")
+    df, names = table(spark, x, rng.permutation(240), classes)
+    ids = np.array([r.row_id for r in df.collect()])
+    got = nearest_neighbors(df, "row_id", names, 3, within=within, label="label").collect()
+    want = brute(x, ids, 3, classes if within else None)
+    assert used[0] is not None and len(got) == 240
+    for row in got:
+        assert [(n["dist"], n["id"]) for n in row["neighbors"]] == want[row["row_id"]]
+
+
+def test_near_ties_on_one_feature_fall_back_to_the_cell_search(spark):
+    x = np.array([[i * 1e-12] for i in range(30)] + [[5.0 + i] for i in range(10)])
+    ids = np.arange(40)[::-1].copy()
+    df, names = table(spark, x, ids, np.array(["a"] * 40))
+    want = brute(x, ids, 3)
+    for row in nearest_neighbors(df, "row_id", names, 3).collect():
+        assert [(n["dist"], n["id"]) for n in row["neighbors"]] == want[row["row_id"]]
