@@ -91,6 +91,16 @@ def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once its results are stored elsewhere.
+
+    Frames that still read them fail afterwards.
+    """
+    folder = f"{work_root(spark).rstrip('/')}/flowsieve-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out partitions for iterative training if one is far above its share.
 

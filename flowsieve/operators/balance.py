@@ -52,11 +52,11 @@ def oversample(df: DataFrame, row_id: str, label: str, features: list[str], k: i
     if created == 0:
         return originals
     minority = small_table(histogram.filter(F.col("n") < largest))
-    lacking = join_on(df.select(row_id, label, *[named(f) for f in features]), minority, [label])
+    lacking = join_on(df.select(named(row_id), named(label), *[named(f) for f in features]), minority, [label])
     slots = take_slots(lacking, [row_id], f"{seed}:grow", [label],
                        single_quota(F.pmod(F.lit(largest) - F.col("n"), F.col("n"))), "_slot")
     share = F.floor((F.lit(largest) - F.col("n")) / F.col("n")).cast("bigint")
-    bases = slots.select(row_id, label, F.array(*[named(f).cast("double") for f in features]).alias("_x"),
+    bases = slots.select(named(row_id), named(label), F.array(*[named(f).cast("double") for f in features]).alias("_x"),
                          (share + F.when(F.col("_slot") == 0, 1).otherwise(0)).alias("_copies"))
     near = nearest_neighbors(lacking, row_id, features, k, within=label, vectors=True).select(row_id, "neighbors")
     ready = bases.join(near, row_id).filter(F.col("_copies") > 0)

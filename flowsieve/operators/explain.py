@@ -260,13 +260,13 @@ def class_centres(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 def representatives(df: DataFrame, row_id: str, label: str, features: list[str]) -> DataFrame:
     """(label, row_id, dist): the row nearest to its class mean; the lower id on ties."""
     centres = class_centres(df, label, features).drop("n").withColumnsRenamed({f: f"_c_{f}" for f in features})
-    joined = join_on(df.select(row_id, label, *[named(f) for f in features]), small_table(centres), [label])
+    joined = join_on(df.select(named(row_id), named(label), *[named(f) for f in features]), small_table(centres), [label])
     square = sum(((named(f) - named(f"_c_{f}")) * (named(f) - named(f"_c_{f}")) for f in features), F.lit(0.0))
-    placed = joined.select(row_id, label, F.round(F.sqrt(square), 9).alias("dist"))
+    placed = joined.select(named(row_id), named(label), F.round(F.sqrt(square), 9).alias("dist"))
     # Two hash aggregates instead of the minimum of a pair, which would sort all rows.
     closest = small_table(placed.groupBy(named(label).alias(label)).agg(F.min("dist").alias("_least")))
     ties = join_on(placed, closest, [label]).filter(F.col("dist") == F.col("_least"))
-    return ties.groupBy(named(label).alias(label)).agg(F.min(row_id).alias(row_id), F.min("dist").alias("dist"))
+    return ties.groupBy(named(label).alias(label)).agg(F.min(named(row_id)).alias(row_id), F.min("dist").alias("dist"))
 
 
 def class_coverage(rows: DataFrame, sample: DataFrame, label: str) -> DataFrame:
@@ -283,8 +283,8 @@ def local_breakdown(phi: DataFrame, chosen: DataFrame, row_id: str) -> DataFrame
     Contributions come in order of size; ``start`` and ``stop`` are the running
     output before and after each.  Windows hold one row's features.
     """
-    mine = join_on(phi, chosen.select(row_id, "class_id"), [row_id, "class_id"], "left_semi")
-    order = W.partitionBy(row_id, "class_id").orderBy(F.abs("phi").desc(), "feature")
+    mine = join_on(phi, chosen.select(named(row_id), "class_id"), [row_id, "class_id"], "left_semi")
+    order = W.partitionBy(named(row_id), "class_id").orderBy(F.abs("phi").desc(), "feature")
     upto = F.col("base_value") + F.sum("phi").over(order.rowsBetween(W.unboundedPreceding, 0))
     return (mine.withColumn("place", F.row_number().over(order)).withColumn("stop", upto)
             .withColumn("start", F.col("stop") - F.col("phi")))

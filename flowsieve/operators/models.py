@@ -26,7 +26,7 @@ BASE_TREES = 100
 MAX_BINS = 32
 DEPTH_LIMIT = 30
 
-# Baseline settings per slot in the vocabulary of the search spaces.
+# Baseline settings per slot in the vocabulary of the search spaces.
 BASE_PARAMS = {
     "forest": {"n_estimators": BASE_TREES, "max_depth": 6, "subsample": 0.8, "max_features_share": 0.8},
     "boost_depth": {"n_estimators": BASE_TREES, "max_depth": 6, "learning_rate": 0.3},

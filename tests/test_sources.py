@@ -130,3 +130,12 @@ def test_row_ids_do_not_depend_on_partitions(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found[0] == found[1] and len({r[0] for r in found[0]}) == 3150
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    from flowsieve.functions import bounded
+    monkeypatch.setattr(bounded, "work_root", lambda _: str(tmp_path))
+    assert bounded.materialise(spark.range(3), "numbers").count() == 3
+    assert list(tmp_path.iterdir())
+    bounded.clear_work(spark)
+    assert not list(tmp_path.iterdir())
