@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,27 @@ def class_histogram(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(named(label).alias(label)).agg(F.count("*").alias("n"))
 
 
+def rows_of_class(df: DataFrame, label: str, value) -> DataFrame:
+    """Rows of one class."""
+    return df.filter(named(label) == F.lit(value))
+
+
+def class_values(df: DataFrame, label: str, value: str, column: str = "n_values") -> DataFrame:
+    """(label, n_values): distinct classes and the number of distinct values inside each."""
+    return df.groupBy(named(label).alias(label)).agg(F.count_distinct(named(value)).alias(column))
+
+
+def union_by_name(parts: list[DataFrame]) -> DataFrame:
+    """All rows of all parts; columns a part lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def label_set(parts: list[tuple[DataFrame, str]], column: str = "label") -> DataFrame:
+    """Distinct labels over several tables, made distinct in each before they meet."""
+    sets = [df.select(named(label).alias(column)).distinct() for df, label in parts]
+    return reduce(lambda a, b: a.union(b), sets).distinct()
+
+
 def smallest_class(df: DataFrame, label: str) -> DataFrame:
     """(smallest, largest, n_classes) over the class histogram."""
     return class_histogram(df, label).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"),

@@ -88,6 +88,11 @@ def cross_validate(rows: DataFrame, row_id: str, label_id: str, features: list[s
     return evaluate.macro_f1(evaluate.confusion_counts(table, "label_id", "prediction", ["fold"]), ["fold"])
 
 
+def mean_fold_score(scores: DataFrame, groups: list[str] = (), score: str = "f1_macro") -> DataFrame:
+    """(groups, mean_score): the mean over folds that a trial is judged by."""
+    return scores.groupBy(*groups).agg(F.avg(score).alias("mean_score"))
+
+
 def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slot: str, trials_path: str,
            trials: int | None = None, chunk_rows: int | None = None, space: dict | None = None, folds: int = 3,
            seed: int = 42) -> DataFrame:
@@ -117,7 +122,7 @@ def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slo
             point = draw_point(space, seed, trial)
             part = stored.filter(F.col("chunk") == trial % chunks)
             scores = cross_validate(part, row_id, label_id, features, slot, point, folds, classes)
-            loss = -scores.agg(F.avg("f1_macro")).first()[0]
+            loss = -mean_fold_score(scores).first()[0]
             store.append_trial(spark, trials_path, [(slot, trial, trial % chunks, point, float(loss))])
     return store.load_trials(spark, trials_path).filter(F.col("model") == slot)
 

@@ -159,7 +159,7 @@ def header_rows_dropped(spark, folder):
 
 @query("rows_of_class", "SELECT vec_id, label FROM embeddings WHERE label = 3")
 def rows_of_class(spark, folder):
-    return table(spark, folder, "embeddings").filter(F.col("label") == 3).select("vec_id", "label")
+    return clean.rows_of_class(table(spark, folder, "embeddings"), "label", 3).select("vec_id", "label")
 
 
 @query("cleaned_flows", f"""
@@ -191,8 +191,7 @@ def step_counts(spark, folder):
 @query("class_values", "SELECT DISTINCT l_returnflag, count(DISTINCT l_linestatus) AS n_status FROM lineitem GROUP BY 1")
 def class_values(spark, folder):
     """Distinct classes and the number of distinct values inside each."""
-    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_linestatus").alias("n_status"))
+    return clean.class_values(table(spark, folder, "lineitem"), "l_returnflag", "l_linestatus", "n_status")
 
 
 @query("class_histogram", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
@@ -226,7 +225,7 @@ def union_by_name(spark, folder):
         F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     suppliers = table(spark, folder, "supplier").select(
         F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
-    return customers.unionByName(suppliers, allowMissingColumns=True)
+    return clean.union_by_name([customers, suppliers])
 
 
 @query("label_set_union", """
@@ -234,5 +233,4 @@ SELECT event_type AS label FROM events UNION SELECT o_orderpriority FROM orders
 def label_set_union(spark, folder):
     """Distinct label values over several sources."""
     parts = [("events", "event_type"), ("orders", "o_orderpriority"), ("lineitem", "l_returnflag")]
-    sets = [table(spark, folder, t).select(F.col(c).alias("label")).distinct() for t, c in parts]
-    return sets[0].union(sets[1]).union(sets[2]).distinct()
+    return clean.label_set([(table(spark, folder, t), c) for t, c in parts])

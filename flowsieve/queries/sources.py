@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import materialise, work_path
-from flowsieve.operators import evaluate, sample
+from flowsieve.functions.bounded import work_path
+from flowsieve.operators import evaluate, sample, search
 from flowsieve.queries import query
 from flowsieve.queries.evaluation import predicted_events
 from flowsieve.queries.sampling import split_sql
@@ -105,11 +105,10 @@ def csv_rejected_rows(spark, folder):
     path = work_path(spark, "broken-csv")
     events = table(spark, folder, "events")
     line = F.concat_ws(",", "event_id", "value", "event_type")
-    events.select(F.when(F.col("value") < 10, F.concat(line, F.lit(",surplus"))).otherwise(line).alias("value")).write.text(path + "/body")
-    schema = "event_id string, value string, Label string, _corrupt string"
-    df = (spark.read.schema(schema).option("columnNameOfCorruptRecord", flows.CORRUPT).csv(path + "/body")
-          .withColumn("source_file", F.col("_metadata.file_path")))
-    return flows.rejected_rows(materialise(df, "landed")).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_rejected").alias("n_rejected"))
+    # One column named like a whole header line, written without quotes, gives raw lines under a header.
+    whole = F.when(F.col("value") < 10, F.concat(line, F.lit(",surplus"))).otherwise(line).alias("event_id,value,Label")
+    events.select(whole).write.option("header", "true").option("sep", "\u0001").option("quote", "").csv(path)
+    return flows.rejected_rows(flows.land_flows(spark, path, recursive=True)).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_rejected").alias("n_rejected"))
 
 
 @query("landed_flows", f"""
@@ -210,4 +209,4 @@ def mean_fold_score(spark, folder):
     """Mean over folds of a per-fold score."""
     folds = (table(spark, folder, "events").groupBy(F.col("event_type").alias("model"), F.pmod("user_id", F.lit(3)).alias("fold"))
              .agg(F.round(F.avg("value"), 6).alias("s")))
-    return folds.groupBy("model").agg(F.round(F.avg("s"), 6).alias("mean_score"))
+    return search.mean_fold_score(folds, ["model"], "s").withColumn("mean_score", F.round("mean_score", 6))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from flowsieve.functions.bounded import materialise, small_table
 from flowsieve.functions.scalar import named, unique_names
 from flowsieve.functions.shipping import ship_package
+from flowsieve.operators.clean import union_by_name
 
 CSV_SUFFIX = "*.[cC][sS][vV]"
 CORRUPT = "_corrupt"
@@ -139,7 +139,7 @@ def read_flows(spark: SparkSession, folder: str, recursive: bool = False, label:
         df = (spark.read.schema(schema).option("header", "true").option("columnNameOfCorruptRecord", CORRUPT)
               .option("mode", "PERMISSIVE").csv([escape_glob(f) for f in files]))
         parts.append(df.withColumn("source_file", F.col("_metadata.file_path")))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union_by_name(parts)
 
 
 def land_flows(spark: SparkSession, folder: str, recursive: bool = False, label: str = "Label") -> DataFrame:
