@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from flowsieve.functions.shipping import ship_package
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-# Remembered words and states of a task; beyond this they are made anew.  Each task has coders of its own, so
-# their memory ends with it.
+# Words a coder remembers, about 250 bytes each with its share of states; beyond this they are made anew.
 MEMO = 300_000
-STATES = 60_000
+# A fifth as many states.
+WORDS_PER_STATE = 5
 LONG_WORD = 64
 LOOKAHEAD = 256
 # A node and the token before it (0: none) in one number.
@@ -107,8 +107,8 @@ def _shared(chains: list) -> tuple[list[int], list]:
 class Encoder:
     """The lazily determinised transducer of one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, memory: int = MEMO):
+        self.ranks, self.memory = ranks, memory
         self.words = {rank: word for word, rank in ranks.items()}
         self.findall = regex.compile(pattern).findall
         near = near_pattern(pattern)
@@ -240,9 +240,9 @@ class Encoder:
             data = word.encode()
             rank = self.ranks.get(data)
             known = (rank,) if rank is not None else tuple(self.stream(data))
-            if len(self.states) >= STATES:
+            if len(self.states) >= self.memory // WORDS_PER_STATE:
                 self._forget_states()
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.memory:
                 self.memo.clear()
             if len(word) <= LONG_WORD:
                 self.memo[word] = known
@@ -338,11 +338,20 @@ class Decoder:
         return "".join(self.stream(ids) if None in texts else texts)
 
 
-def coders(data: bytes, pattern: str) -> tuple[Encoder, Decoder]:
-    """The coders of a rank table."""
-    gc.set_threshold(200_000, 50, 50)  # the coders only hold what they keep
-    ranks = read_ranks(data)
-    return Encoder(ranks, pattern), Decoder(ranks)
+_kept: dict[tuple[int, str, int], tuple[Encoder, Decoder]] = {}
+
+
+def coders(data: bytes, pattern: str, memory: int = MEMO, keep: bool = False) -> tuple[Encoder, Decoder]:
+    """The coders of a rank table; with ``keep`` a worker's tasks share them, else their memory ends with a task."""
+    key = (hash(data), pattern, memory)
+    found = _kept.get(key)
+    if found is None:
+        gc.set_threshold(200_000, 50, 50)  # the coders only hold what they keep
+        ranks = read_ranks(data)
+        found = Encoder(ranks, pattern, memory), Decoder(ranks)
+        if keep:
+            _kept[key] = found
+    return found
 
 
 def _broadcast(spark, path: str | None, pattern: str | None):
@@ -384,15 +393,17 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-               pattern: str | None = None) -> DataFrame:
+               pattern: str | None = None, memory: int = MEMO, keep: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of ids and of the text decoded from them.
 
-    Both coders run in one pass, so ids never leave the worker.  Nulls and ties as in ``encode``.
+    Both coders run in one pass, so ids never leave the worker.  ``memory`` is how many words a coder remembers;
+    with ``keep`` the tasks of a worker share one, which suits a job that does nothing else.  Neither changes the
+    result.  Nulls and ties as in ``encode``.
     """
     data, pattern = _broadcast(df.sparkSession, path, pattern)
 
     def run(batches):
-        encoder, decoder = coders(data.value, pattern)
+        encoder, decoder = coders(data.value, pattern, memory, keep)
         names = {token: str(token) for token in encoder.words}
         for batch in batches:
             rows = []

@@ -29,7 +29,7 @@ def op7_simhash_near_duplicates(spark, folder):
 @query
 def op9_byte_level_bpe(spark, folder):
     """Digests of every document's ids and of the text decoded from them."""
-    return bpe.round_trip(table(spark, folder, "documents"))
+    return bpe.round_trip(table(spark, folder, "documents"), memory=1_000_000, keep=True)
 
 
 @query

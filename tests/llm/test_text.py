@@ -61,6 +61,11 @@ def test_round_trip_handles_odd_rows(spark):
     assert bpe.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_little_memory_changes_nothing():
+    small = bpe.Encoder(RANKS, memory=5)
+    assert all(small.encode(t) == LIBRARY.encode_ordinary(t) for t in ODD)
+
+
 def test_encode_then_decode_as_tables(spark):
     df = spark.createDataFrame([(1, "Größe 😀"), (2, None), (3, "")], "doc_id bigint, text string")
     back = bpe.decode(bpe.encode(df))
