@@ -112,8 +112,9 @@ thin AS (SELECT o_orderkey, o_orderpriority FROM (SELECT f.*, n, row_number() OV
          WHERE rk <= CASE WHEN rare THEN n ELSE round_even(0.2 * n::DOUBLE, 0) END),
 """ + split_sql("thin", "o_orderkey", "o_orderpriority").strip() + """
 SELECT o_orderkey, o_orderpriority FROM
-  (SELECT *, row_number() OVER (ORDER BY md5('42:uniform:' || o_orderkey::VARCHAR)) AS rk FROM parts WHERE split = 'train')
-WHERE rk <= 2000""")
+  (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY md5('42:uniform:' || o_orderkey::VARCHAR)) AS place
+   FROM parts WHERE split = 'train')
+WHERE place <= 2000""")
 def chained_samples(spark, folder):
     """A uniform sample of the train part of a thinned table: each draw is independent of those before."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
