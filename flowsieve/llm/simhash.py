@@ -178,7 +178,11 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship_package(df.sparkSession)
     slim = materialise(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp"),
                                  F.xxhash64(F.col(text_col)).alias("h")), "fingerprints")
-    groups = fingerprint_groups(slim, **how)
+    return least_rows(df, slim, fingerprint_groups(slim, **how), id_col, text_col)
+
+
+def least_rows(df: DataFrame, slim: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row with the smallest id of each group; ``slim`` (id, fp, h) per row of ``df``, ``groups`` (fp, root)."""
     best = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("b"))
     chosen = groups.join(best, "fp").groupBy("root").agg(F.min("b").alias("b")).select(F.col("b.id").alias("_id"), F.col("b.h").alias("_h"))
     same = slim.groupBy("id", "h").agg(F.count("*").alias("_n"))
