@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.functions.bounded import work_path
-from flowsieve.llm import bpe, decontaminate, near_copies, quality, toxicity
+from flowsieve.llm import bpe, decontaminate, quality, simhash, toxicity
 from flowsieve.llm.shared import table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier and their site speak for."""
+    """Documents that the quality classifier and their site speak for; an empty table stays empty."""
     return quality.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,17 +26,20 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles."""
-    return near_copies.representatives(docs)
+    """One document, that with the smallest id, of each group of fingerprints linked at the operator's own distance.
+
+    Shingles of three words, at most 3 of 64 bits apart; null and empty texts are one group.
+    """
+    return simhash.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; null, empty and very long texts are searched whole."""
     return docs.where(~decontaminate.contaminated(docs["text"], table(spark, sf_dir, "benchmark")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every document's token ids and of the text decoded from them."""
+    """Digests of every document's token ids and of the text decoded from them; a null text counts as empty."""
     return bpe.round_trip(docs)
 
 
