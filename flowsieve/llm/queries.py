@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from flowsieve.llm import (
-    bpe, decontaminate, neighbour_graphs, quality, shards, simhash, toxicity, url_filter, wordpiece, wrappers,
+    bpe, decontaminate, manifest, neighbour_graphs, quality, shards, simhash, toxicity, url_filter, wordpiece, wrappers,
 )
 from flowsieve.llm.shared import table
 
@@ -157,3 +157,47 @@ def op2_main_text(spark, folder):
 def op8_near_vectors(spark, folder):
     """Links and component of every embedding at a cosine of at least 0.9."""
     return neighbour_graphs.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    """Leaf, roots and proof of every document, and whether its tampered leaf still leads to the root."""
+    return manifest.verified(manifest.manifest(table(spark, folder, "documents")))
+
+
+_FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF_SQL = "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in manifest.FIELDS) + ")"
+
+
+def _tree_sql(name, base, key):
+    """Levels of the trees over ``base`` (key, r, h, n): every run of three nodes becomes the next level's node."""
+    return f"""{name}({key}, lvl, r, h, n) AS (SELECT {key}, 0, r, h, n FROM {base}
+  UNION ALL SELECT {key}, any_value(lvl) + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), (any_value(n) + 2) // 3 FROM {name}
+  WHERE n > 1 GROUP BY {key}, r // 3)"""
+
+
+def _steps_sql(name, base, tree, key):
+    """(key, r, steps) of the nodes of ``base``: 'left|right' of their siblings, level by level."""
+    return f"""{name} AS (SELECT {key}, r, list(step ORDER BY lvl) AS steps FROM (
+  SELECT b.{key}, b.r, t.lvl, coalesce(string_agg(t.h, '' ORDER BY t.r) FILTER (t.r < b.r // (3 ** t.lvl)::BIGINT), '') || '|' ||
+    coalesce(string_agg(t.h, '' ORDER BY t.r) FILTER (t.r > b.r // (3 ** t.lvl)::BIGINT), '') AS step
+  FROM {base} b JOIN {tree} t ON t.{key} IS NOT DISTINCT FROM b.{key} AND t.n > 1 AND t.r // 3 = b.r // (3 ** (t.lvl + 1))::BIGINT
+  GROUP BY ALL) GROUP BY ALL)"""
+
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, source, {_LEAF_SQL} AS h, {_LEAF_SQL.replace("text", "changed")} AS t
+  FROM (SELECT *, CASE WHEN draw(doc_id) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+{_tree_sql("own", "leaves", "source")},
+tops AS (SELECT 0 AS part, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM own WHERE n = 1),
+{_tree_sql("upper", "tops", "part")},
+{_steps_sql("low", "leaves", "own", "source")},
+{_steps_sql("high", "tops", "upper", "part")},
+proofs AS (SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, l.t,
+    list_concat(coalesce(w.steps, []), coalesce(g.steps, [])) AS steps
+  FROM leaves l JOIN tops s ON s.source IS NOT DISTINCT FROM l.source
+  LEFT JOIN low w ON w.source IS NOT DISTINCT FROM l.source AND w.r = l.r LEFT JOIN high g ON g.r = s.r),
+checked AS (SELECT *, list_reduce(list_concat([t], steps), lambda own, step: sha256(split_part(step, '|', 1) || own || split_part(step, '|', 2))) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM checked"""
