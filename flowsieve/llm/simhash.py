@@ -30,7 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from flowsieve.functions.bounded import materialise
 from flowsieve.functions.shipping import ship_package
 from flowsieve.llm.components import components
-from flowsieve.llm.shared import quoted
+from flowsieve.llm.shared import quoted, small_or_shuffled
 
 WORDS = 3
 DISTANCE = 3
@@ -186,8 +186,8 @@ def least_rows(df: DataFrame, slim: DataFrame, groups: DataFrame, id_col: str, t
     best = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("b"))
     chosen = groups.join(best, "fp").groupBy("root").agg(F.min("b").alias("b")).select(F.col("b.id").alias("_id"), F.col("b.h").alias("_h"))
     same = slim.groupBy("id", "h").agg(F.count("*").alias("_n"))
-    chosen = materialise(chosen.join(same, F.col("_id").eqNullSafe(F.col("id")) & F.col("_h").eqNullSafe(F.col("h")))
-                         .select("_id", "_h", "_n"), "chosen")
+    chosen = small_or_shuffled(chosen.join(same, F.col("_id").eqNullSafe(F.col("id")) & F.col("_h").eqNullSafe(F.col("h")))
+                               .select("_id", "_h", "_n"), "chosen")
     rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.col(quoted(id_col)).alias("id"),
                      F.xxhash64(F.col(quoted(text_col))).alias("h"))
     kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h")))
