@@ -24,10 +24,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from flowsieve.functions.bounded import join_on, materialise
-from flowsieve.llm.shared import BROADCAST_BYTES, measured, quoted
+from flowsieve.functions.bounded import materialise
+from flowsieve.llm.shared import quoted, ranked
 
 ARITY = 3
 DIGITS = 4
@@ -51,28 +50,6 @@ def tampered_text(doc_id: Column, text: Column) -> Column:
     return F.when(F.crc32(doc_id.cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """``df`` with ``rank`` (from 0) and ``n`` inside its group; stored.
-
-    Rows are dealt to sorted ranges.  Only a range's totals per group meet in a window: as many rows as there
-    are ranges that a group reaches into.  Equal rows may take each other's rank.
-    """
-    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
-    dealt = dealt.repartitionByRange(*groups, *order, "_tie").sortWithinPartitions(*groups, *order, "_tie").drop("_tie")
-    # The position of a row in its sorted range is the lower part of the increasing id.
-    placed = materialise(dealt.withColumn("_range", F.spark_partition_id()).withColumn(
-        "_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
-    totals = placed.groupBy(*groups, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    across = W.partitionBy(*groups)
-    before = F.sum("_n").over(across.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    offsets = materialise(totals.select(*groups, "_range", (before - F.col("_first")).alias("_offset"),
-                                        F.sum("_n").over(across).alias("n")), "offsets")
-    if measured(offsets)[1] <= BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
-    joined = join_on(placed, offsets, [*groups, "_range"])
-    return joined.withColumn("rank", F.col("_at") + F.col("_offset")).drop("_at", "_offset", "_range")
-
-
 def block_of(rank: Column, digits: int = DIGITS) -> Column:
     return F.floor(rank / F.lit(ARITY ** digits)).cast("long")
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from flowsieve.llm import (
-    bpe, decontaminate, manifest, neighbour_graphs, quality, shards, simhash, toxicity, url_filter, wordpiece, wrappers,
+    bpe, decontaminate, manifest, neighbour_graphs, quality, repair, shards, simhash, toxicity, url_filter, wordpiece, wrappers,
 )
 from flowsieve.llm.shared import table
 
@@ -159,6 +159,12 @@ def op8_near_vectors(spark, folder):
     return neighbour_graphs.near_vectors(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_conversation_repair(spark, folder):
+    """Faults and the cheapest repair of every conversation after damage."""
+    return repair.repair(repair.damaged(table(spark, folder, "conversations")))
+
+
 @query
 def op13_merkle_manifest(spark, folder):
     """Leaf, roots and proof of every document, and whether its tampered leaf still leads to the root."""
@@ -169,6 +175,12 @@ _FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' ||
 _LEAF_SQL = "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in manifest.FIELDS) + ")"
 
 
+# The checksum of a number's decimal digits, a byte at a time: each is mixed in, then eight bits are shifted out.
+_CRC_SQL = ("xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}::VARCHAR, ''), lambda x: list_concat("
+            "[ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda crc, op: CASE WHEN op >= 0 THEN xor(crc, op) "
+            "ELSE xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)")
+
+
 def _tree_sql(name, base, key):
     """Levels of the trees over ``base`` (key, r, h, n): every run of three nodes becomes the next level's node."""
     return f"""{name}({key}, lvl, r, h, n) AS (SELECT {key}, 0, r, h, n FROM {base}
@@ -187,7 +199,7 @@ def _steps_sql(name, base, tree, key):
 
 ORACLE_SQL["op13_merkle_manifest"] = f"""
 WITH RECURSIVE hashed AS (SELECT doc_id, source, {_LEAF_SQL} AS h, {_LEAF_SQL.replace("text", "changed")} AS t
-  FROM (SELECT *, CASE WHEN draw(doc_id) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents)),
+  FROM (SELECT *, CASE WHEN {_CRC_SQL.format('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents)),
 leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM hashed),
 {_tree_sql("own", "leaves", "source")},
 tops AS (SELECT 0 AS part, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM own WHERE n = 1),
