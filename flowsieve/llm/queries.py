@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from flowsieve.llm import (
-    bpe, decontaminate, manifest, neighbour_graphs, quality, repair, shards, simhash, toxicity, url_filter, wordpiece, wrappers,
+    bpe, decontaminate, manifest, neighbour_graphs, quality, repair, shards, simhash, suffixes, toxicity, url_filter, wordpiece, wrappers,
 )
 from flowsieve.llm.shared import table
 
@@ -165,6 +165,12 @@ def op11_conversation_repair(spark, folder):
     return repair.repair(repair.damaged(table(spark, folder, "conversations")))
 
 
+@query
+def op12_suffix_array_dedup(spark, folder):
+    """What is left of every document without passages of 50 bytes that start in an earlier one."""
+    return suffixes.digests(suffixes.without_repeats(table(spark, folder, "documents")))
+
+
 @query
 def op13_merkle_manifest(spark, folder):
     """Leaf, roots and proof of every document, and whether its tampered leaf still leads to the root."""
