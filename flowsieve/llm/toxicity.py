@@ -44,7 +44,7 @@ BEGINNINGS = (3, 4, 5, 6)
 DISTINCT = 0.75
 # Ordinary text has such a passage about once in twenty texts.
 SIGNIFICANT = 3.0
-MEMO = 300_000
+MEMO = 100_000
 EULER = 0.5772156649015329
 FOLDS = 5
 
