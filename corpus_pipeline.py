@@ -13,6 +13,9 @@ from flowsieve.functions.bounded import work_path
 from flowsieve.llm import bpe, decontaminate, quality, simhash, toxicity
 from flowsieve.llm.shared import table
 
+# Words a coder remembers; other stages' workers are still there when coders start.
+CODER_WORDS = 60_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier and their site speak for; an empty table stays empty."""
@@ -40,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the text decoded from them; a null text counts as empty."""
-    return bpe.round_trip(docs)
+    return bpe.round_trip(docs, memory=CODER_WORDS)
 
 
 STAGES = [
