@@ -1,18 +1,31 @@
 """Exact k nearest neighbours of every row, within a class or over all rows.
 
 Method: pivot-based partitioning (Lu et al., "Efficient processing of k nearest
-neighbor joins using MapReduce", 2012), written as Spark jobs.
+neighbor joins using MapReduce", 2012) over vector approximations (Weber, Schek
+and Blott, "A quantitative analysis and performance study for similarity-search
+methods in high-dimensional spaces", 1998), written as Spark jobs.
 
 1. Identical vectors are folded into one unit that keeps its k+1 lowest ids; no
    other copy can be among anyone's k nearest.  The fold is a rank limit that
    Spark applies before the shuffle, so a hot group of copies never travels.
-2. Units go to the cell of their nearest pivot; cells above a block size are
-   split by hash, so no task sees more than about one block.
-3. Searching the own block bounds the distance of the k-th neighbour.  Other
-   cells are visited only if the triangle inequality or the bisecting plane
-   leaves room inside that bound.  Visitors of a popular block are dealt to
-   several tasks.
-4. The best candidates of all visited blocks are merged by a rank limit.
+2. Classes that fit a block are compared whole.  Units of larger ones go to the
+   cell of their nearest pivot; cells above a block size are split by hash, so no
+   task sees more than about one block.  Large classes beyond the number of pivots
+   are one cell each.
+3. Searching the own block bounds the distance of the k-th neighbour.  A block
+   asks the other blocks of those cells only that the triangle inequality or the
+   bisecting plane leaves room for inside that bound.
+4. What is asked are codes: a byte a dimension, with the distance between a
+   vector and the point its code stands for.  The distance to that point, less and
+   plus the stored one, bounds the true distance from both sides.  A task takes
+   one block of vectors and DEAL blocks of codes, keeps the k+1 lowest upper
+   bounds and sends off only the ids whose lower bound is not above them.
+5. Vectors of those ids are fetched, and the exact distances ranked.
+
+Where vectors have structure few blocks are asked.  Where they have none, the
+comparisons grow with the square of the units, as any exact method's do, but the
+rows written do not: (units / block)^2 rows name blocks, and a unit has about k+1
+surviving ids per DEAL blocks of codes.
 
 Neighbours are ordered by distance rounded to 9 decimals, then by id.
 """
@@ -26,17 +39,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.bounded import SMALL_ROWS, materialise, small_arrow, small_table
+from flowsieve.functions.bounded import materialise, small_table
 from flowsieve.functions.ordered import RANGE, RANGE_ROWS, with_ranges
 from flowsieve.functions.scalar import hash_key, hash_modulo, named
 from flowsieve.functions.shipping import ship_package
 from flowsieve.operators.sample import first_rows
 
-BLOCK_ROWS = 2048      # units a task compares with at once
+BLOCK_ROWS = 2048      # units a task compares with at once, up to
+WIDE_ROWS = 8192       # this many where there are enough for all cores
 MAX_PIVOTS = 65_536    # over all classes
 PIVOT_BYTES = 64 << 20 # with the line above, bounds what every task holds
-VISIT_ROWS = 4096      # visiting units a task handles per block
+DEAL = 32              # blocks of codes a task compares a block of vectors with
 SLACK = 2e-9           # twice the rounding step of distances
+INNER_MARKS = 127      # marks of a dimension at equal shares of units, and as many at equal steps
 
 
 def nearest_ids(queries, points, id_ranks, offsets, count, limit=None):
@@ -109,7 +124,7 @@ class _Cells:
         self.moved = matrix - self.centre
         self.norms = np.einsum("ij,ij->i", self.moved, self.moved)
         self.members = {c: np.nonzero(classes == c)[0] for c in set(classes)}
-        self.size = self.low = self.high = self.blocks = None
+        self.size = self.low = self.high = None
 
     def squares(self, vectors, cells):
         """Squared distances to the pivots of ``cells`` and the bound of their error."""
@@ -161,8 +176,8 @@ def class_key(col: Column) -> Column:
 
 
 def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k: int, within: str | None = None,
-                      label: str | None = None, vectors: bool = False, block_rows: int = BLOCK_ROWS,
-                      max_pivots: int = MAX_PIVOTS, visit_rows: int = VISIT_ROWS) -> DataFrame:
+                      label: str | None = None, vectors: bool = False, block_rows: int | None = None,
+                      max_pivots: int = MAX_PIVOTS, deal: int = DEAL) -> DataFrame:
     """(row_id, [within], neighbors): the k nearest other rows of every row.
 
     ``features`` is a list of numeric columns or one array column.  ``neighbors``
@@ -182,9 +197,10 @@ def nearest_neighbors(df: DataFrame, row_id: str, features: list[str] | str, k:
     single = not isinstance(features, str) and len(features) == 1
     candidates = _on_a_line(units, k) if single else None
     if candidates is None:
-        cells = _choose_pivots(units, block_rows, max_pivots)
-        assigned = _assign_cells(units, cells, block_rows)
-        candidates = _search(assigned, cells, k, id_type, visit_rows)
+        if block_rows is None:
+            block_rows = min(WIDE_ROWS, max(BLOCK_ROWS, units.count() // (4 * df.sparkSession.sparkContext.defaultParallelism)))
+        assigned, cells = _in_blocks(units, block_rows, max_pivots)
+        candidates = _search(assigned, cells, k, id_type, deal)
     else:
         assigned = units
 
@@ -274,30 +290,65 @@ def _copies(base: DataFrame, units: DataFrame, k: int, vectors: bool) -> DataFra
     return joined.select("id", "cls", entries.alias("neighbors"))
 
 
-def _choose_pivots(units: DataFrame, block_rows: int, max_pivots: int) -> _Cells:
-    """One pivot per block of units, taken by hash; shared out when over the maximum."""
+def _choose_pivots(units: DataFrame, large: DataFrame, block_rows: int, max_pivots: int) -> _Cells:
+    """One pivot per block of units of the ``large`` classes, taken by hash; shared out when over the maximum.
+
+    Above the maximum of classes the largest get the pivots.
+    """
     first = units.head(1)
     if not first:
         return _Cells(np.empty(0, dtype=object), np.zeros((1, 1)))
     limit = max(1, min(max_pivots, PIVOT_BYTES // (8 * max(1, len(first[0]["vec"])))))
+    chosen = small_table(large.orderBy(F.desc("n"), "cls").limit(max(1, limit // 2)).select("cls"))
 
     def shares(counts):
-        total = F.sum("n").over(W.partitionBy())  # one row per class
+        total = F.sum("n").over(W.partitionBy())  # one row per chosen class
         share = F.ceil(F.col("n") / F.lit(float(block_rows)))
         fair = F.ceil(F.col("n") * F.lit(float(limit)) / total)
         return counts.withColumn("slot", F.lit(0)).withColumn("rank", F.least(share, fair).cast("bigint"))
 
-    keyed = units.select("cls", "vec", F.col("ids")[0].alias("_first"))
-    chosen = first_rows(keyed, ["_first"], "pivot", ["cls"], shares).select("cls", "vec")
-    fetched = small_arrow(chosen, 2 * limit + SMALL_ROWS)
-    if fetched is None:
-        raise ValueError("too many classes for a neighbour search")
+    keyed = units.join(chosen, "cls").select("cls", "vec", F.col("ids")[0].alias("_first"))
+    # At most two pivots per chosen class above the limit, from rounding shares up.
+    fetched = first_rows(keyed, ["_first"], "pivot", ["cls"], shares).select("cls", "vec").toArrow()
+    if not fetched.num_rows:
+        return _Cells(np.empty(0, dtype=object), np.zeros((1, len(first[0]["vec"]))))
     return _Cells(np.array(fetched.column("cls").to_pylist(), dtype=object),
                   np.array(fetched.column("vec").to_pylist(), dtype=np.float64))
 
 
-def _assign_cells(units: DataFrame, cells: _Cells, block_rows: int) -> DataFrame:
-    """Add uid, cell, radius and block; fills in the cell statistics."""
+class _Codes:
+    """Marks that cut every dimension, and the points that codes stand for."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.marks = marks
+        self.middles = [(m[1:] + m[:-1]) / 2 for m in marks]
+
+    def encode(self, vectors):
+        """A byte a dimension, and the distance of every vector from the point its bytes stand for."""
+        codes = np.empty(vectors.shape, dtype=np.uint8)
+        for j, marks in enumerate(self.marks):
+            codes[:, j] = np.searchsorted(marks[1:-1], vectors[:, j], side="right")
+        return codes, np.linalg.norm(vectors - self.points(codes), axis=1) * (1 + 1e-12)
+
+    def points(self, codes):
+        return np.stack([middles[codes[:, j]] for j, middles in enumerate(self.middles)], axis=1)
+
+
+def _choose_marks(units: DataFrame, dims: int) -> _Codes:
+    """Marks at equal shares of the units and at equal steps, so that neither outliers nor dense places blur all codes."""
+    shares = [i / (INNER_MARKS + 1) for i in range(1, INNER_MARKS + 1)]
+    value = [F.col("vec")[j] for j in range(dims)]
+    row = units.agg(*[F.struct(F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, shares, 1000).alias("inner")).alias(f"d{j}")
+                      for j, v in enumerate(value)]).first()
+    return _Codes([np.unique(np.concatenate([[d["low"], d["high"]], d["inner"], np.linspace(d["low"], d["high"], INNER_MARKS + 2)]))
+                   if d["low"] < d["high"] else np.array([d["low"], d["low"]], dtype=float) for d in row])
+
+
+def _in_blocks(units: DataFrame, block_rows: int, max_pivots: int) -> tuple[DataFrame, _Cells]:
+    """Units with uid, cell, radius and block, and the cells' statistics; cell -1 is a class without pivots."""
+    sizes = materialise(units.groupBy("cls").agg(F.count("*").alias("n")), "classes")
+    large = sizes.filter(F.col("n") > block_rows)
+    cells = _choose_pivots(units, large, block_rows, max_pivots)
     schema = T.StructType([*units.schema.fields, T.StructField("uid", units.schema["ids"].dataType.elementType),
                            T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
 
@@ -309,36 +360,29 @@ def _assign_cells(units: DataFrame, cells: _Cells, block_rows: int) -> DataFrame
             if pdf.empty:
                 continue
             vecs = np.stack(pdf["vec"].to_numpy())
-            cell, radius = np.empty(len(pdf), dtype=np.int32), np.empty(len(pdf))
+            cell, radius = np.full(len(pdf), -1, dtype=np.int32), np.zeros(len(pdf))
             for c, rows in pdf.groupby("cls").indices.items():
-                cell[rows], radius[rows] = pivots.nearest(vecs[rows], c)
+                if c in pivots.members:
+                    cell[rows], radius[rows] = pivots.nearest(vecs[rows], c)
             yield pdf.assign(uid=pdf["ids"].map(lambda v: v[0]), cell=cell, radius=radius)
 
     assigned = materialise(units.mapInPandas(nearest_pivot, schema), "cells")
-    stats = assigned.groupBy("cell").agg(F.sum(F.size("ids")).alias("ids"), F.count("*").alias("n"),
-                                         F.min("radius").alias("low"), F.max("radius").alias("high")).toPandas()
+    stats = assigned.filter("cell >= 0").groupBy("cell").agg(F.sum(F.size("ids")).alias("ids"), F.min("radius").alias("low"),
+                                                             F.max("radius").alias("high")).toPandas()
     number = len(cells.classes)
-    cells.size, cells.blocks = np.zeros(number), np.zeros(number, dtype=np.int64)
-    cells.low, cells.high = np.full(number, np.inf), np.full(number, np.inf)
+    cells.size, cells.low, cells.high = np.zeros(number), np.full(number, np.inf), np.full(number, np.inf)
     at = stats["cell"].to_numpy(dtype=np.int64)
     cells.size[at], cells.low[at], cells.high[at] = stats["ids"], stats["low"], stats["high"]
-    cells.blocks[at] = -(-stats["n"].to_numpy() // block_rows)
-    blocks = _cell_numbers(assigned, "cell", cells.blocks, "_blocks")
-    return blocks.withColumn("block", hash_modulo(hash_key("block", "uid"), F.col("_blocks")).cast("int")).drop("_blocks")
+    counts = small_table(assigned.groupBy("cls", "cell").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).alias("_blocks")))
+    blocks = hash_modulo(hash_key("block", "uid"), F.col("_blocks")).cast("int")
+    return assigned.join(counts, ["cls", "cell"]).withColumn("block", blocks).drop("_blocks"), cells
 
 
-def _cell_numbers(df: DataFrame, key: str, numbers, column: str) -> DataFrame:
-    """Attach a per-cell number from a table with one entry per pivot."""
-    listed = pd.DataFrame({"_cell": np.arange(len(numbers), dtype=np.int32), column: numbers.astype(np.int64)})
-    right = F.broadcast(df.sparkSession.createDataFrame(listed, f"_cell int, {column} bigint"))
-    return df.join(right, df[key] == right["_cell"]).drop("_cell")
-
-
-def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, visit_rows: int) -> DataFrame:
+def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, deal: int) -> DataFrame:
     """(uid, dist, nid, nlabel) candidates from all blocks that may matter."""
     count = k + 1
     flat = f"uid {id_type}, dist double, nid {id_type}, nlabel string"
-    multiple = bool((cells.blocks > 1).any() or any(len(m) > 1 for m in cells.members.values()))
+    keys = ["cls", "cell", "block"]
 
     def own_block(pdf):
         matrix, ids, labels, ranks, offsets = _unpack(pdf)
@@ -346,55 +390,100 @@ def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, visit_rows
         uid = pdf["uid"].to_numpy()
         return pd.DataFrame({"uid": uid[rows], "dist": dist, "nid": ids[position], "nlabel": labels[position]})
 
-    first = assigned.groupBy("cell", "block").applyInPandas(own_block, flat)
-    if not multiple:
+    first = assigned.groupBy(*keys).applyInPandas(own_block, flat)
+    # A class in several blocks: its blocks have something to ask each other.
+    several = assigned.groupBy("cls").agg(F.count_distinct("cell", "block").alias("_n")).filter("_n > 1").select("cls")
+    several = small_table(materialise(several, "large"))
+    if not several.head(1):
         return first
     first = materialise(first, "near")
     reach = first.groupBy("uid").agg(F.max("dist").alias("dist"), F.count("*").alias("n"))
     bound = F.when(F.col("n") >= count, F.col("dist")).otherwise(F.lit(float("inf")))
-    queries = assigned.select("uid", "vec", "cell", "block").join(reach.select("uid", bound.alias("reach")), "uid")
-
-    shared = assigned.sparkSession.sparkContext.broadcast(cells)
-
-    def plan_visits(batches):
-        pivots = shared.value
-        for pdf in batches:
-            parts = []
-            for own, rows in pdf.groupby("cell").indices.items():
-                vecs = np.stack(pdf["vec"].to_numpy()[rows])
-                q, c, reach = pivots.visits(vecs, own, pdf["reach"].to_numpy()[rows], count)
-                others = (c != own) | (pivots.blocks[c] > 1)
-                q, c, reach = q[others], c[others], reach[others]
-                part = pdf.iloc[rows[q]][["uid", "vec", "block"]].copy()
-                part["home"], part["cell"], part["reach"] = np.int32(own), c.astype(np.int32), reach
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts)[["uid", "vec", "block", "home", "cell", "reach"]]
-
-    visits = materialise(queries.mapInPandas(
-        plan_visits, f"uid {id_type}, vec array<double>, block int, home int, cell int, reach double"), "visits")
-    load = visits.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
-    deals = np.zeros(len(cells.classes), dtype=np.int64)
-    deals[load["cell"].to_numpy(dtype=np.int64)] = -(-load["n"].to_numpy() // visit_rows)
-
-    guests = _cell_numbers(_cell_numbers(visits, "cell", cells.blocks, "_blocks"), "cell", deals, "_deals")
-    guests = (guests.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1)))
-              .filter((F.col("cell") != F.col("home")) | (F.col("target") != F.col("block")))
-              .withColumn("deal", hash_modulo(hash_key("deal", "uid"), F.col("_deals")).cast("int"))
-              .select("uid", "vec", "reach", "cell", "target", "deal"))
-    hosts = (_cell_numbers(assigned, "cell", deals, "_deals").filter(F.col("_deals") > 0)
-             .withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("_deals").cast("int") - 1)))
-             .select(F.col("block").alias("target"), "cell", "deal", "vec", "ids", "labels"))
+    asking = assigned.join(several, "cls").join(reach.select("uid", bound.alias("reach")), "uid")
+    dims = len(assigned.head(1)[0]["vec"])
+    shared = assigned.sparkSession.sparkContext.broadcast((cells, _choose_marks(assigned.join(several, "cls"), dims)))
+
+    def pack(pdf):
+        """One row per block: its vectors, its codes and how far these may be off, and the cells its units have to ask."""
+        pivots, codes = shared.value
+        pdf = pdf.sort_values("uid", ignore_index=True)
+        vecs, own = np.stack(pdf["vec"].to_numpy()).astype(np.float64), int(pdf["cell"].iloc[0])
+        bytes_, slips = codes.encode(vecs)
+        reach = pdf["reach"].to_numpy(dtype=np.float64)
+        asked = np.array([-1]) if own < 0 else np.unique(pivots.visits(vecs, own, reach, count)[1])
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "uids": [pdf["uid"].tolist()], "vecs": [vecs.tobytes()],
+                             "reach": [reach.tobytes()], "codes": [bytes_.tobytes()], "slips": [slips.tobytes()], "asked": [asked.tolist()]})
+
+    packed = materialise(asking.select(*keys, "uid", "vec", "reach").groupBy(*keys).applyInPandas(
+        pack, f"cls string, cell int, block int, uids array<{id_type}>, vecs binary, reach binary, codes binary, slips binary, asked array<int>"), "packed")
+    guests = packed.select(F.concat_ws(":", F.md5("cls"), "cell", "block").alias("guest"), "cls", F.explode("asked").alias("cell"),
+                           F.col("cell").alias("_own"), F.col("block").alias("_block"))
+    names = packed.select(*keys)
+    pairs = guests.join(names, ["cls", "cell"]).filter((F.col("cell") != F.col("_own")) | (F.col("block") != F.col("_block")))
+    # Nearby cells are often numbered far apart; any order of a guest's hosts gives the same result.
+    place = F.row_number().over(W.partitionBy("guest").orderBy("cell", "block")) - 1
+    visits = materialise(pairs.select("guest", *keys, F.floor(place / deal).cast("int").alias("deal")), "visits")
+    hosts = visits.join(packed.select(*keys, F.col("uids").alias("nuids"), "codes", "slips"), keys).drop(*keys)
+    asked = visits.select(F.col("guest").alias("asker"), F.col("deal").alias("turn")).distinct()
+    asks = asked.join(packed.select(F.concat_ws(":", F.md5("cls"), "cell", "block").alias("asker"), "uids", "vecs", "reach"), "asker")
 
     def visit(guest, host):
+        empty = pd.DataFrame({"uid": [], "nuid": [], "lower": [], "upper": []})
         if guest.empty or host.empty:
-            return pd.DataFrame({"uid": [], "dist": [], "nid": [], "nlabel": []})
-        matrix, ids, labels, ranks, offsets = _unpack(host)
-        asked = np.stack(guest["vec"].to_numpy())
-        rows, _, position, dist = nearest_ids(asked, matrix, ranks, offsets, count, guest["reach"].to_numpy())
-        uid = guest["uid"].to_numpy()
-        return pd.DataFrame({"uid": uid[rows], "dist": dist, "nid": ids[position], "nlabel": labels[position]})
+            return empty
+        codes = shared.value[1]
+        row = guest.iloc[0]
+        asked = np.frombuffer(row["vecs"]).reshape(-1, dims)
+        rows, uids, lower, upper = surviving(asked, np.frombuffer(row["reach"]), (
+            (codes.points(np.frombuffer(c, dtype=np.uint8).reshape(-1, dims)), np.frombuffer(s), np.asarray(n))
+            for c, s, n in zip(host["codes"], host["slips"], host["nuids"])), count)
+        return pd.DataFrame({"uid": np.asarray(row["uids"])[rows], "nuid": uids, "lower": lower, "upper": upper}) if len(rows) else empty
+
+    found = asks.groupBy("asker", "turn").cogroup(hosts.groupBy("guest", "deal")).applyInPandas(
+        visit, f"uid {id_type}, nuid {id_type}, lower double, upper double")
+    found = materialise(found, "survivors")
+    # The k+1 lowest upper bounds of all deals bound what has to be looked at.
+    last = found.withColumn("_place", F.row_number().over(W.partitionBy("uid").orderBy("upper", "nuid"))).filter(F.col("_place") == count)
+    kept = found.join(last.select("uid", F.col("upper").alias("_most")), "uid", "left").filter(
+        F.col("_most").isNull() | (F.col("lower") <= F.col("_most") + SLACK)).select("uid", "nuid")
+    points = assigned.select(F.col("uid").alias("nuid"), F.col("vec").alias("nvec"), "ids", "labels")
+    fetched = kept.join(assigned.select("uid", "vec"), "uid").join(points, "nuid")
+
+    def exact(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            gaps = np.stack(pdf["vec"].to_numpy()) - np.stack(pdf["nvec"].to_numpy())
+            yield pdf[["uid", "ids", "labels"]].assign(dist=np.round(np.sqrt(np.einsum("ij,ij->i", gaps, gaps)), 9))
+
+    second = fetched.mapInPandas(exact, f"uid {id_type}, ids array<{id_type}>, labels array<string>, dist double")
+    return first.unionByName(second.select("uid", "dist", F.inline(F.arrays_zip(F.col("ids").alias("nid"), F.col("labels").alias("nlabel")))))
+
 
-    keys = ["cell", "target", "deal"]
-    second = guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(visit, flat)
-    return first.unionByName(second)
+def surviving(asked, reach, blocks, count):
+    """(row, id, lower, upper) of all points that may be among the ``count`` nearest of the ``asked`` vectors.
+
+    ``blocks`` yields (points, slips, ids): a true point is at most its slip away from the one given.
+    """
+    best = np.full((len(asked), count), np.inf)
+    limit = np.array(reach, dtype=np.float64)
+    norms = np.einsum("ij,ij->i", asked, asked)
+    found = []
+    for points, slips, ids in blocks:
+        sizes = np.einsum("ij,ij->i", points, points)
+        error = 1e-14 * (points.shape[1] + 4) * (norms.max() + sizes.max())
+        step = max(1, 4_000_000 // len(points))
+        for s in range(0, len(asked), step):
+            part = slice(s, s + step)
+            square = norms[part, None] + sizes[None, :] - 2.0 * (asked[part] @ points.T)
+            upper = np.sqrt(np.maximum(square + error, 0.0)) + slips
+            keep = min(count, len(points))
+            lowest = np.partition(upper, keep - 1, axis=1)[:, :keep]
+            best[part] = np.partition(np.concatenate([best[part], lowest], axis=1), count - 1, axis=1)[:, :count]
+            limit[part] = np.minimum(limit[part], best[part].max(axis=1))
+            lower = np.sqrt(np.maximum(square - error, 0.0)) - slips
+            row, col = np.nonzero(lower * (1 - 1e-12) <= limit[part, None] + SLACK)
+            found.append((row + s, ids[col], lower[row, col], upper[row, col]))
+    rows, uids, lower, upper = (np.concatenate(c) for c in zip(*found))
+    near = lower * (1 - 1e-12) <= limit[rows] + SLACK
+    return rows[near], uids[near], lower[near], upper[near]

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators import balance
-from flowsieve.operators.neighbors import nearest_neighbors
+from flowsieve.functions.bounded import materialise
+from flowsieve.operators import balance, neighbors
+from flowsieve.operators.neighbors import _Codes, nearest_neighbors, surviving
 
 
 def brute(x, ids, k, classes=None):
@@ -35,7 +36,7 @@ def test_neighbors_against_brute_force_with_a_hot_group_of_copies(spark, within,
     classes = np.where(rng.random(420) < 0.7, "big", "small")
     df, names = table(spark, x, ids, classes)
     got = nearest_neighbors(df, "row_id", names, 4, within=within, label="label", block_rows=block_rows,
-                            max_pivots=max_pivots, visit_rows=30).collect()
+                            max_pivots=max_pivots, deal=2).collect()
     want = brute(x, ids, 4, classes if within else None)
     by_id = dict(zip(ids, classes))
     assert len(got) == 420
@@ -44,6 +45,54 @@ def test_neighbors_against_brute_force_with_a_hot_group_of_copies(spark, within,
         assert all(n["label"] == by_id[n["id"]] for n in row["neighbors"])
 
 
+@pytest.mark.parametrize("classes", [1, 150])
+def test_neighbors_of_vectors_without_structure(spark, classes):
+    rng = np.random.default_rng(11)
+    x, ids = rng.normal(size=(1500, 24)), rng.permutation(1500)
+    labels = rng.integers(0, classes, 1500).astype(str)
+    labels[:600] = "0"
+    df, _ = table(spark, x, ids, labels)
+    df = df.withColumn("x", F.array(*[f"f{j}" for j in range(24)]))
+    want = brute(x, ids, 3, labels)
+    for blocks in ({"block_rows": 64, "deal": 3}, {"block_rows": 64, "max_pivots": 2}, {}):
+        got = nearest_neighbors(df, "row_id", "x", 3, within="label", **blocks).collect()
+        assert {r["row_id"]: [(n["dist"], n["id"]) for n in r["neighbors"]] for r in got} == want
+
+
+def test_rows_written_for_vectors_without_structure_grow_with_the_units(spark, monkeypatch):
+    written = Counter()
+
+    def counted(df, name, *args):
+        stored = materialise(df, name, *args)
+        written[name] += stored.count()
+        assert name != "visits" or set(stored.columns) == {"guest", "cls", "cell", "block", "deal"}
+        return stored
+
+    monkeypatch.setattr(neighbors, "materialise", counted)
+    rng, per_unit = np.random.default_rng(13), []
+    for n in (1000, 4000):
+        df, names = table(spark, rng.normal(size=(n, 64)), np.arange(n), np.zeros(n, int))
+        df = df.select("row_id", F.array(*names).alias("x"))
+        written.clear()
+        assert nearest_neighbors(df, "row_id", "x", 3, block_rows=250).count() == n
+        per_unit.append((written["survivors"] + written["visits"]) / n)
+    assert per_unit[1] < 1.5 * per_unit[0]
+
+
+def test_codes_bound_distances_with_outliers_and_constant_dimensions():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(500, 6)), [[1e9, 0, 0, 0, 0, 0]]])
+    x[:, 5] = 7.0
+    inner = [np.quantile(c, np.linspace(0, 1, 20)[1:-1]) for c in x.T]
+    codes = _Codes([np.unique(np.concatenate([[c.min(), c.max()], q])) if c.min() < c.max() else np.array([7.0, 7.0]) for c, q in zip(x.T, inner)])
+    stood, slips = codes.encode(x)
+    rows, found, lower, upper = surviving(x[:50], np.full(50, np.inf), [(codes.points(stood), slips, np.arange(501))], 4)
+    true = np.linalg.norm(x[rows] - x[found], axis=1)
+    assert (lower <= true + 1e-6).all() and (true <= upper + 1e-6).all()
+    for i in range(50):
+        assert set(np.argsort(np.linalg.norm(x - x[i], axis=1))[:4]) <= set(found[rows == i])
+
+
 def test_oversampling_evens_out_classes_on_segments(spark):
     rng = np.random.default_rng(1)
     sizes = {"a": 3000, "b": 40, "c": 3}
