@@ -5,8 +5,14 @@ Attributions are Shapley values of the path-dependent expectation of a tree
 explainable AI for trees", 2020).  For one leaf the value function is a product
 over the features of its path, so a feature's Shapley value is the integral
 over t in [0, 1] of the product of (t * hit + (1 - t) * share) over the other
-features (Owen's multilinear extension).  That polynomial is integrated exactly
-by Gauss-Legendre nodes, for a whole batch of rows and leaves at once.
+features (Owen's multilinear extension).
+
+The product is carried down the tree as a polynomial in t, by its values at
+Gauss-Legendre nodes, which integrate it exactly; the leaves' polynomials are
+added up on the way back (Yu et al., "Linear TreeShap", 2022).  An edge divides
+its feature's earlier factor out and multiplies its own in, and settles its
+feature's share of all leaves below it at once, so a row visits every edge of a
+tree twice, whole batches of rows together.
 """
 
 from __future__ import annotations
@@ -25,49 +31,50 @@ from flowsieve.functions.bounded import join_on, materialise, small_table, work_
 from flowsieve.functions.scalar import named
 from flowsieve.functions.shipping import ship_package
 
-GROUP_BYTES = 64 << 20      # leaf tables of this size go to the executors at once
-LEAF_CHUNK = 512            # leaves of a tree evaluated together
-CELL_LIMIT = 2_000_000      # rows x leaves x path slots held in memory
+GROUP_BYTES = 16 << 20      # trees of this size are held against a lane of rows at once
+LANE_ROWS = 20_000          # rows that are, at most about
+LEAST_ROWS = 500            # rows a lane has at least, where there are fewer rows than that for every core
+CELL_LIMIT = 400_000        # rows x nodes of integration x outputs held per level of a tree
 
 
 @dataclass
-class LeafTable:
-    """Leaves of one tree: per path feature an interval and a cover share."""
-
-    feature: np.ndarray     # leaf x slot, -1 where unused
-    low: np.ndarray         # the row takes the leaf's side if low < x <= high
-    high: np.ndarray
-    share: np.ndarray       # product of child/parent covers of that feature
-    value: np.ndarray       # leaf x output
+class Tree:
+    """Nodes of one tree in preorder; what leads to a node stands with it."""
+
+    feature: np.ndarray     # feature tested on the way in
+    cut: np.ndarray
+    left: np.ndarray        # whether values up to the cut come here
+    share: np.ndarray       # product of child/parent covers over this feature's edges from the root on
+    before: np.ndarray      # last node above whose edge tests the same feature, -1 if none
+    parent: np.ndarray
+    leaf: np.ndarray
+    value: np.ndarray       # node x output, zero inside the tree
+    base: np.ndarray        # expectation over all paths
+    slots: int              # most different features on a path
     outputs: np.ndarray     # class code of every output
 
     def nbytes(self) -> int:
-        return sum(a.nbytes for a in (self.feature, self.low, self.high, self.share, self.value))
+        return sum(a.nbytes for a in vars(self).values() if isinstance(a, np.ndarray))
 
 
-def leaf_tables(model) -> list[LeafTable]:
-    """Leaf tables of a fitted Spark ML tree model, all of them at once; meant for small models."""
-    return _fetched(stored_leaves(model))
-
-
-def stored_leaves(model) -> DataFrame:
-    """(number, size, data): the leaf table of every tree, built from the model's stored nodes by one task per tree."""
+def stored_trees(model) -> DataFrame:
+    """(number, size, data) of every tree, built from the model's stored nodes by one task per tree."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import OneVsRestModel
 
     if isinstance(model, PipelineModel):
-        return stored_leaves(model.stages[-1])
+        return stored_trees(model.stages[-1])
     models = model.models if isinstance(model, OneVsRestModel) else [model]
-    parts = [_leaves_of(part, code) for code, part in (enumerate(models) if len(models) > 1 else [(1, models[0])])]
+    parts = [_trees_of(part, code) for code, part in (enumerate(models) if len(models) > 1 else [(1, models[0])])]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     place = F.row_number().over(W.orderBy("code", "treeID"))  # one row per tree, without its data
     numbers = table.select("code", "treeID").withColumn("number", place)
-    return materialise(table.join(numbers, ["code", "treeID"]).select("number", "size", "data"), "leaves")
+    return materialise(table.join(numbers, ["code", "treeID"]).select("number", "size", "data"), "trees")
 
 
-def _leaves_of(model, code: int) -> DataFrame:
+def _trees_of(model, code: int) -> DataFrame:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -89,146 +96,156 @@ def _leaves_of(model, code: int) -> DataFrame:
 
     def build(tree: pd.DataFrame) -> pd.DataFrame:
         number = int(tree["treeID"].iloc[0])
-        leaves = _leaves(tree, boosted[number] if boosted else 1.0 / trees, classes, code)
-        return pd.DataFrame({"code": [code], "treeID": [number], "size": [leaves.nbytes()], "data": [pickle.dumps(leaves)]})
-
-    return materialise(nodes.groupBy("treeID").applyInPandas(build, "code int, treeID int, size long, data binary"), "leaves")
+        built = _tree(tree, boosted[number] if boosted else 1.0 / trees, classes, code)
+        return pd.DataFrame({"code": [code], "treeID": [number], "size": [built.nbytes()], "data": [pickle.dumps(built)]})
 
+    return materialise(nodes.groupBy("treeID").applyInPandas(build, "code int, treeID int, size long, data binary"), "trees")
 
-def _fetched(leaves: DataFrame) -> list[LeafTable]:
-    return [pickle.loads(r["data"]) for r in sorted(leaves.collect(), key=lambda r: r["number"])]
 
-
-def _leaves(tree: pd.DataFrame, weight: float, classes: int, code: int) -> LeafTable:
-    """Follow every root-to-leaf path, intersecting intervals feature by feature."""
-    node = tree.set_index("id").to_dict("index")
-    found = []
-    todo = [(0, {})]
+def _tree(table: pd.DataFrame, weight: float, classes: int, code: int) -> Tree:
+    """Lay a tree's nodes out in preorder, each with the edge that leads to it."""
+    node = table.set_index("id").to_dict("index")
+    outputs = np.arange(classes) if classes else np.array([code])
+    rows, slots = [], 1
+    base = np.zeros(len(outputs))
+    # (node id, parent's row, feature, cut, left, {feature: (row, share)} of the path, share of all covers)
+    todo = [(0, -1, -1, np.nan, False, {}, 1.0)]
     while todo:
-        number, path = todo.pop()
-        at = node[number]
-        if at["leftChild"] < 0:
+        number, parent, feature, cut, left, path, reached = todo.pop()
+        at, row = node[number], len(rows)
+        before, share = -1, 1.0
+        if parent >= 0:
+            before, share = path.get(feature, (-1, 1.0))
+            share *= at["rawCount"] / node[rows[parent][-1]]["rawCount"]
+            path = {**path, feature: (row, share)}
+            slots = max(slots, len(path))
+        leaf, value = at["leftChild"] < 0, np.zeros(len(outputs))
+        if leaf:
             stats = np.asarray(at["impurityStats"], dtype=float)
-            value = stats / stats.sum() if classes else np.array([at["prediction"]])
-            found.append((path, value * weight))
-            continue
-        if at["categories"] not in (-1, None):
+            value = (stats / stats.sum() if classes else np.array([at["prediction"]])) * weight
+            base += reached * value
+        elif at["categories"] not in (-1, None):
             raise ValueError("categorical splits are not supported")
-        f, cut = int(at["feature"]), float(at["threshold"])
-        for child, side in ((at["leftChild"], (-np.inf, cut)), (at["rightChild"], (cut, np.inf))):
-            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-            part = node[child]["rawCount"] / at["rawCount"]
-            todo.append((child, {**path, f: (max(low, side[0]), min(high, side[1]), share * part)}))
-    width = max(1, max(len(p) for p, _ in found))
-    shape = (len(found), width)
-    table = LeafTable(np.full(shape, -1, dtype=np.int32), np.full(shape, -np.inf), np.full(shape, np.inf), np.ones(shape),
-                      np.stack([v for _, v in found]), np.arange(classes) if classes else np.array([code]))
-    for row, (path, _) in enumerate(found):
-        for slot, (f, (low, high, share)) in enumerate(path.items()):
-            table.feature[row, slot], table.low[row, slot] = f, low
-            table.high[row, slot], table.share[row, slot] = high, share
-    return table
-
-
-def tree_attributions(table: LeafTable, x: np.ndarray):
+        else:
+            for child, side in ((at["rightChild"], False), (at["leftChild"], True)):
+                part = node[child]["rawCount"] / at["rawCount"]
+                todo.append((child, row, int(at["feature"]), float(at["threshold"]), side, path, reached * part))
+        rows.append((feature, cut, left, share, before, parent, leaf, value, number))
+    columns = list(zip(*rows))
+    kinds = (np.int32, np.float64, bool, np.float64, np.int32, np.int32, bool)
+    return Tree(*[np.array(c, dtype=k) for c, k in zip(columns, kinds)], np.stack(columns[7]), base, slots, outputs)
+
+
+def tree_attributions(tree: Tree, x: np.ndarray):
     """(phi rows x features x outputs, base outputs, output rows x outputs) of one tree."""
-    n, features = x.shape
-    outputs = table.value.shape[1]
-    phi, output, base = np.zeros((n, features, outputs)), np.zeros((n, outputs)), np.zeros(outputs)
-    width = table.feature.shape[1]
-    points, weights = np.polynomial.legendre.leggauss(width // 2 + 1)
-    points, weights = (points + 1) / 2, weights / 2
-    for first in range(0, len(table.value), LEAF_CHUNK):
-        part = slice(first, first + LEAF_CHUNK)
-        feature, share, value = table.feature[part], table.share[part], table.value[part]
-        base += share.prod(axis=1) @ value
-        used = np.nonzero(feature.ravel() >= 0)[0]
-        step = max(1, CELL_LIMIT // feature.size)
-        for start in range(0, n, step):
-            rows = slice(start, start + step)
-            seen = x[rows][:, np.maximum(feature, 0)]
-            hit = ((seen > table.low[part]) & (seen <= table.high[part])).astype(float)
-            hit[:, feature < 0] = 1.0
-            output[rows] += hit.prod(axis=2) @ value
-            weight = np.zeros_like(hit)
-            for t, w in zip(points, weights):
-                factor = t * hit + (1 - t) * share
-                weight += w * factor.prod(axis=2, keepdims=True) / factor
-            weight *= hit - share
-            flat = weight.reshape(len(weight), -1)
-            for o in range(outputs):
-                scaled = flat * np.repeat(value[:, o], width)
-                for f in np.unique(feature.ravel()[used]):
-                    phi[rows, f, o] += scaled[:, used[feature.ravel()[used] == f]].sum(axis=1)
-    return phi, base, output
-
-
-def _grouped(leaves: DataFrame) -> list[list[int]]:
-    """Numbers of trees in groups whose tables stay below the broadcast size."""
-    groups, size = [[]], 0
-    for number, own in sorted(map(tuple, leaves.select("number", "size").collect())):
-        if groups[-1] and size + own > GROUP_BYTES:
-            groups.append([])
-            size = 0
-        groups[-1].append(number)
-        size += own
-    return groups
+    n, outputs = len(x), tree.value.shape[1]
+    phi, output = np.zeros((n, x.shape[1], outputs)), np.zeros((n, outputs))
+    t, weights = np.polynomial.legendre.leggauss(tree.slots // 2 + 1)
+    t, weights = (t + 1) / 2, weights / 2
+    step = max(1, CELL_LIMIT // (len(t) * outputs))
+    for first in range(0, n, step):
+        rows = slice(first, first + step)
+        _down_and_up(tree, x[rows], t, weights, phi[rows], output[rows])
+    return phi, tree.base, output
+
+
+def _down_and_up(tree: Tree, x: np.ndarray, t: np.ndarray, weights: np.ndarray, phi: np.ndarray, output: np.ndarray) -> None:
+    """Add a tree's attributions and output for some rows; holds what stands on one path of the tree."""
+    n, outputs = phi.shape[0], phi.shape[2]
+    product, total, reached = {0: np.ones((n, len(t)))}, {}, {0: np.ones(n, dtype=bool)}
+    hit, factor, gain, compared = {}, {}, {}, {}
+
+    def leave(i: int) -> None:
+        """Settle the edge above node ``i``, all of whose leaves are known."""
+        below = total.pop(i)
+        del product[i], reached[i]
+        parent, before, feature = tree.parent[i], tree.before[i], tree.feature[i]
+        if parent < 0:
+            return
+        change = gain.pop(i) if before < 0 else gain.pop(i) - gain[before]
+        phi[:, feature] += np.matmul((change * weights)[:, None, :], below)[:, 0]
+        total[parent] = total[parent] + below if parent in total else below
+        del hit[i], factor[i]
+
+    path = []
+    for i in range(len(tree.parent)):
+        parent = tree.parent[i]
+        while path and path[-1] != parent:
+            compared.pop(path[-1], None)
+            leave(path.pop())
+        if parent >= 0:
+            if parent not in compared:
+                compared[parent] = x[:, tree.feature[i]] <= tree.cut[i]
+            inside = compared[parent] if tree.left[i] else ~compared[parent]
+            before, share = tree.before[i], tree.share[i]
+            hit[i] = inside if before < 0 else inside & hit[before]
+            factor[i] = hit[i][:, None] * t + (1 - t) * share
+            gain[i] = (hit[i] - share)[:, None] / factor[i]
+            product[i] = product[parent] * factor[i] if before < 0 else product[parent] * (factor[i] / factor[before])
+            reached[i] = reached[parent] & inside
+        if tree.leaf[i]:
+            total[i] = product[i][:, :, None] * tree.value[i]
+            output[reached[i]] += tree.value[i]
+        path.append(i)
+    while path:
+        leave(path.pop())
 
 
 def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> DataFrame:
     """(row_id, class_id, feature, value, phi, base_value, output) of every row.
 
-    Trees are added up, so a forest too large for one broadcast is handled in
-    groups of trees whose partial sums are added by a shuffle on the row id.
-    Per row, base_value plus the sum of phi equals output.
+    Rows are dealt to lanes of bounded size, trees to groups of bounded size, and every lane meets every group
+    in a task of its own; neither passes through the driver.  With several groups, partial sums are added by a
+    shuffle on the row id.  Per row, base_value plus the sum of phi equals output.
     """
     spark = df.sparkSession
     ship_package(spark)
-    leaves = stored_leaves(model)
-    groups = _grouped(leaves)
+    trees = stored_trees(model)
+    upto = F.sum("size").over(W.orderBy("number").rowsBetween(W.unboundedPreceding, 0))  # one row per tree, without its data
+    filled = trees.select("number", F.floor((upto - F.col("size")) / GROUP_BYTES).alias("_filled"))
+    groups = materialise(filled.select("number", (F.dense_rank().over(W.orderBy("_filled")) - 1).alias("_part")), "groups")
+    parts = groups.agg(F.max("_part")).first()[0] + 1
     rows = df.select(named(row_id).alias(row_id), F.array(*[named(f).cast("double") for f in features]).alias("_x"))
+    if parts > 1:
+        rows = materialise(rows, "explained")
+    count = rows.count()
+    lanes = max(1, -(-count // LANE_ROWS), min(2 * spark.sparkContext.defaultParallelism, count // LEAST_ROWS))
+    # Rows are sent once per group of trees, and every tree once per lane.
+    laned = (rows.withColumn("_lane", F.pmod(F.xxhash64(named(row_id)), F.lit(lanes)).cast("int"))
+             .withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    sent = trees.join(groups, "number").select("_part", "number", "data", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_to"))
     schema = T.StructType([rows.schema[row_id], T.StructField("class_id", T.IntegerType()),
                            T.StructField("base_value", T.DoubleType()), T.StructField("output", T.DoubleType()),
                            T.StructField("_x", T.ArrayType(T.DoubleType())), T.StructField("_phi", T.ArrayType(T.DoubleType()))])
-
-    def explain_with(shared):
-        def explain(batches):
-            tables = shared.value
-            codes = np.unique(np.concatenate([t.outputs for t in tables]))
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack(pdf["_x"].to_numpy()).astype(float)
-                phi = np.zeros((len(x), x.shape[1], len(codes)))
-                base, output = np.zeros(len(codes)), np.zeros((len(x), len(codes)))
-                for t in tables:
-                    at = np.searchsorted(codes, t.outputs)
-                    p, b, o = tree_attributions(t, x)
-                    phi[:, :, at] += p
-                    base[at] += b
-                    output[:, at] += o
-                for c, code in enumerate(codes):
-                    yield pd.DataFrame({row_id: pdf[row_id], "class_id": np.int32(code), "base_value": base[c],
-                                        "output": output[:, c], "_x": pdf["_x"], "_phi": list(phi[:, :, c])})
-        return explain
-
-    if len(groups) > 1:
-        rows = materialise(rows, "explained")
-    # One group of tables is on the driver at a time, on its way to the executors.
-    parts = [rows.mapInPandas(explain_with(spark.sparkContext.broadcast(_fetched(leaves.filter(F.col("number").isin(g))))), schema)
-             for g in groups]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    if len(parts) > 1:
+    names = schema.names
+
+    def explain(pdf: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or tables.empty:
+            return pd.DataFrame({c: [] for c in names})
+        held = [pickle.loads(d) for _, d in sorted(zip(tables["number"], tables["data"]))]
+        codes = np.unique(np.concatenate([tree.outputs for tree in held]))
+        x = np.stack(pdf["_x"].to_numpy()).astype(float)
+        phi = np.zeros((len(x), x.shape[1], len(codes)))
+        base, output = np.zeros(len(codes)), np.zeros((len(x), len(codes)))
+        for tree in held:
+            at = np.searchsorted(codes, tree.outputs)
+            p, b, o = tree_attributions(tree, x)
+            phi[:, :, at] += p
+            base[at] += b
+            output[:, at] += o
+        return pd.concat([pd.DataFrame({row_id: pdf[row_id], "class_id": np.int32(code), "base_value": base[c], "output": output[:, c],
+                                        "_x": pdf["_x"], "_phi": list(phi[:, :, c])}) for c, code in enumerate(codes)])
+
+    table = laned.groupBy("_lane", "_group").cogroup(sent.groupBy("_to", "_part")).applyInPandas(explain, schema)
+    if parts > 1:
         added = [F.sum(F.col("_phi")[i]).alias(f"_p{i}") for i in range(len(features))]
-        table = (table.groupBy(row_id, "class_id").agg(F.sum("base_value").alias("base_value"), F.sum("output").alias("output"),
-                                                        F.first("_x").alias("_x"), *added)
+        table = (table.groupBy(named(row_id), "class_id").agg(F.sum("base_value").alias("base_value"), F.sum("output").alias("output"),
+                                                              F.first("_x").alias("_x"), *added)
                  .withColumn("_phi", F.array(*[F.col(f"_p{i}") for i in range(len(features))])))
-    names = F.array(*[F.lit(f) for f in features])
-    long = table.select(row_id, "class_id", "base_value", "output",
-                        F.inline(F.arrays_zip(names.alias("feature"), F.col("_x").alias("value"), F.col("_phi").alias("phi"))))
-    return long.select(row_id, "class_id", F.col("feature"), F.col("value"), F.col("phi"), "base_value", "output")
+    listed = F.array(*[F.lit(f) for f in features])
+    long = table.select(named(row_id), "class_id", "base_value", "output",
+                        F.inline(F.arrays_zip(listed.alias("feature"), F.col("_x").alias("value"), F.col("_phi").alias("phi"))))
+    return long.select(named(row_id), "class_id", F.col("feature"), F.col("value"), F.col("phi"), "base_value", "output")
 
 
 def global_importance(phi: DataFrame, top: int = 15) -> DataFrame:

@@ -50,10 +50,10 @@ def as_table(tree):
     rows = [{"id": n, "prediction": t.get("value", 0.0), "impurityStats": [1.0], "rawCount": t["cover"],
              "leftChild": -1 if t["left"] is None else t["left"], "rightChild": t.get("right", -1),
              "feature": t.get("feature", -1), "threshold": t.get("cut"), "categories": -1} for n, t in tree.items()]
-    return explain._leaves(pd.DataFrame(rows), 1.0, 0, 1)
+    return explain._tree(pd.DataFrame(rows), 1.0, 0, 1)
 
 
-@pytest.mark.parametrize("depth,features", [(2, 3), (4, 3), (6, 5)])
+@pytest.mark.parametrize("depth,features", [(0, 2), (2, 3), (4, 3), (6, 5), (7, 1)])
 def test_tree_values_equal_subset_enumeration(depth, features):
     rng = np.random.default_rng(depth)
     tree = grow(rng, depth, features)
