@@ -91,6 +91,21 @@ def materialise(df: DataFrame, name: str, partition: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored, and marked for broadcast if its measured strings and arrays leave it small.
+
+    Unlike ``small_table`` its rows never pass through Python; above the limit the same join is shuffled.
+    """
+    stored = materialise(df, name)
+    size = F.lit(0).cast("bigint")
+    for column, kind in stored.dtypes:
+        value = F.col("`" + column.replace("`", "``") + "`")
+        own = F.octet_length(value) if kind in ("string", "binary") else 8 * F.size(value) if kind.startswith("array<") else F.lit(0)
+        size = size + 16 + F.greatest(F.coalesce(own, F.lit(0)), F.lit(0))
+    rows, total = stored.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(stored) if rows <= SMALL_ROWS and (total or 0) <= SMALL_BYTES else stored
+
+
 def clear_work(spark: SparkSession) -> None:
     """Remove this application's intermediate tables, once its results are stored elsewhere.
 

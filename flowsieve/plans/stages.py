@@ -53,13 +53,15 @@ def prepare_folder(spark: SparkSession, folder: str, path: str, preset: Preset,
     """Same, starting from a folder of CSV files.
 
     What was left out is stored beside the set: ``<path>_skipped`` has the files without label or header with
-    the reason, ``<path>_rejected`` the rows per file and how many of them did not fit their header.
+    the reason, ``<path>_rejected`` the rows per file and how many of them did not fit their header, and
+    ``<path>_malformed`` these rows as they were read; they are not part of the set.
     """
     headers = materialise(flows.file_headers(spark, folder, preset.recursive), "headers")
     flows.skipped_files(headers, label).write.mode("overwrite").parquet(f"{path}_skipped")
     landed = flows.number_rows(flows.read_flows(spark, folder, preset.recursive, label, headers), folder)
     flows.rejected_rows(landed).write.mode("overwrite").parquet(f"{path}_rejected")
-    return prepare(landed, path, preset, label)
+    flows.malformed_rows(landed).write.mode("overwrite").parquet(f"{path}_malformed")
+    return prepare(flows.fitting_rows(landed), path, preset, label)
 
 
 def train_baselines(data: FeatureSet, params: dict[str, dict] | None = None, path: str | None = None) -> dict[str, dict]:

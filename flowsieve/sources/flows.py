@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.bounded import materialise, small_table
+from flowsieve.functions.bounded import hinted, materialise, small_table
 from flowsieve.functions.scalar import named, unique_names
 from flowsieve.functions.shipping import ship_package
-from flowsieve.operators.clean import union_by_name
 
 CSV_SUFFIX = "*.[cC][sS][vV]"
 CORRUPT = "_corrupt"
@@ -27,11 +26,11 @@ def escape_glob(path: str) -> str:
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, length) of every CSV file; contents are not read."""
+    """(path, length, file) of every CSV file; ``file`` names it as rows read from it do.  Contents are not read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", CSV_SUFFIX)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(escape_glob(folder)).select("path", "length")
+    return reader.load(escape_glob(folder)).select("path", "length", F.col("_metadata.file_path").alias("file"))
 
 
 def read_text_csv(spark: SparkSession, folder: str, schema: T.StructType | None = None,
@@ -70,7 +69,7 @@ def file_headers(spark: SparkSession, folder: str, recursive: bool = False) -> D
 
         for batch in batches:
             rows = []
-            for path in batch["path"]:
+            for path, file in zip(batch["path"], batch["file"]):
                 try:
                     local = re.match(r"file:/+(.*)", path)
                     if local:
@@ -88,12 +87,12 @@ def file_headers(spark: SparkSession, folder: str, recursive: bool = False) -> D
                     if not line:
                         raise ValueError("empty file")
                     names = unique_names(c.strip() for c in next(csv.reader([line])))
-                    rows.extend((path, i, c, None) for i, c in enumerate(names))
+                    rows.extend((file, i, c, None) for i, c in enumerate(names))
                 except Exception as e:  # reported as a row
-                    rows.append((path, None, None, f"{type(e).__name__}: {e}"[:500]))
+                    rows.append((file, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(rows, columns=["file", "position", "column", "error"]).astype({"position": "Int32"})
 
-    return list_files(spark, folder, recursive).select("path").mapInPandas(first_lines, schema)
+    return list_files(spark, folder, recursive).select("path", "file").mapInPandas(first_lines, schema)
 
 
 def header_union(headers: DataFrame) -> DataFrame:
@@ -105,11 +104,16 @@ def header_union(headers: DataFrame) -> DataFrame:
     return first.select(place.cast("int").alias("position"), "column")
 
 
+def headed_files(headers: DataFrame) -> DataFrame:
+    """(file, columns): the header of every readable file."""
+    listed = F.sort_array(F.collect_list(F.struct("position", "column")))  # one file's header
+    return (headers.filter(F.col("column").isNotNull()).groupBy("file")
+            .agg(F.transform(listed, lambda s: s["column"]).alias("columns")))
+
+
 def file_layouts(headers: DataFrame) -> DataFrame:
-    """(columns, files): files grouped by identical header."""
-    per_file = headers.filter(F.col("column").isNotNull()).groupBy("file").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "column"))), lambda s: s["column"]).alias("columns"))
-    return per_file.groupBy("columns").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    """(columns, n_files): distinct headers and how many files have them."""
+    return headed_files(headers).groupBy("columns").agg(F.count("*").alias("n_files"))
 
 
 def skipped_files(headers: DataFrame, label: str = "Label") -> DataFrame:
@@ -121,25 +125,60 @@ def skipped_files(headers: DataFrame, label: str = "Label") -> DataFrame:
             .select("file", reason.alias("reason")))
 
 
+def has_line_breaks(spark: SparkSession, folder: str, recursive: bool = False) -> bool:
+    """Whether a cell of any file goes on in the next line: some line then has an odd number of quotes.
+
+    A scan of the folder as text without its lines leaving the engine.
+    """
+    reader = spark.read.option("pathGlobFilter", CSV_SUFFIX)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return bool(reader.text(escape_glob(folder)).agg(F.max(quotes % 2)).first()[0])
+
+
+def cells_in(line: Column) -> Column:
+    """Number of cells of a raw record; separators inside quotes do not count."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
 def read_flows(spark: SparkSession, folder: str, recursive: bool = False, label: str = "Label",
-               headers: DataFrame | None = None) -> DataFrame:
+               headers: DataFrame | None = None, line_breaks: bool | None = None) -> DataFrame:
     """Union by name of all files that carry the label column, all text.
 
-    Files are grouped by header, so there is one scan per distinct header rather
-    than per file; ``headers`` may be passed if they are known.  Columns a file lacks are null.  Adds ``source_file`` and
-    ``_corrupt`` (the raw line of a row that does not fit its header).
+    One scan reads cells by position, whatever the files' headers; a join on the file's path tells which position
+    holds which column, and only names of columns come to the driver.  ``headers`` may be passed if they are
+    known.  Cells with line breaks are read whole, from files that are then not split; unless ``line_breaks`` says
+    whether there are any, the folder is scanned for them first.  Columns a file lacks are null.  Adds
+    ``source_file`` and ``_corrupt`` (the raw record of a row that does not fit its header).
     """
-    layouts = file_layouts(headers if headers is not None else file_headers(spark, folder, recursive)).collect()
-    usable = sorted((tuple(r["columns"]), r["files"]) for r in layouts if label in r["columns"])
-    if not usable:
+    known = materialise(headers if headers is not None else file_headers(spark, folder, recursive), "headers")
+    usable = headed_files(known).filter(F.array_contains("columns", label)).withColumn("layout", F.md5(F.to_json("columns")))
+    usable = materialise(usable, "usable")
+    width = usable.agg(F.max(F.size("columns"))).first()[0]
+    if width is None:
         raise ValueError(f"no CSV file with a column {label!r} under {folder}")
-    parts = []
-    for columns, files in usable:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-        df = (spark.read.schema(schema).option("header", "true").option("columnNameOfCorruptRecord", CORRUPT)
-              .option("mode", "PERMISSIVE").csv([escape_glob(f) for f in files]))
-        parts.append(df.withColumn("source_file", F.col("_metadata.file_path")))
-    return union_by_name(parts)
+    names = [r["column"] for r in header_union(known.join(usable.select("file"), "file", "left_semi")).orderBy("position").collect()]
+    place = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: (F.array_position("columns", n) - 1).cast("int"))
+    layouts = usable.dropDuplicates(["layout"]).select(F.col("layout").alias("_layout"), F.size("columns").alias("_width"), place.alias("_place"))
+    files = usable.select(F.col("file").alias("_file"), F.col("layout").alias("_layout"))
+
+    if line_breaks is None:
+        line_breaks = has_line_breaks(spark, folder, recursive)
+    numbered = [f"_c{i}" for i in range(width)]
+    reader = (spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*numbered, CORRUPT]]))
+              .option("header", "true").option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE")
+              .option("escape", '"').option("multiLine", str(line_breaks).lower()).option("pathGlobFilter", CSV_SUFFIX))
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    rows = reader.csv(escape_glob(folder)).withColumn("source_file", F.col("_metadata.file_path"))
+    joined = rows.join(hinted(files, "files"), F.col("source_file") == F.col("_file")).join(hinted(layouts, "layouts"), "_layout")
+    cells = F.array(*numbered)
+    # The engine keeps the raw record of every row that has not as many cells as the widest header; others are written again.
+    fits = F.when(F.col(CORRUPT).isNull(), F.lit(width)).otherwise(cells_in(F.col(CORRUPT))) == F.col("_width")
+    return joined.select(*[F.get(cells, F.when(F.col("_place")[i] >= 0, F.col("_place")[i])).alias(n) for i, n in enumerate(names)],
+                         F.when(~fits, F.coalesce(CORRUPT, F.to_csv(F.struct(*numbered)))).alias(CORRUPT), "source_file")
 
 
 def land_flows(spark: SparkSession, folder: str, recursive: bool = False, label: str = "Label") -> DataFrame:
@@ -177,6 +216,16 @@ def number_rows(flows: DataFrame, folder: str = "") -> DataFrame:
     return materialise(single.select(*columns).unionByName(copies.select(*columns)), "flows")
 
 
+def fitting_rows(flows: DataFrame) -> DataFrame:
+    """Rows that fit their header, without the marker; the others are half empty or hold surplus cells."""
+    return flows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def malformed_rows(flows: DataFrame) -> DataFrame:
+    """(source_file, row_id, record) of landed rows that do not fit their header."""
+    return flows.filter(F.col(CORRUPT).isNotNull()).select("source_file", "row_id", F.col(CORRUPT).alias("record"))
+
+
 def rejected_rows(flows: DataFrame) -> DataFrame:
     """(source_file, n_rows, n_rejected) per file of landed flows.
 

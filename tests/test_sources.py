@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowsieve.functions.bounded import materialise
 from flowsieve.operators import clean
 from flowsieve.sources import flows, store
 
@@ -66,6 +68,36 @@ def test_rejected_lines_are_counted(spark, tmp_path):
     assert tuple(flows.rejected_rows(landed).select("n_rows", "n_rejected").first()) == (3, 1)
 
 
+def test_many_layouts_take_one_scan_and_no_path_to_the_driver(spark, tmp_path):
+    columns = [f"c{i}" for i in range(9)] + ["Label"]
+    rng, want = random.Random(4), []
+    for number in range(240):
+        own = rng.sample(columns[:9], rng.randint(1, 9)) + ["Label"]
+        rng.shuffle(own)
+        lines = [{c: f"{number}-{row}-{c}" for c in own} for row in range(3)]
+        (tmp_path / f"f{number}.csv").write_text("\n".join([",".join(own), *[",".join(line[c] for c in own) for line in lines]]) + "\n")
+        want += [tuple(line.get(c) for c in columns) for line in lines]
+    headers = materialise(flows.file_headers(spark, str(tmp_path)), "headers")
+    assert flows.file_layouts(headers).count() > 100
+    read = flows.read_flows(spark, str(tmp_path), headers=headers)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_c8#") and plan.count(" csv") == 1
+    assert sorted(map(tuple, read.select(*columns).collect()), key=repr) == sorted(want, key=repr)
+    assert materialise(read, "read").filter(F.col(flows.CORRUPT).isNotNull()).count() == 0
+
+
+def test_cells_may_hold_line_breaks_quotes_and_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,note,Label\n1,"two\nlines, and ""quotes""",A\n2,plain,B\n3,"a,b",C,surplus\n4,D\n')
+    (tmp_path / "b.csv").write_text('Label,x\nE,5\n"F ""f""",6\n"G,g",7,8\n')
+    rows = flows.read_flows(spark, str(tmp_path)).collect()
+    got = {r.x: (r.note, r.Label, r[flows.CORRUPT] is not None) for r in rows}
+    assert got == {"1": ('two\nlines, and "quotes"', "A", False), "2": ("plain", "B", False), "3": ("a,b", "C", True), "4": ("D", None, True),
+                   "5": (None, "E", False), "6": (None, 'F "f"', False), "7": (None, "G,g", True)}
+    assert flows.has_line_breaks(spark, str(tmp_path))
+    landed = flows.land_flows(spark, str(tmp_path))
+    assert flows.fitting_rows(landed).count() == 4 and flows.malformed_rows(landed).count() == 3
+
+
 def test_unreadable_header_is_reported(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("\nx\n")
     row = flows.skipped_files(flows.file_headers(spark, str(tmp_path))).first()
