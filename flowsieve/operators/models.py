@@ -2,21 +2,22 @@
 
 Four slots keep the roles of the four classifiers being compared: one bagged
 forest and three boosted ensembles.  Boosting more than two classes trains one
-ensemble per class; its per-class raw scores serve ranking and ROC curves.
+ensemble per class; its margins are calibrated into class probabilities.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.bounded import materialise, spread
 from flowsieve.functions.scalar import named
-from flowsieve.operators import evaluate
+from flowsieve.operators import calibrate, evaluate
+from flowsieve.operators.sample import stratified_folds
 from flowsieve.operators.select import STATISTICS_MB, assemble
 
 SLOTS = ("forest", "boost_depth", "boost_leaves", "boost_bins")
@@ -34,6 +35,9 @@ BASE_PARAMS = {
     "boost_bins": {"iterations": BASE_TREES, "depth": 6, "learning_rate": 0.1, "l2_leaf_reg": 3.0},
 }
 
+# One fold in so many is kept for calibrating margins.
+CALIBRATION_FOLDS = 5
+
 # Parameters Spark ML has no counterpart for.
 IGNORED_PARAMS = ("l2_leaf_reg",)
 
@@ -69,11 +73,16 @@ def estimator(slot: str, params: dict, n_classes: int, n_features: int, seed: in
     return OneVsRest(classifier=boosted, featuresCol="features", labelCol="label_id", parallelism=parallelism)
 
 
+def ready_rows(rows: DataFrame, label_id: str, features: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(features vector, label_id, kept columns): what learners read; store it if several fits share it."""
+    numeric = rows.select(named(label_id).cast("double").alias("label_id"), *[named(f) for f in features], *[named(c) for c in keep])
+    return assemble(numeric, features).select("features", "label_id", *[named(c) for c in keep])
+
+
 def train(slot: str, params: dict, rows: DataFrame, label_id: str, features: list[str], n_classes: int | None = None,
           seed: int = 42):
     """Fit a slot on a table of numeric features and label codes."""
-    numeric = rows.select(named(label_id).cast("double").alias("label_id"), *[named(f) for f in features])
-    ready = assemble(spread(numeric), features).select("features", "label_id").persist()
+    ready = spread(ready_rows(rows, label_id, features)).persist()
     try:
         classes = n_classes or int(ready.agg(F.max("label_id")).first()[0]) + 1
         return estimator(slot, params, classes, len(features), seed).fit(ready)
@@ -83,13 +92,37 @@ def train(slot: str, params: dict, rows: DataFrame, label_id: str, features: lis
 
 def score(model, rows: DataFrame, row_id: str, label_id: str, features: list[str]) -> DataFrame:
     """(row_id, label_id, prediction, score): score is per class, null if the model gives none."""
-    ready = assemble(rows, features).select(named(row_id).alias("_id"), named(label_id).cast("int").alias("label_id"), "features")
+    return score_ready(model, assemble(rows, features), row_id, label_id)
+
+
+def score_ready(model, rows: DataFrame, row_id: str, label_id: str) -> DataFrame:
+    """The same for rows whose features are a vector already."""
+    ready = rows.select(named(row_id).alias("_id"), named(label_id).cast("int").alias("label_id"), "features")
     out = model.transform(ready)
     scores = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
     values = vector_to_array(scores) if scores else F.lit(None).cast("array<double>")
     return out.select(F.col("_id").alias(row_id), "label_id", F.col("prediction").cast("int").alias("prediction"), values.alias("score"))
 
 
+def has_probabilities(model) -> bool:
+    """Whether a model's scores are class probabilities; one boosted model per class gives margins."""
+    return not isinstance(model, OneVsRestModel)
+
+
+def train_calibrated(slot: str, params: dict, rows: DataFrame, row_id: str, label_id: str, features: list[str],
+                     n_classes: int, seed: int = 42):
+    """(model, curves): a fitted slot, and what turns its margins into probabilities, None if it gives them itself.
+
+    Margins are calibrated on a fold of CALIBRATION_FOLDS that the model was not fitted on.
+    """
+    if slot == "forest" or n_classes <= 2:
+        return train(slot, params, rows, label_id, features, n_classes, seed), None
+    folded = materialise(stratified_folds(rows, [row_id], label_id, CALIBRATION_FOLDS), "calibration")
+    model = train(slot, params, folded.filter("fold <> 0"), label_id, features, n_classes, seed)
+    held = score(model, folded.filter("fold = 0"), row_id, label_id, features)
+    return model, materialise(calibrate.fit_curves(held, "label_id", "score"), "curves")
+
+
 def evaluate_predictions(predictions: DataFrame, digits: int | None = None) -> dict[str, DataFrame]:
     """Report, confusion counts, ROC points, per-class and macro AUC of stored predictions.
 
@@ -110,11 +143,17 @@ def evaluate_predictions(predictions: DataFrame, digits: int | None = None) -> d
 
 def compare_slots(train_rows: DataFrame, test_rows: DataFrame, row_id: str, label_id: str, features: list[str],
                   params: dict[str, dict] | None = None, n_classes: int | None = None, seed: int = 42) -> DataFrame:
-    """Fit every slot, score the test rows: (model, row_id, label_id, prediction, score)."""
+    """Fit every slot, score the test rows: (model, row_id, label_id, prediction, score).
+
+    Both tables are assembled and stored once for all slots.
+    """
+    ready = materialise(spread(ready_rows(train_rows, label_id, features)), "ready")
+    test = materialise(assemble(test_rows, features).select(named(row_id), named(label_id), "features"), "test")
+    classes = n_classes or int(ready.agg(F.max("label_id")).first()[0]) + 1
     parts = []
     for slot, setting in (params or BASE_PARAMS).items():
-        model = train(slot, setting, train_rows, label_id, features, n_classes, seed)
-        parts.append(score(model, test_rows, row_id, label_id, features).select(F.lit(slot).alias("model"), "*"))
+        model = estimator(slot, setting, classes, len(features), seed).fit(ready)
+        parts.append(score_ready(model, test, row_id, label_id).select(F.lit(slot).alias("model"), "*"))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)

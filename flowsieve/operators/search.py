@@ -2,13 +2,16 @@
 
 Points are drawn from the space by a seeded generator, so trial t always tries
 the same point and a restarted search continues where it stopped.  Each trial
-is scored by 3-fold macro-F1; every fit is a Spark job over the fold's rows.
+is scored by 3-fold macro-F1; every fit is a Spark job over the fold's rows, and
+several trials run side by side.
 """
 
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,9 @@ TRIALS = {"forest": 25, "boost_depth": 20, "boost_bins": 20, "boost_leaves": 20}
 CHUNK_ROWS = 500_000
 MODEL_SEED = 106
 
+# Trials under way at once.
+PARALLEL = 4
+
 
 def draw_point(space: dict, seed: int, trial: int) -> dict[str, float]:
     """The parameters trial number ``trial`` tries."""
@@ -77,10 +83,16 @@ def draw_point(space: dict, seed: int, trial: int) -> dict[str, float]:
 def cross_validate(rows: DataFrame, row_id: str, label_id: str, features: list[str], slot: str, params: dict,
                    folds: int = 3, n_classes: int | None = None, seed: int = MODEL_SEED) -> DataFrame:
     """(fold, f1_macro): each fold scored by a model fitted on the others."""
+    ready = models.ready_rows(rows, label_id, features, (row_id, "fold"))
+    classes = n_classes or int(rows.agg(F.max(named(label_id))).first()[0]) + 1
+    return _fold_scores(ready, row_id, len(features), slot, params, folds, classes, seed)
+
+
+def _fold_scores(ready: DataFrame, row_id: str, width: int, slot: str, params: dict, folds: int, classes: int, seed: int = MODEL_SEED) -> DataFrame:
     parts = []
     for fold in range(folds):
-        model = models.train(slot, params, rows.filter(F.col("fold") != fold), label_id, features, n_classes, seed)
-        scored = models.score(model, rows.filter(F.col("fold") == fold), row_id, label_id, features)
+        model = models.estimator(slot, params, classes, width, seed).fit(ready.filter(F.col("fold") != fold).select("features", "label_id"))
+        scored = models.score_ready(model, ready.filter(F.col("fold") == fold), row_id, "label_id")
         parts.append(scored.select(F.lit(fold).alias("fold"), "label_id", "prediction"))
     table = parts[0]
     for part in parts[1:]:
@@ -95,9 +107,14 @@ def mean_fold_score(scores: DataFrame, groups: list[str] = (), score: str = "f1_
 
 def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slot: str, trials_path: str,
            trials: int | None = None, chunk_rows: int | None = None, space: dict | None = None, folds: int = 3,
-           seed: int = 42) -> DataFrame:
+           seed: int = 42, parallel: int = PARALLEL) -> DataFrame:
     """Run the trials of a slot not yet in ``trials_path``; returns all of them.
 
+    ``parallel`` trials run side by side, each in a scheduler pool of its own: the last tasks of one fit leave
+    cores that another takes, and under ``spark.scheduler.mode`` FAIR none waits for the others.  All read one
+    table whose folds are drawn and whose features are assembled once, in an order that follows from row ids, so a
+    resumed search and an uninterrupted one log the same.
+
     With ``chunk_rows``, trial t works on chunk t mod n of the table, the chunks
     being stable hash buckets stored as folders so that a trial reads its own
     chunk only.
@@ -105,25 +122,31 @@ def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slo
     spark = rows.sparkSession
     space = space or SPACES[slot]
     wanted = TRIALS[slot] if trials is None else trials
-    done = store.load_trials(spark, trials_path).filter(F.col("model") == slot)
-    start = (done.agg(F.max("trial")).first()[0] or 0) + 1 if done.head(1) else 0
-    if start < wanted:
+    done = {r["trial"] for r in store.load_trials(spark, trials_path).filter(F.col("model") == slot).select("trial").collect()}
+    missing = [t for t in range(wanted) if t not in done]
+    if missing:
         columns = [row_id, label_id, *features]
         total, top = rows.agg(F.count("*"), F.max(label_id)).first()
         classes = int(top) + 1
         chunks = max(1, -(-total // chunk_rows)) if chunk_rows else 1
         folded = stratified_folds(rows.select(*[named(c) for c in columns]), [row_id], label_id, folds)
         numbered = chunk_number(folded, [row_id], chunks)
+        ready = models.ready_rows(numbered, label_id, features, (row_id, "fold", "chunk"))
         # A few files per chunk, not one per chunk and task; the second key keeps a lone chunk from one task.
-        if chunks > 1:
-            numbered = numbered.repartition("chunk", F.pmod(F.xxhash64(named(row_id)), F.lit(8)))
-        stored = materialise(numbered, "folds", partition="chunk")
-        for trial in range(start, wanted):
+        dealt = ready.repartition("chunk", F.pmod(F.xxhash64(named(row_id)), F.lit(8))).sortWithinPartitions("chunk", named(row_id))
+        stored = materialise(dealt, "folds", partition="chunk")
+
+        def run(trial: int) -> None:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{slot}-{trial}")
             point = draw_point(space, seed, trial)
-            part = stored.filter(F.col("chunk") == trial % chunks)
-            scores = cross_validate(part, row_id, label_id, features, slot, point, folds, classes)
+            scores = _fold_scores(stored.filter(F.col("chunk") == trial % chunks), row_id, len(features), slot, point, folds, classes)
             loss = -mean_fold_score(scores).first()[0]
             store.append_trial(spark, trials_path, [(slot, trial, trial % chunks, point, float(loss))])
+
+        with ThreadPoolExecutor(max(1, min(parallel, len(missing)))) as pool:
+            # A trial that fails ends the search with its error, after those under way are logged.
+            for finished in [pool.submit(inheritable_thread_target(spark)(run), trial) for trial in missing]:
+                finished.result()
     return store.load_trials(spark, trials_path).filter(F.col("model") == slot)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +38,66 @@ def fingerprint(*parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+MANIFEST = "_manifest"
+
+
+def commit(spark: SparkSession, df: DataFrame, path: str, **facts) -> bool:
+    """Store ``df`` as the folder ``path``, whole or not at all; False if another writer was first.
+
+    The rows are written aside, a manifest of their files and of ``facts`` is added, and the folder is renamed.
+    A rename that finds its target there fails, so of several drivers one wins and the others drop what they
+    wrote.  A driver lost on the way leaves a hidden folder beside the target, which no read looks at.
+    """
+    jvm = spark._jvm
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{parent}/_writing-{name}-{uuid.uuid4().hex}")
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    configuration = spark._jsc.hadoopConfiguration()
+    system = target.getFileSystem(configuration)
+    df.write.parquet(aside.toString())
+    files = sorted((f.getPath().getName(), f.getLen()) for f in system.listStatus(aside) if f.getPath().getName().endswith(".parquet"))
+    stream = system.create(jvm.org.apache.hadoop.fs.Path(aside, MANIFEST))
+    try:
+        stream.write(bytearray(json.dumps({"files": files, **facts}, sort_keys=True).encode()))
+    finally:
+        stream.close()
+    none = SparkContext.getOrCreate()._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), configuration).rename(aside, target, none)
+    except Py4JJavaError:
+        system.delete(aside, True)
+        if not committed(spark, path):
+            raise
+        return False
+    return True
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds all the files its manifest lists, in their sizes."""
+    if not path_exists(spark, f"{path}/{MANIFEST}"):
+        return False
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {f.getPath().getName(): f.getLen() for f in system.listStatus(folder)}
+    stream = system.open(jvm.org.apache.hadoop.fs.Path(folder, MANIFEST))
+    try:
+        content = bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+    return all(there.get(name) == size for name, size in json.loads(content)["files"])
+
+
 def load_or_compute(spark: SparkSession, root: str, name: str, key: str,
                     compute: Callable[[], DataFrame]) -> DataFrame:
     """Reuse a stored result of the same fingerprint, else compute and store it.
 
-    A result counts as stored once its commit marker exists, so a job lost
-    half-way is computed again.
+    A result counts as stored once it is committed with its manifest, so a job lost half-way is computed again.
+    Of two drivers that compute it at once both return what the first one stored.
     """
     path = f"{root.rstrip('/')}/{name}-{key}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        compute().write.mode("overwrite").parquet(path)
+    if not committed(spark, path):
+        commit(spark, compute(), path, key=key)
     return spark.read.parquet(path)
 
 
@@ -63,14 +115,17 @@ def save_report_json(report: DataFrame, path: str, model: str, class_column: str
 
 
 def append_trial(spark: SparkSession, path: str, rows: list[tuple]) -> None:
-    spark.createDataFrame(rows, TRIALS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    """Add finished trials to a log.  Each is committed once by model and number; a second try changes nothing."""
+    for row in rows:
+        commit(spark, spark.createDataFrame([row], TRIALS_SCHEMA).coalesce(1), f"{path.rstrip('/')}/{row[0]}-{row[1]:06d}")
 
 
 def load_trials(spark: SparkSession, path: str) -> DataFrame:
-    """The trials written so far; an empty table before the first."""
+    """The trials committed so far, one row each; an empty table before the first."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], TRIALS_SCHEMA)
-    return spark.read.schema(TRIALS_SCHEMA).parquet(path)
+    return (spark.read.schema(TRIALS_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+            .dropDuplicates(["model", "trial"]))
 
 
 def resume_point(trials: DataFrame, chunks: int) -> DataFrame:

@@ -19,7 +19,7 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("slot", list(search.SPACES))
-def test_points_stay_in_their_space(slot):
+def test_points_stay_in_their_space(spark, slot):
     for trial in range(30):
         point = search.draw_point(search.SPACES[slot], 1, trial)
         assert point == search.draw_point(search.SPACES[slot], 1, trial)
@@ -36,9 +36,9 @@ def test_a_resumed_search_tries_the_same_points(spark, rows, tmp_path):
     def run(path, trials):
         return search.search(rows, "row_id", "label_id", ["a", "b c"], "forest", path, trials=trials, chunk_rows=200, space=SPACE)
 
-    whole = {r.trial: (r.params, r.chunk) for r in run(str(tmp_path / "a"), 3).collect()}
+    whole = {r.trial: (r.params, r.chunk, r.loss) for r in run(str(tmp_path / "a"), 3).collect()}
     run(str(tmp_path / "b"), 1)
-    resumed = {r.trial: (r.params, r.chunk) for r in run(str(tmp_path / "b"), 3).collect()}
+    resumed = {r.trial: (r.params, r.chunk, r.loss) for r in run(str(tmp_path / "b"), 3).collect()}
     assert resumed == whole
     assert [whole[t][1] for t in range(3)] == [0, 1, 0]
     best = store.best_params(store.load_trials(spark, str(tmp_path / "a"))).first()
@@ -47,6 +47,23 @@ def test_a_resumed_search_tries_the_same_points(spark, rows, tmp_path):
     assert max(t.depth for t in model.trees) <= 1
 
 
+def test_trials_side_by_side_log_what_they_log_one_after_another(spark, rows, tmp_path):
+    logs = []
+    for parallel in (1, 4):
+        path = str(tmp_path / str(parallel))
+        found = search.search(rows, "row_id", "label_id", ["a", "b c"], "forest", path, trials=4, space=SPACE, parallel=parallel)
+        logs.append(sorted((r.trial, sorted(r.params.items()), r.loss) for r in found.collect()))
+    assert logs[0] == logs[1] and len(logs[0]) == 4
+
+
+def test_a_gap_in_the_log_is_filled(spark, rows, tmp_path):
+    path = str(tmp_path / "log")
+    for trial in (0, 2):
+        store.append_trial(spark, path, [("forest", trial, 0, {"n_estimators": 1.0}, -9.0)])
+    found = search.search(rows, "row_id", "label_id", ["a", "b c"], "forest", path, trials=3, space=SPACE)
+    assert {r.trial: r.loss == -9.0 for r in found.collect()} == {0: True, 1: False, 2: True}
+
+
 def test_ranking_puts_the_informative_feature_first(rows):
     ranking = select.rank_features(rows, "label_id", ["a", "b c"], trees=5, depth=3, row_share=0.5)
     assert [r.feature for r in ranking.orderBy("rank").collect()] == ["a", "b c"]
@@ -55,7 +72,7 @@ def test_ranking_puts_the_informative_feature_first(rows):
     assert select.select_features(ranking, weak, keep=1).count() == 0
 
 
-def test_parameters_map_to_the_learners():
+def test_parameters_map_to_the_learners(spark):
     forest = models.estimator("forest", {"n_estimators": 7.0, "max_depth": 44.0, "max_features": 29.0, "criterion": 1.0,
                                          "min_samples_leaf": 2.0, "min_samples_split": 9.0}, 3, 20)
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy(), forest.getImpurity(),

@@ -1,5 +1,6 @@
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,48 @@ def test_load_or_compute_runs_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_a_step_stopped_before_its_commit_is_computed_again(spark, tmp_path, monkeypatch):
+    root, key = str(tmp_path), store.fingerprint("step")
+    rename = store.SparkContext.getOrCreate
+
+    def stopped():
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store.SparkContext, "getOrCreate", stopped)
+    with pytest.raises(KeyboardInterrupt):
+        store.load_or_compute(spark, root, "x", key, lambda: spark.range(5))
+    monkeypatch.setattr(store.SparkContext, "getOrCreate", rename)
+    # The rows and the manifest are there, but aside.
+    assert not store.committed(spark, f"{root}/x-{key}") and len(list(tmp_path.iterdir())) == 1
+    assert store.load_or_compute(spark, root, "x", key, lambda: spark.range(3)).count() == 3
+    assert store.load_or_compute(spark, root, "x", key, lambda: spark.range(9)).count() == 3
+
+
+def test_a_result_that_lacks_a_file_does_not_count_as_stored(spark, tmp_path):
+    assert store.commit(spark, spark.range(8).repartition(2), str(tmp_path / "t"), note="x")
+    assert store.committed(spark, str(tmp_path / "t"))
+    next((tmp_path / "t").glob("*.parquet")).write_bytes(b"torn")
+    assert not store.committed(spark, str(tmp_path / "t"))
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    path, key = str(tmp_path), store.fingerprint("two")
+
+    def slow():
+        # Another driver commits the same step while this one computes it.
+        assert store.load_or_compute(spark, path, "x", key, lambda: spark.range(4)).count() == 4
+        return spark.range(7)
+
+    assert store.load_or_compute(spark, path, "x", key, slow).count() == 4
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(lambda n: store.commit(spark, spark.range(n), f"{path}/y"), (1, 2, 3)))
+    assert sum(won) == 1 and spark.read.parquet(f"{path}/y").count() == won.index(True) + 1
+    for loss in (-0.5, -0.7):
+        store.append_trial(spark, f"{path}/log", [("forest", 3, 0, {"n": 1.0}, loss)])
+    assert [r.loss for r in store.load_trials(spark, f"{path}/log").collect()] == [-0.5]
+    assert not [p for p in tmp_path.rglob("_writing*")]
+
+
 def test_split_store_prunes_to_one_part(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "test")], "row_id bigint, split string")
     store.save_split(df, str(tmp_path / "s"))
