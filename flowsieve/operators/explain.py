@@ -34,6 +34,9 @@ from flowsieve.functions.shipping import ship_package
 GROUP_BYTES = 16 << 20      # trees of this size are held against a lane of rows at once
 LANE_ROWS = 20_000          # rows that are, at most about
 LEAST_ROWS = 500            # rows a lane has at least, where there are fewer rows than that for every core
+SPREAD = (5, 25, 50, 75, 95)  # percentiles of attributions
+SKETCH_K = 800              # size of a quantile sketch, for ranks within
+RANK_ERROR = 0.005          # of all rows
 CELL_LIMIT = 400_000        # rows x nodes of integration x outputs held per level of a tree
 
 
@@ -259,13 +262,55 @@ def class_attributions(phi: DataFrame, class_id: int) -> DataFrame:
     return phi.filter(F.col("class_id") == class_id)
 
 
+def attribution_sketches(phi: DataFrame) -> DataFrame:
+    """(class_id, feature, n, …, sketch): what the spread of attributions follows from, per class and feature.
+
+    Rows of several batches are put together by ``merged_sketches``, so attributions may be summed up as they are
+    made and a stored summary grows with classes and features only.  The sketch is a KLL quantile sketch.
+    """
+    value, own = F.col("value"), F.col("phi")
+    both = value.isNotNull() & own.isNotNull()
+    return phi.groupBy("class_id", "feature").agg(
+        F.count(own).alias("n"), F.sum(F.abs(own)).alias("size"), F.kll_sketch_agg_double(own, SKETCH_K).alias("sketch"),
+        F.count(F.when(both, 1)).alias("pairs"), F.avg(F.when(both, value)).alias("mean_value"), F.avg(F.when(both, own)).alias("mean_phi"),
+        # Sums of squares and products around the means, which merge without cancelling.
+        F.coalesce(F.var_pop(F.when(both, value)) * F.count(F.when(both, 1)), F.lit(0.0)).alias("square_value"),
+        F.coalesce(F.var_pop(F.when(both, own)) * F.count(F.when(both, 1)), F.lit(0.0)).alias("square_phi"),
+        F.coalesce(F.covar_pop(value, own) * F.count(F.when(both, 1)), F.lit(0.0)).alias("product"))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of several batches as one row per class and feature."""
+    weighted = {c: F.sum(F.col("pairs") * F.col(c)) / F.sum("pairs") for c in ("mean_value", "mean_phi")}
+    held = sketches.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in weighted})
+    parts = held.groupBy("class_id", "feature").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.kll_merge_agg_double("sketch").alias("sketch"),
+        F.sum("pairs").alias("pairs"), *[mean.alias(c) for c, mean in weighted.items()],
+        F.collect_list(F.struct("pairs", "mean_value", "mean_phi", "square_value", "square_phi", "product")).alias("_batches"))
+
+    def around(own: str, one: str, two: str):
+        """Sums around the batches' own means, moved to the common ones."""
+        return F.aggregate("_batches", F.lit(0.0), lambda total, b: total + b[own] + b["pairs"] * (b[one] - F.col(one)) * (b[two] - F.col(two)))
+
+    return parts.select("class_id", "feature", "n", "size", "sketch", "pairs", "mean_value", "mean_phi",
+                        around("square_value", "mean_value", "mean_value").alias("square_value"),
+                        around("square_phi", "mean_phi", "mean_phi").alias("square_phi"), around("product", "mean_value", "mean_phi").alias("product"))
+
+
+def sketched_summary(sketches: DataFrame) -> DataFrame:
+    """Spread of attributions per class and feature, and their relation to the value.
+
+    Quantiles are those of a rank within RANK_ERROR of the one asked for.
+    """
+    scale = F.sqrt(F.col("square_value") * F.col("square_phi"))
+    return sketches.select("class_id", "feature", (F.col("size") / F.col("n")).alias("importance"),
+                           F.when(scale > 0, F.col("product") / scale).alias("direction"),
+                           *[F.kll_sketch_get_quantile_double("sketch", F.lit(q / 100)).alias(f"p{q}") for q in SPREAD])
+
+
 def class_summary(phi: DataFrame) -> DataFrame:
-    """Spread of attributions per class and feature, and their relation to the value."""
-    points = F.percentile_approx("phi", [0.05, 0.25, 0.5, 0.75, 0.95])
-    table = phi.groupBy("class_id", "feature").agg(
-        F.avg(F.abs("phi")).alias("importance"), points.alias("_q"), F.corr("value", "phi").alias("direction"))
-    return table.select("class_id", "feature", "importance", "direction",
-                        *[F.col("_q")[i].alias(f"p{q}") for i, q in enumerate((5, 25, 50, 75, 95))])
+    """Spread of attributions per class and feature, and their relation to the value, in one pass."""
+    return sketched_summary(attribution_sketches(phi))
 
 
 def class_centres(df: DataFrame, label: str, features: list[str]) -> DataFrame:

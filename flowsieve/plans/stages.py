@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.bounded import materialise
 from flowsieve.functions.scalar import named
-from flowsieve.operators import balance, clean, encode, explain, models, sample, search, select
+from flowsieve.operators import balance, calibrate, clean, encode, explain, models, sample, search, select
 from flowsieve.plans import presets
 from flowsieve.plans.presets import Preset
 from flowsieve.sources import flows, store
@@ -69,15 +69,21 @@ def train_baselines(data: FeatureSet, params: dict[str, dict] | None = None, pat
     classes = data.labels.count()
     results = {}
     for slot, setting in (params or models.BASE_PARAMS).items():
-        model = models.train(slot, setting, data.part("train"), CODE, data.features, classes)
-        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path)
+        model, curves = models.train_calibrated(slot, setting, data.part("train"), ID, CODE, data.features, classes)
+        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path, curves)
     return results
 
 
-def _evaluated(slot: str, model, test: DataFrame, features: list[str], path: str | None) -> dict:
-    results = {"model": model, **models.evaluate_predictions(models.score(model, test, ID, CODE, features))}
+def _evaluated(slot: str, model, test: DataFrame, features: list[str], path: str | None, curves: DataFrame | None = None) -> dict:
+    """Reports and ROC curves of a model; margins are calibrated by ``curves``, which are stored beside the model."""
+    scored = models.score(model, test, ID, CODE, features)
+    if curves is not None:
+        scored = calibrate.probabilities(scored, curves)
+    results = {"model": model, "curves": curves, **models.evaluate_predictions(scored)}
     if path:
         store.save_model(model, f"{path}/{slot}/model")
+        if curves is not None:
+            curves.write.mode("overwrite").parquet(f"{path}/{slot}/curves")
         store.save_report_csv(results["report"], f"{path}/{slot}/report_csv")
         store.save_report_json(results["report"], f"{path}/{slot}/report_json", slot)
     return results
@@ -113,8 +119,8 @@ def evaluate_selection(data: FeatureSet, preset: Preset, params: dict[str, dict]
         train = materialise(sample.uniform_sample(train, [ID], preset.fit_rows, presets.SEED), "fit")
     classes, results = data.labels.count(), {}
     for slot, setting in (params or models.BASE_PARAMS).items():
-        model = models.train(slot, setting, train, CODE, data.features, classes)
-        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path)
+        model, curves = models.train_calibrated(slot, setting, train, ID, CODE, data.features, classes)
+        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path, curves)
     return results
 
 
@@ -138,8 +144,9 @@ def tune(data: FeatureSet, path: str, preset: Preset, slots: tuple[str, ...] = m
             store.save_best_params(store.best_params(log), best_path)
             best = store.load_best_params(spark, best_path)
         fixed = preset.forest_fixed if slot == "forest" else None
-        model = search.train_params(best.first()["params"], train, CODE, data.features, slot, fixed, classes)
-        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path)
+        point = {**best.first()["params"], **(fixed or {})}
+        model, curves = models.train_calibrated(slot, point, train, ID, CODE, data.features, classes, search.MODEL_SEED)
+        results[slot] = _evaluated(slot, model, data.part("test"), data.features, path, curves)
     return results
 
 

@@ -18,15 +18,23 @@ from flowsieve.tables import table
 
 EVENT_FEATURES = ["value", "k", "user"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-# Forests have all their trees; fewer boosting rounds than the presets keep the checks short.  Rows are whole.
+# Forests have all their trees; fewer boosting rounds than the presets keep the checks short, see the README for
+# what the whole ones take.  Rows are whole.
 SHORT_PARAMS = {
     "forest": models.BASE_PARAMS["forest"],
     "boost_depth": {**models.BASE_PARAMS["boost_depth"], "n_estimators": 5},
     "boost_leaves": {**models.BASE_PARAMS["boost_leaves"], "n_estimators": 5},
     "boost_bins": {**models.BASE_PARAMS["boost_bins"], "iterations": 5},
 }
-# Trees of the forest whose every row is explained.
-EXPLAINED_TREES = 20
+_shared: dict[tuple, object] = {}
+
+
+def shared(spark, folder, name, build):
+    """What several queries of one application start from, built once: a stored split, a fitted model."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _shared:
+        _shared[key] = build()
+    return _shared[key]
 
 
 def all_lines(spark, folder):
@@ -38,7 +46,14 @@ def all_lines(spark, folder):
 
 def lines(spark, folder):
     """The same with a split, stored once for all that reads it."""
-    return materialise(sample.stratified_split(all_lines(spark, folder), ["row_id"], "label_id"), "lines")
+    return shared(spark, folder, "lines", lambda: materialise(
+        sample.stratified_split(all_lines(spark, folder), ["row_id"], "label_id"), "lines"))
+
+
+def line_forest(spark, folder):
+    """The forest slot fitted on the train part of the line items."""
+    return shared(spark, folder, "line forest", lambda: models.train(
+        "forest", models.BASE_PARAMS["forest"], parts(lines(spark, folder))[0], "label_id", LINE_FEATURES))
 
 
 def events(spark, folder):
@@ -94,8 +109,8 @@ def forest_report(spark, folder):
 @query("class_probabilities")
 def class_probabilities(spark, folder):
     """Class probabilities of every test row."""
-    train, test = parts(lines(spark, folder))
-    model = models.train("forest", SHORT_PARAMS["forest"], train, "label_id", LINE_FEATURES)
+    _, test = parts(lines(spark, folder))
+    model = line_forest(spark, folder)
     return models.score(model, test, "row_id", "label_id", LINE_FEATURES)
 
 
@@ -118,8 +133,8 @@ WITH {LINES_SQL}, {split_sql('keyed', 'row_id', 'label_id')}
 SELECT label_id, count(*) AS n, count(*) AS n_same FROM parts WHERE split = 'test' GROUP BY 1""")
 def stored_model_scores(spark, folder):
     """A model saved, loaded and applied: how many predictions of both agree."""
-    train, test = parts(lines(spark, folder))
-    model = models.train("forest", SHORT_PARAMS["forest"], train, "label_id", LINE_FEATURES)
+    _, test = parts(lines(spark, folder))
+    model = line_forest(spark, folder)
     path = work_path(spark, "forest")
     store.save_model(model, path)
     loaded = store.load_model(path)
@@ -168,11 +183,19 @@ def tuned_forest_report(spark, folder):
     return evaluate.report(evaluate.confusion_counts(scored, "label_id", "prediction"), digits=4)
 
 
+def event_forest(spark, folder):
+    """(events, forest): the forest slot fitted on all events."""
+    def build():
+        rows = materialise(events(spark, folder), "events")
+        return rows, models.train("forest", models.BASE_PARAMS["forest"], rows, "label_id", EVENT_FEATURES)
+    return shared(spark, folder, "event forest", build)
+
+
 def explained_events(spark, folder):
     """A forest on events with the attributions of every event."""
-    rows = events(spark, folder)
-    model = models.train("forest", {**SHORT_PARAMS["forest"], "n_estimators": EXPLAINED_TREES}, rows, "label_id", EVENT_FEATURES)
-    return rows, model, explain.attributions(rows, model, "row_id", EVENT_FEATURES)
+    rows, model = event_forest(spark, folder)
+    return rows, model, shared(spark, folder, "event attributions", lambda: materialise(
+        explain.attributions(rows, model, "row_id", EVENT_FEATURES), "attributions"))
 
 
 @query("forest_attributions")
@@ -214,8 +237,7 @@ def class_attribution_summary(spark, folder):
 @query("local_breakdown")
 def local_breakdown(spark, folder):
     """From base value to prediction for the most typical row of every class."""
-    rows = events(spark, folder)
-    model = models.train("forest", {**SHORT_PARAMS["forest"], "n_estimators": EXPLAINED_TREES}, rows, "label_id", EVENT_FEATURES)
+    rows, model = event_forest(spark, folder)
     typical = explain.representatives(rows, "row_id", "label_id", EVENT_FEATURES)
     picked = materialise(rows.join(typical.select("row_id"), "row_id", "left_semi"), "typical")
     phi = explain.attributions(picked, model, "row_id", EVENT_FEATURES)

@@ -95,12 +95,33 @@ def edited_rows(spark, folder):
     return balance.edit_neighbors(orders, "o_orderkey", "o_orderstatus", ["o_totalprice"]).select("o_orderkey", "o_orderstatus")
 
 
-@query("oversampled_and_edited")
+@query("oversampled_and_edited", """
+WITH e AS (SELECT event_id, event_type, value::DOUBLE AS x, json_extract_string(props, '$.k')::DOUBLE AS y FROM events),
+c AS (SELECT event_type, count(*) AS n, max(count(*)) OVER () AS top FROM e GROUP BY 1),
+m AS (SELECT e.*, n, top FROM e JOIN c USING (event_type) WHERE n < top),
+near AS (SELECT event_id, unnest(list) AS nb, generate_subscripts(list, 1) AS place FROM (
+  SELECT a.event_id, min({'dist': round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9), 'id': b.event_id, 'x': b.x, 'y': b.y}, 5) AS list
+  FROM m a JOIN m b ON a.event_type = b.event_type AND a.event_id <> b.event_id GROUP BY 1)),
+b AS (SELECT *, (top - n) // n + CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY md5('42:grow:' || event_id::VARCHAR)) <= (top - n) % n
+        THEN 1 ELSE 0 END AS copies FROM m),
+g AS (SELECT event_id, event_type, x, y, unnest(range(copies)) AS j FROM b WHERE copies > 0),
+h AS (SELECT *, md5('42:point:' || event_id::VARCHAR || ':' || j::VARCHAR) AS key FROM g),
+s AS (SELECT h.event_id::VARCHAR || '#' || h.j::VARCHAR AS id, event_type, true AS synthetic, h.event_id AS base_id, nb.id AS neighbor_id,
+        h.x + ('0x' || substr(key, 9, 8))::UBIGINT / 4294967296.0::DOUBLE * (nb.x - h.x) AS x,
+        h.y + ('0x' || substr(key, 9, 8))::UBIGINT / 4294967296.0::DOUBLE * (nb.y - h.y) AS y
+      FROM h JOIN near n ON n.event_id = h.event_id AND n.place = ('0x' || substr(key, 1, 8))::UBIGINT % 5 + 1),
+w AS (SELECT event_id::VARCHAR AS id, event_type, false AS synthetic, NULL::BIGINT AS base_id, NULL::BIGINT AS neighbor_id, x, y FROM e
+      UNION ALL SELECT id, event_type, synthetic, base_id, neighbor_id, x, y FROM s),
+t AS (SELECT a.id, any_value(a.event_type) AS own, min({'dist': round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9), 'id': b.id, 't': b.event_type}, 3) AS list
+      FROM w a JOIN w b ON a.id <> b.id GROUP BY 1)
+SELECT w.id AS event_id, event_type, round(x, 6) AS value, round(y, 6) AS k, synthetic, base_id, neighbor_id
+FROM w JOIN t USING (id) WHERE len(list_filter(list, lambda n: n.t <> own)) = 0""")
 def oversampled_and_edited(spark, folder):
     """Oversampling followed by editing on event value and payload."""
     events = table(spark, folder, "events").select(
         "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    return balance.oversample_and_edit(events, "event_id", "event_type", ["value", "k"])
+    edited = balance.oversample_and_edit(events, "event_id", "event_type", ["value", "k"])
+    return edited.withColumns({c: F.round(c, 6) for c in ("value", "k")})
 
 
 @query("class_centres", """

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowsieve.functions.bounded import materialise, work_path
-from flowsieve.operators import evaluate, explain, models, sample, search, select
+from flowsieve.operators import calibrate, evaluate, explain, models, sample, search, select
 from flowsieve.plans import presets, stages
 from flowsieve.queries import query
 from flowsieve.queries.learning import (
-    EVENT_FEATURES, EXPLAINED_TREES, LINE_FEATURES, LINES_SQL, SHORT_PARAMS, all_lines, events, explained_events, lines, parts,
+    EVENT_FEATURES, LINE_FEATURES, LINES_SQL, SHORT_PARAMS, all_lines, event_forest, events, explained_events, line_forest, lines, parts,
 )
 from flowsieve.queries.sampling import split_sql
 from flowsieve.tables import table
@@ -29,14 +29,56 @@ WITH {LINES_SQL}, {split_sql('keyed', 'row_id', 'label_id')}
 SELECT label_id, count(*) AS n, count(*)::DOUBLE AS total, true AS in_range FROM parts WHERE split = 'test' GROUP BY 1""")
 def probability_sums(spark, folder):
     """Class probabilities of every test row lie in [0, 1] and add up to one."""
-    train, test = parts(lines(spark, folder))
-    model = models.train("forest", SHORT_PARAMS["forest"], train, "label_id", LINE_FEATURES)
+    _, test = parts(lines(spark, folder))
+    model = line_forest(spark, folder)
     scored = models.score(model, test, "row_id", "label_id", LINE_FEATURES)
     total = F.aggregate("score", F.lit(0.0), lambda a, p: a + p)
     return scored.groupBy("label_id").agg(F.count("*").alias("n"), F.round(F.sum(total), 6).alias("total"),
                                           F.bool_and(F.forall("score", lambda p: (p >= 0) & (p <= 1))).alias("in_range"))
 
 
+@query("multiclass_probability_sums", f"""
+WITH {CODES_SQL}, {split_sql('events', 'event_id', 'event_type')}
+SELECT model, class_id AS label_id, count(*) AS n, count(*)::DOUBLE AS total, true AS in_range
+FROM parts JOIN codes USING (event_type), (SELECT unnest(['boost_depth', 'boost_leaves', 'boost_bins']) AS model) WHERE split = 'test' GROUP BY ALL""")
+def multiclass_probability_sums(spark, folder):
+    """Boosted slots of many classes give calibrated probabilities in [0, 1] that add up to one for every test row."""
+    train, test = parts(materialise(sample.stratified_split(events(spark, folder), ["row_id"], "label_id"), "events"))
+    total, found = F.aggregate("score", F.lit(0.0), lambda a, p: a + p), None
+    for slot, setting in {**SHORT_PARAMS, "boost_leaves": {"n_estimators": 2, "num_leaves": 8, "learning_rate": 0.1}}.items():
+        if slot == "forest":
+            continue
+        rounds = {k: 2 for k in ("n_estimators", "iterations") if k in setting}
+        model, curves = models.train_calibrated(slot, {**setting, **rounds}, train, "row_id", "label_id", EVENT_FEATURES, 5)
+        scored = calibrate.probabilities(models.score(model, test, "row_id", "label_id", EVENT_FEATURES), curves)
+        own = scored.groupBy("label_id").agg(F.count("*").alias("n"), F.round(F.sum(total), 6).alias("total"),
+                                             F.bool_and(F.forall("score", lambda p: (p >= 0) & (p <= 1))).alias("in_range"))
+        own = own.select(F.lit(slot).alias("model"), "*")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query("attribution_spread", f"""
+WITH {CODES_SQL} SELECT class_id, feature, (SELECT count(*) FROM events)::BIGINT AS n, true AS within
+FROM codes, (SELECT unnest(['value', 'k', 'user']) AS feature)""")
+def attribution_spread(spark, folder):
+    """Quantiles from sketches that were stored per batch and merged, held against the exact ranks of all attributions."""
+    phi = explained_events(spark, folder)[2]
+    batch = F.pmod(F.xxhash64("row_id"), F.lit(4))
+    sketches = None
+    for i in range(4):
+        own = materialise(explain.attribution_sketches(phi.filter(batch == i)), "sketches")
+        sketches = own if sketches is None else sketches.unionByName(own)
+    summary = explain.sketched_summary(explain.merged_sketches(sketches))
+    held = phi.select("class_id", "feature", "phi").join(F.broadcast(summary.drop("importance", "direction")), ["class_id", "feature"])
+    ranks = [F.struct(F.avg((F.col("phi") < F.col(f"p{q}")).cast("int")).alias("below"), F.avg((F.col("phi") <= F.col(f"p{q}")).cast("int")).alias("upto")).alias(f"r{q}")
+             for q in explain.SPREAD]
+    near = F.lit(True)
+    for q in explain.SPREAD:
+        near = near & (F.col(f"r{q}.below") - explain.RANK_ERROR <= q / 100) & (F.col(f"r{q}.upto") + explain.RANK_ERROR >= q / 100)
+    return held.groupBy("class_id", "feature").agg(F.count("*").alias("n"), *ranks).select("class_id", "feature", "n", near.alias("within"))
+
+
 @query("report_consistency", f"""
 WITH {CODES_SQL}, {split_sql('events', 'event_id', 'event_type')},
 held AS (SELECT class_id::VARCHAR AS class, count(*) AS support FROM parts JOIN codes USING (event_type) WHERE split = 'test' GROUP BY 1)
@@ -99,7 +141,7 @@ SELECT (SELECT count(*) FROM events)::BIGINT AS n_rows, 3::BIGINT AS n_features,
        true AS summary_agrees""")
 def importance_from_attributions(spark, folder):
     """Global importance is the mean over classes of the class summaries, over every event, class and feature."""
-    phi = materialise(explained_events(spark, folder)[2], "phi")
+    phi = explained_events(spark, folder)[2]
     overall = explain.global_importance(phi).select("feature", F.col("importance").alias("total"))
     by_class = explain.class_summary(phi).groupBy("feature").agg(F.avg("importance").alias("mean"))
     agree = overall.join(by_class, "feature").agg(F.count("*").alias("n_features"), F.bool_and(F.abs(F.col("total") - F.col("mean")) < 1e-9).alias("summary_agrees"))
@@ -111,8 +153,7 @@ def importance_from_attributions(spark, folder):
 WITH {CODES_SQL} SELECT 3::BIGINT AS n_steps, count(*)::BIGINT AS n_rows, true AS ends_at_output FROM codes""")
 def breakdown_ends(spark, folder):
     """A breakdown has a step per feature, falls in size and ends at the model's output."""
-    rows = events(spark, folder)
-    model = models.train("forest", {**SHORT_PARAMS["forest"], "n_estimators": EXPLAINED_TREES}, rows, "label_id", EVENT_FEATURES)
+    rows, model = event_forest(spark, folder)
     typical = explain.representatives(rows, "row_id", "label_id", EVENT_FEATURES)
     picked = materialise(rows.join(typical.select("row_id"), "row_id", "left_semi"), "typical")
     phi = explain.attributions(picked, model, "row_id", EVENT_FEATURES)

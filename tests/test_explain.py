@@ -127,3 +127,27 @@ def test_representative_is_nearest_to_the_mean(rows):
         mine = pdf[pdf.label_id == r.label_id]
         gap = np.linalg.norm(mine[FEATURES] - mine[FEATURES].mean(), axis=1)
         assert r.row_id == mine.row_id.to_numpy()[gap.argmin()]
+
+
+def test_sketches_of_batches_merge_into_one_summary(spark):
+    rng = np.random.default_rng(6)
+    n = 9000
+    value = rng.normal(size=n)
+    phi = np.where(np.arange(n) % 3 == 0, 0.5 * value + 100, rng.exponential(size=n) - value)
+    rows = spark.createDataFrame([(int(i % 2), f"f{i % 3}", float(v), float(p)) for i, (v, p) in enumerate(zip(value, phi))],
+                                 "class_id int, feature string, value double, phi double")
+    pdf = rows.toPandas()
+    parts = [explain.attribution_sketches(rows.filter(F.pmod(F.xxhash64("phi"), F.lit(7)) == i)) for i in range(7)]
+    parts.append(explain.attribution_sketches(rows.limit(0)))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    for summary in (explain.class_summary(rows), explain.sketched_summary(explain.merged_sketches(union))):
+        got = summary.collect()
+        assert len(got) == 6
+        for r in got:
+            own = pdf[(pdf.class_id == r.class_id) & (pdf.feature == r.feature)]
+            assert r.importance == pytest.approx(own.phi.abs().mean()) and r.direction == pytest.approx(np.corrcoef(own.value, own.phi)[0, 1])
+            for q in explain.SPREAD:
+                below, upto = (own.phi < r[f"p{q}"]).mean(), (own.phi <= r[f"p{q}"]).mean()
+                assert below - explain.RANK_ERROR <= q / 100 <= upto + explain.RANK_ERROR
