@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.bounded import materialise, spread
 from flowsieve.functions.scalar import named
-from flowsieve.operators import calibrate, evaluate
+from flowsieve.operators import calibrate, evaluate, leaves
 from flowsieve.operators.sample import stratified_folds
 from flowsieve.operators.select import STATISTICS_MB, assemble
 
@@ -38,8 +38,14 @@ BASE_PARAMS = {
 # One fold in so many is kept for calibrating margins.
 CALIBRATION_FOLDS = 5
 
-# Parameters Spark ML has no counterpart for.
-IGNORED_PARAMS = ("l2_leaf_reg",)
+
+def fit(slot: str, params: dict, ready: DataFrame, n_classes: int, n_features: int, seed: int = 42):
+    """Fit a slot on (features, label_id); a ridge term on leaf values and a number of leaves act afterwards."""
+    model = estimator(slot, params, n_classes, n_features, seed).fit(ready)
+    ridge, most = float(params.get("l2_leaf_reg", 0.0)), params.get("num_leaves")
+    if slot == "forest" or not (ridge or most):
+        return model
+    return leaves.refit(model, ready, ridge, None if most is None else int(most))
 
 
 def estimator(slot: str, params: dict, n_classes: int, n_features: int, seed: int = 42, parallelism: int = 4):
@@ -48,7 +54,8 @@ def estimator(slot: str, params: dict, n_classes: int, n_features: int, seed: in
               "maxMemoryInMB": STATISTICS_MB}
     depth = int(params.get("max_depth", params.get("depth", 6 if "num_leaves" not in params else DEPTH_LIMIT)))
     if "num_leaves" in params:
-        depth = min(depth, math.ceil(math.log2(params["num_leaves"])))
+        # Room for uneven trees; what is too much is taken back.
+        depth = min(depth, math.ceil(math.log2(params["num_leaves"])) + 1)
     depth = min(depth, DEPTH_LIMIT)
     if "min_child_weight" in params:
         leaf = int(params["min_child_weight"])
@@ -85,7 +92,7 @@ def train(slot: str, params: dict, rows: DataFrame, label_id: str, features: lis
     ready = spread(ready_rows(rows, label_id, features)).persist()
     try:
         classes = n_classes or int(ready.agg(F.max("label_id")).first()[0]) + 1
-        return estimator(slot, params, classes, len(features), seed).fit(ready)
+        return fit(slot, params, ready, classes, len(features), seed)
     finally:
         ready.unpersist()
 
@@ -152,7 +159,7 @@ def compare_slots(train_rows: DataFrame, test_rows: DataFrame, row_id: str, labe
     classes = n_classes or int(ready.agg(F.max("label_id")).first()[0]) + 1
     parts = []
     for slot, setting in (params or BASE_PARAMS).items():
-        model = estimator(slot, setting, classes, len(features), seed).fit(ready)
+        model = fit(slot, setting, ready, classes, len(features), seed)
         parts.append(score_ready(model, test, row_id, label_id).select(F.lit(slot).alias("model"), "*"))
     table = parts[0]
     for part in parts[1:]:

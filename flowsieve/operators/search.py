@@ -91,7 +91,7 @@ def cross_validate(rows: DataFrame, row_id: str, label_id: str, features: list[s
 def _fold_scores(ready: DataFrame, row_id: str, width: int, slot: str, params: dict, folds: int, classes: int, seed: int = MODEL_SEED) -> DataFrame:
     parts = []
     for fold in range(folds):
-        model = models.estimator(slot, params, classes, width, seed).fit(ready.filter(F.col("fold") != fold).select("features", "label_id"))
+        model = models.fit(slot, params, ready.filter(F.col("fold") != fold).select("features", "label_id"), classes, width, seed)
         scored = models.score_ready(model, ready.filter(F.col("fold") == fold), row_id, "label_id")
         parts.append(scored.select(F.lit(fold).alias("fold"), "label_id", "prediction"))
     table = parts[0]

@@ -79,4 +79,4 @@ def test_parameters_map_to_the_learners(spark):
             forest.getMinInstancesPerNode()) == (7, 30, "20", "entropy", 5)
     leaves = models.estimator("boost_leaves", {"n_estimators": 330.0, "max_depth": 14.0, "num_leaves": 143.0,
                                                "learning_rate": 0.06, "subsample": 0.69, "colsample_bytree": 0.66}, 2, 20)
-    assert (leaves.getMaxIter(), leaves.getMaxDepth(), leaves.getStepSize(), leaves.getFeatureSubsetStrategy()) == (330, 8, 0.06, "0.66")
+    assert (leaves.getMaxIter(), leaves.getMaxDepth(), leaves.getStepSize(), leaves.getFeatureSubsetStrategy()) == (330, 9, 0.06, "0.66")
