@@ -184,7 +184,7 @@ def test_vectors_link_as_brute_force_says(spark):
     odd = [(-1, None), (-2, [0.0] * 16), (-3, [float("nan")] * 16), (-4, [float("inf")] + [1.0] * 15), (-5, []), (-6, [1.0, None] + [1.0] * 14), (-7, [1.0, 2.0])]
     odd.append((None, rows[0][1]))
     df = spark.createDataFrame([(*r, "x", 1) for r in rows + odd], "vec_id bigint, embedding array<float>, h1 string, n_links int")
-    got = neighbour_graphs.near_vectors(df, shard_rows=200).collect()
+    got = neighbour_graphs.near_vectors(df, shard_bytes=12_800).collect()
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9 - 1e-12
     true, found = near.sum() - len(vectors), sum(r.n_links for r in got)
