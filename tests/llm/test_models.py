@@ -224,6 +224,21 @@ def test_main_text_of_one_host(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [3, 56, 57, 58, 90, 400])
+def test_nothing_is_lost_after_deep_elements(spark, depth):
+    html = (f"<body><div class=wrap><div class=page><article><p>first{'<div>' * depth}<ul><li>deep<li>deeper</ul>{'</div>' * depth}"
+            f"<p>after one</p><section><p>after two</p></section></article></div></div><footer><p>end</p></footer>")
+    df = spark.createDataFrame([(1, "http://x.example.com/", html)], "page_id bigint, url string, html string")
+    assert wrappers.extract(df).first().text == "first\ndeep\ndeeper\nafter one\nafter two"
+
+
+def test_long_and_unclosed_attribute_values(spark):
+    pages = [f"<article><p data-x=\"{'<b>no ' * 40_000}\">one</p><p title='a>b'>two</p></article>",
+             "<article><p title=\"x>one</p><p>it's two</p></article>"]
+    df = spark.createDataFrame([(i, f"http://h{i}.example.com/", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    assert [r.text for r in wrappers.extract(df).orderBy("page_id").collect()] == ["one\ntwo", "one\nit's two"]
+
+
 def test_unmarked_articles_comments_and_sidebars(spark):
     def other(i):
         return (f"<body class='has-sidebar'><header class=site><h1>Site</h1></header><div class=body{i % 2}><h2>Title {i}</h2><p>Para {i} is long enough to count.</p>"
