@@ -217,7 +217,9 @@ def matched_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     first and last are places in the original text.  Null and empty texts match nothing, null items and items
     without letters or digits are not searched; repeated rows of either table give repeated or single results
-    (documents keep a row each, equal items count once).
+    (documents keep a row each, equal items count once).  Very long texts are searched whole.  An item gives one
+    row per document, its least distance; of places at that distance, which may overlap, the first one found.  An
+    empty table gives no rows.
     """
     spark = documents.sparkSession
     ship_package(spark)

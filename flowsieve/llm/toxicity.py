@@ -324,7 +324,12 @@ def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row; nulls and repeated rows are scored like any text."""
+    """(doc_id, held_out, score, predicted) per row; nulls and repeated rows are scored like any text.
+
+    A null or empty text has no passage and the score of one; very long texts are scored whole, in one pass.  Equal
+    texts get equal scores; a score of exactly one half is predicted toxic.  An empty table gives no rows, and
+    without labels nothing is predicted toxic.
+    """
     model = fit(documents, labels, id_col, text_col)
     scored = documents.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                               score_column(F.col(text_col), model, documents.sparkSession).alias("score"))
