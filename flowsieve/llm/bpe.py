@@ -23,6 +23,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 import public_tokenizers
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.shipping import ship_package
+from flowsieve.llm.shared import tidy
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 # Words a coder remembers, about 250 bytes each with its share of states; beyond this they are made anew.
@@ -403,6 +405,11 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     data, pattern = _broadcast(df.sparkSession, path, pattern)
 
     def run(batches):
+        # Coders that tasks share stay, and so does their memory.
+        with nullcontext() if keep else tidy():
+            yield from digests(batches)
+
+    def digests(batches):
         encoder, decoder = coders(data.value, pattern, memory, keep)
         names = {token: str(token) for token in encoder.words}
         for batch in batches:

@@ -19,6 +19,7 @@ all rows in a map, so texts are never moved.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from flowsieve.functions.shipping import ship_package
+from flowsieve.llm.shared import tidy
 
 ERROR = 0.1
 # Bytes of item texts that one pass holds.
@@ -251,13 +253,12 @@ def matched_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def _any_match(shared, error: float):
-    held: list[Matcher] = []
-
     @pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Matcher(shared.value, error))
-        return pd.Series([bool(held[0].matches(t, first_only=True)) for t in texts], dtype="bool")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with tidy():
+            matcher = Matcher(shared.value, error)
+            for texts in batches:
+                yield pd.Series([bool(matcher.matches(t, first_only=True)) for t in texts], dtype="bool")
 
     return run
 

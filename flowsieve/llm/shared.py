@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +18,25 @@ from flowsieve.functions.bounded import join_on, materialise
 BROADCAST_BYTES = 16 << 20
 
 
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Give what a task has freed back to the system when it ends.
+
+    Python workers outlive tasks and stages; what they keep for later, the next stage's workers and the engine lack.
+    """
+    thresholds = gc.get_threshold()
+    try:
+        yield
+    finally:
+        gc.set_threshold(*thresholds)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not on every platform
+            pass
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
