@@ -106,11 +106,21 @@ def hinted(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(stored) if rows <= SMALL_ROWS and (total or 0) <= SMALL_BYTES else stored
 
 
+_cleared = 0
+
+
+def clearings() -> int:
+    """How often intermediate tables were removed; what is remembered across queries is void after one."""
+    return _cleared
+
+
 def clear_work(spark: SparkSession) -> None:
     """Remove this application's intermediate tables, once its results are stored elsewhere.
 
     Frames that still read them fail afterwards.
     """
+    global _cleared
+    _cleared += 1
     folder = f"{work_root(spark).rstrip('/')}/flowsieve-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

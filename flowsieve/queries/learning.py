@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import materialise, work_path
+from flowsieve.functions.bounded import clearings, materialise, work_path
 from flowsieve.operators import encode, evaluate, explain, models, sample, search, select
 from flowsieve.plans import presets, stages
 from flowsieve.queries import query
@@ -31,7 +31,7 @@ _shared: dict[tuple, object] = {}
 
 def shared(spark, folder, name, build):
     """What several queries of one application start from, built once: a stored split, a fitted model."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, clearings(), folder, name)
     if key not in _shared:
         _shared[key] = build()
     return _shared[key]

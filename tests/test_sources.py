@@ -212,5 +212,6 @@ def test_intermediate_tables_can_be_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bounded, "work_root", lambda _: str(tmp_path))
     assert bounded.materialise(spark.range(3), "numbers").count() == 3
     assert list(tmp_path.iterdir())
+    before = bounded.clearings()
     bounded.clear_work(spark)
-    assert not list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir()) and bounded.clearings() == before + 1
