@@ -27,13 +27,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.functions.bounded import join_on, materialise, small_table, work_path
+from flowsieve.functions.bounded import SMALL_BYTES, join_on, materialise, small_table, work_path
 from flowsieve.functions.scalar import named
 from flowsieve.functions.shipping import ship_package
 
 GROUP_BYTES = 16 << 20      # trees of this size are held against a lane of rows at once
-LANE_ROWS = 20_000          # rows that are, at most about
-LEAST_ROWS = 500            # rows a lane has at least, where there are fewer rows than that for every core
+LANE_ROWS = 20_000          # cells that are, at most about
+LEAST_ROWS = 500            # cells a lane has at least, where there are fewer than that for every core
 SPREAD = (5, 25, 50, 75, 95)  # percentiles of attributions
 SKETCH_K = 800              # size of a quantile sketch, for ranks within
 RANK_ERROR = 0.005          # of all rows
@@ -194,12 +194,54 @@ def _down_and_up(tree: Tree, x: np.ndarray, t: np.ndarray, weights: np.ndarray,
         leave(path.pop())
 
 
+def _cuts(trees: DataFrame, width: int) -> tuple[list[np.ndarray], int]:
+    """Distinct cuts of every feature, ascending, and how many outputs the trees have; no more than the model has nodes."""
+
+    def each(batches):
+        for pdf in batches:
+            for data in pdf["data"]:
+                tree = pickle.loads(data)
+                inner = tree.feature >= 0
+                yield pd.DataFrame({"feature": np.append(tree.feature[inner], np.full(len(tree.outputs), -1)),
+                                    "cut": np.append(tree.cut[inner], tree.outputs)}).drop_duplicates()
+
+    found = trees.select("data").mapInPandas(each, "feature int, cut double").distinct().toPandas()
+    cuts = [np.sort(found["cut"][found["feature"] == f].to_numpy(dtype=float)) for f in range(width)]
+    return cuts, int((found["feature"] == -1).sum())
+
+
+def _with_cells(rows: DataFrame, values: list[str], cuts: list[np.ndarray]) -> tuple[DataFrame, list[str]]:
+    """Rows with the cell they lie in, as numbers in as many columns as it takes; rows of a cell pass every cut on the same side."""
+    packed, room = [[]], 1
+    for f, own in enumerate(cuts):
+        if room * (len(own) + 1) >= 1 << 62:
+            packed, room = [*packed, []], 1
+        packed[-1].append(f)
+        room *= len(own) + 1
+    keys = [f"_cell{i}" for i in range(len(packed))]
+
+    @F.pandas_udf(", ".join(f"{k} long" for k in keys))
+    def cells(*columns: pd.Series) -> pd.DataFrame:
+        found = {}
+        for key, members in zip(keys, packed):
+            number = np.zeros(len(columns[0]), dtype=np.int64)
+            for f in members:
+                # As many cuts as a value is above; what is missing or no number is above all.
+                number = number * (len(cuts[f]) + 1) + np.searchsorted(cuts[f], columns[f].to_numpy(dtype=float), side="left")
+            found[key] = number
+        return pd.DataFrame(found)
+
+    placed = rows.withColumn("_at", cells(*[F.col(v) for v in values]))
+    return placed.select(*rows.columns, *[F.col(f"_at.{k}").alias(k) for k in keys]), keys
+
+
 def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> DataFrame:
     """(row_id, class_id, feature, value, phi, base_value, output) of every row.
 
-    Rows are dealt to lanes of bounded size, trees to groups of bounded size, and every lane meets every group
-    in a task of its own; neither passes through the driver.  With several groups, partial sums are added by a
-    shuffle on the row id.  Per row, base_value plus the sum of phi equals output.
+    Rows between the same cuts of all trees have the same attributions: these are found once per cell and joined to
+    all its rows.  Cells are dealt to lanes of bounded size, trees to groups of bounded size, and every lane meets
+    every group in a task of its own; neither passes through the driver, which sees the model's cuts alone.  With
+    several groups, partial sums are added by a shuffle on the cell.  Per row, base_value plus the sum of phi equals output.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -208,18 +250,22 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
     filled = trees.select("number", F.floor((upto - F.col("size")) / GROUP_BYTES).alias("_filled"))
     groups = materialise(filled.select("number", (F.dense_rank().over(W.orderBy("_filled")) - 1).alias("_part")), "groups")
     parts = groups.agg(F.max("_part")).first()[0] + 1
-    rows = df.select(named(row_id).alias(row_id), F.array(*[named(f).cast("double") for f in features]).alias("_x"))
-    if parts > 1:
-        rows = materialise(rows, "explained")
-    count = rows.count()
+    cuts, outputs = _cuts(trees, len(features))
+    values = [f"_x{i}" for i in range(len(features))]
+    plain = df.select(named(row_id).alias(row_id), *[named(f).cast("double").alias(v) for f, v in zip(features, values)])
+    placed, keys = _with_cells(plain, values, cuts)
+    placed = materialise(placed, "explained")
+    # Any values of a cell stand for it; a minimum needs no sort.
+    cells = materialise(placed.groupBy(*keys).agg(*[F.min(v).alias(v) for v in values]).select(*keys, F.array(*values).alias("_x")), "cells")
+    count = cells.count()
     lanes = max(1, -(-count // LANE_ROWS), min(2 * spark.sparkContext.defaultParallelism, count // LEAST_ROWS))
-    # Rows are sent once per group of trees, and every tree once per lane.
-    laned = (rows.withColumn("_lane", F.pmod(F.xxhash64(named(row_id)), F.lit(lanes)).cast("int"))
+    # Cells are sent once per group of trees, and every tree once per lane.
+    laned = (cells.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int"))
              .withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
     sent = trees.join(groups, "number").select("_part", "number", "data", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_to"))
-    schema = T.StructType([rows.schema[row_id], T.StructField("class_id", T.IntegerType()),
+    schema = T.StructType([*[T.StructField(k, T.LongType()) for k in keys], T.StructField("class_id", T.IntegerType()),
                            T.StructField("base_value", T.DoubleType()), T.StructField("output", T.DoubleType()),
-                           T.StructField("_x", T.ArrayType(T.DoubleType())), T.StructField("_phi", T.ArrayType(T.DoubleType()))])
+                           T.StructField("_phi", T.ArrayType(T.DoubleType()))])
     names = schema.names
 
     def explain(pdf: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
@@ -236,18 +282,19 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
             phi[:, :, at] += p
             base[at] += b
             output[:, at] += o
-        return pd.concat([pd.DataFrame({row_id: pdf[row_id], "class_id": np.int32(code), "base_value": base[c], "output": output[:, c],
-                                        "_x": pdf["_x"], "_phi": list(phi[:, :, c])}) for c, code in enumerate(codes)])
+        return pd.concat([pdf[keys].assign(class_id=np.int32(code), base_value=base[c], output=output[:, c], _phi=list(phi[:, :, c]))
+                          for c, code in enumerate(codes)])
 
     table = laned.groupBy("_lane", "_group").cogroup(sent.groupBy("_to", "_part")).applyInPandas(explain, schema)
     if parts > 1:
         added = [F.sum(F.col("_phi")[i]).alias(f"_p{i}") for i in range(len(features))]
-        table = (table.groupBy(named(row_id), "class_id").agg(F.sum("base_value").alias("base_value"), F.sum("output").alias("output"),
-                                                              F.first("_x").alias("_x"), *added)
-                 .withColumn("_phi", F.array(*[F.col(f"_p{i}") for i in range(len(features))])))
-    listed = F.array(*[F.lit(f) for f in features])
-    long = table.select(named(row_id), "class_id", "base_value", "output",
-                        F.inline(F.arrays_zip(listed.alias("feature"), F.col("_x").alias("value"), F.col("_phi").alias("phi"))))
+        table = (table.groupBy(*keys, "class_id").agg(F.sum("base_value").alias("base_value"), F.sum("output").alias("output"), *added)
+                 .select(*keys, "class_id", "base_value", "output", F.array(*[F.col(f"_p{i}") for i in range(len(features))]).alias("_phi")))
+    table = materialise(table, "attributions")
+    if count * outputs * 8 * (len(features) + len(keys) + 6) <= SMALL_BYTES:
+        table = F.broadcast(table)
+    listed = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.array(*values).alias("value"), F.col("_phi").alias("phi"))
+    long = placed.join(table, keys).select(named(row_id), "class_id", "base_value", "output", F.inline(listed))
     return long.select(named(row_id), "class_id", F.col("feature"), F.col("value"), F.col("phi"), "base_value", "output")
 
 

@@ -151,3 +151,46 @@ def test_sketches_of_batches_merge_into_one_summary(spark):
             for q in explain.SPREAD:
                 below, upto = (own.phi < r[f"p{q}"]).mean(), (own.phi <= r[f"p{q}"]).mean()
                 assert below - explain.RANK_ERROR <= q / 100 <= upto + explain.RANK_ERROR
+
+
+def test_rows_between_the_same_cuts_are_explained_once(rows, spark, monkeypatch):
+    """Copies, and values that no cut tells apart, cost no further walks through the trees."""
+    model = models.train("forest", {"n_estimators": 4, "max_depth": 3}, rows, "label_id", FEATURES)
+    more = rows.crossJoin(spark.range(40).withColumnRenamed("id", "r")).select(
+        (F.col("row_id") * 40 + F.col("r")).alias("row_id"), "label_id", "a", F.col("`b.1`"), (F.col("c") + F.col("r") * 1e-12).alias("c"))
+    written = {}
+    kept = explain.materialise
+
+    def counted(df, name, *more):
+        out = kept(df, name, *more)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(explain, "materialise", counted)
+    phi = explain.attributions(more, model, "row_id", FEATURES)
+    assert written["cells"] <= 300 < written["explained"] == 12_000
+    sums = phi.groupBy("row_id", "class_id").agg((F.max("base_value") + F.sum("phi")).alias("total"))
+    scored = models.score(model, more, "row_id", "label_id", FEATURES).select("row_id", F.posexplode("score").alias("class_id", "own"))
+    assert sums.join(scored, ["row_id", "class_id"]).agg(F.count("*"), F.max(F.abs(F.col("total") - F.col("own"))) < 1e-9).first()[:] == (36_000, True)
+    assert phi.count() == 12_000 * 9
+
+
+@pytest.mark.parametrize("small", [0, 32 << 20])
+def test_missing_values_and_many_features_are_explained(spark, monkeypatch, small):
+    monkeypatch.setattr(explain, "SMALL_BYTES", small)
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 20))
+    y = (x[:, :10].sum(axis=1) > 5).astype(int)
+    names = [f"f{i}" for i in range(20)]
+    table = spark.createDataFrame([(i, int(c), *map(float, r)) for i, (c, r) in enumerate(zip(y, x))],
+                                  "row_id bigint, label_id int, " + ", ".join(f"{n} double" for n in names))
+    model = models.train("forest", {"n_estimators": 60, "max_depth": 6}, table, "label_id", names)
+    odd = table.withColumn("f1", F.when(F.col("row_id") % 3 == 0, F.lit(None)).when(F.col("row_id") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("f1")))
+    phi = explain.attributions(odd, model, "row_id", names)
+    total = {(r.row_id, r.class_id): r.total for r in phi.groupBy("row_id", "class_id").agg((F.max("base_value") + F.sum("phi")).alias("total")).collect()}
+    own = models.score(model, odd.fillna(float("nan"), ["f1"]).withColumn("f1", F.coalesce("f1", F.lit(1e300))).replace(float("nan"), 1e300, ["f1"]),
+                       "row_id", "label_id", names).collect()
+    assert len(total) == 800
+    for r in own:
+        assert total[r.row_id, 1] == pytest.approx(r.score[1], abs=1e-9)
+    assert phi.filter((F.col("feature") == "f1") & F.col("value").isNull()).count() == 2 * len(range(0, 400, 3))
