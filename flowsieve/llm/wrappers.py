@@ -39,8 +39,6 @@ DEPTH = 60
 GROUP = 6
 # A text that is the same on so many distinct pages of a host, and on all that have its slot, belongs to the template.
 SAME_PAGES = 5
-# Sibling lists whose product of lengths is above this are aligned by position only.
-ALIGN = 250_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr br input label".split())
@@ -247,6 +245,72 @@ def leaves_of(node: Node, base: int = 0):
         base += members[0].leaves
 
 
+def _longest_common(left: list, right: list) -> list[tuple[int | None, int | None]]:
+    """A longest common subsequence of two lists as pairs, with what has no partner beside None.
+
+    Rows of the table of lengths are bits of an integer (Crochemore et al., "A fast and practical bit-vector algorithm
+    for the longest common subsequence problem", 2001): the zeros among the lowest m - j bits of row i count what
+    left[i:] and right[j:] have in common.  Rows are kept at every sqrt(n)-th place and made again in between.
+    """
+    n, m = len(left), len(right)
+    full, places = (1 << m) - 1, {}
+    for j, name in enumerate(right):
+        places.setdefault(name, []).append(m - 1 - j)
+    marks: dict = {}
+
+    def mark(name) -> int:
+        """Bits of a name's places on the right; only those of frequent names are remembered."""
+        if name in marks or name not in places:
+            return marks.get(name, 0)
+        bits = bytearray((m + 7) // 8)
+        for at in places[name]:
+            bits[at >> 3] |= 1 << (at & 7)
+        found = int.from_bytes(bits, "little")
+        if len(places[name]) ** 2 >= m:
+            marks[name] = found
+        return found
+
+    def above(row: int, i: int) -> int:
+        hit = row & mark(left[i])
+        return ((row + hit) | (row - hit)) & full
+
+    step = max(1, round(n ** 0.5))
+    row, kept = full, {n: full}
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    held: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        if i not in held:
+            # The rows from this place to the next kept one; j only rises, so those before it are done with.
+            last = min(n, (i // step + 1) * step)
+            row = kept[last]
+            block = {last: row}
+            for k in range(last - 1, i - 1, -1):
+                row = block[k] = above(row, k)
+            for done in [k for k in held if k < i - 1]:
+                del held[done]
+            held.update(block)
+        width = m - j
+        return width - (held[i] & ((1 << width) - 1)).bit_count()
+
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and left[i] == right[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == m or i < n and length(i + 1, j) >= length(i, j + 1):
+            out.append((i, None))
+            i += 1
+        else:
+            out.append((None, j))
+            j += 1
+    return out
+
+
 def _pairs(left: list, right: list) -> list[tuple[int | None, int | None]]:
     """Alignment of two sibling lists by element name, in order, as many as possible."""
     names_l, names_r = [k[0] for k in left], [k[0] for k in right]
@@ -258,24 +322,11 @@ def _pairs(left: list, right: list) -> list[tuple[int | None, int | None]]:
         end += 1
     out: list = [(i, i) for i in range(start)]
     n, m = len(left) - end - start, len(right) - end - start
-    if n * m > ALIGN:
+    if n and m:
+        out += [(i if i is None else start + i, j if j is None else start + j)
+                for i, j in _longest_common(names_l[start:start + n], names_r[start:start + m])]
+    else:
         out += [(start + i, None) for i in range(n)] + [(None, start + j) for j in range(m)]
-    elif n or m:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if names_l[start + i] == names_r[start + j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n or j < m:
-            if i < n and j < m and names_l[start + i] == names_r[start + j]:
-                out.append((start + i, start + j))
-                i, j = i + 1, j + 1
-            elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-                out.append((start + i, None))
-                i += 1
-            else:
-                out.append((None, start + j))
-                j += 1
     return out + [(len(left) - k, len(right) - k) for k in range(end, 0, -1)]
 
 
