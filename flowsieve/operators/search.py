@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.bounded import materialise
+from flowsieve.functions.bounded import PART_ROWS, materialise, spread
 from flowsieve.functions.scalar import named
 from flowsieve.operators import evaluate, models
 from flowsieve.operators.sample import chunk_number, stratified_folds
@@ -91,7 +91,9 @@ def cross_validate(rows: DataFrame, row_id: str, label_id: str, features: list[s
 def _fold_scores(ready: DataFrame, row_id: str, width: int, slot: str, params: dict, folds: int, classes: int, seed: int = MODEL_SEED) -> DataFrame:
     parts = []
     for fold in range(folds):
-        model = models.fit(slot, params, ready.filter(F.col("fold") != fold).select("features", "label_id"), classes, width, seed)
+        # Files are read back in as many partitions as there are cores, however many rows they hold.
+        own = spread(ready.filter(F.col("fold") != fold), row_id)
+        model = models.fit(slot, params, own.select("features", "label_id"), classes, width, seed)
         scored = models.score_ready(model, ready.filter(F.col("fold") == fold), row_id, "label_id")
         parts.append(scored.select(F.lit(fold).alias("fold"), "label_id", "prediction"))
     table = parts[0]
@@ -132,8 +134,10 @@ def search(rows: DataFrame, row_id: str, label_id: str, features: list[str], slo
         folded = stratified_folds(rows.select(*[named(c) for c in columns]), [row_id], label_id, folds)
         numbered = chunk_number(folded, [row_id], chunks)
         ready = models.ready_rows(numbered, label_id, features, (row_id, "fold", "chunk"))
-        # A few files per chunk, not one per chunk and task; the second key keeps a lone chunk from one task.
-        dealt = ready.repartition("chunk", F.pmod(F.xxhash64(named(row_id)), F.lit(8))).sortWithinPartitions("chunk", named(row_id))
+        # A few files per chunk, not one per chunk and task; the second key keeps a large chunk from one task.
+        files = max(8, -(-total // (chunks * PART_ROWS)))
+        dealt = ready.repartition(max(spark.sparkContext.defaultParallelism, int(chunks * files)), "chunk",
+                                  F.pmod(F.xxhash64(named(row_id)), F.lit(files))).sortWithinPartitions("chunk", named(row_id))
         stored = materialise(dealt, "folds", partition="chunk")
 
         def run(trial: int) -> None:
