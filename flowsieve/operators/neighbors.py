@@ -50,6 +50,7 @@ WIDE_ROWS = 8192       # this many where there are enough for all cores
 MAX_PIVOTS = 65_536    # over all classes
 PIVOT_BYTES = 64 << 20 # with the line above, bounds what every task holds
 DEAL = 32              # blocks of codes a task compares a block of vectors with
+MAX_TASKS = 20_000     # tasks that blocks of vectors meet blocks of codes in
 SLACK = 2e-9           # twice the rounding step of distances
 INNER_MARKS = 127      # marks of a dimension at equal shares of units, and as many at equal steps
 
@@ -146,13 +147,13 @@ class _Cells:
         return cell, radius
 
     def visits(self, vectors, own, reach, ids_needed):
-        """(row, cell, reach) of all cells that may hold rows within reach of a row of cell ``own``."""
+        """All cells that may hold rows within reach of a row of cell ``own``, ascending."""
         cells = self.members[self.classes[own]]
         size, low, high = self.size[cells], self.low[cells], self.high[cells]
         between = np.linalg.norm(self.matrix[cells] - self.matrix[own], axis=1)
         mine = np.nonzero(cells == own)[0][0]
         step = max(1, 2_000_000 // len(cells))
-        found = []
+        asked = np.zeros(len(cells), dtype=bool)
         for s in range(0, len(vectors), step):
             square, error = self.squares(vectors[s:s + step], cells)
             gap, margin = np.sqrt(square), np.sqrt(error)
@@ -165,9 +166,8 @@ class _Cells:
                 plane = (square - square[:, [mine]] - 4 * error) / (2 * between)
             plane[:, between == 0] = -np.inf
             lower = np.maximum(lower, plane)
-            row, cell = np.nonzero((lower * (1 - 1e-12) <= bound[:, None] + SLACK) & (size > 0))
-            found.append((row + s, cells[cell], bound[row]))
-        return tuple(np.concatenate(part) for part in zip(*found))
+            asked |= ((lower * (1 - 1e-12) <= bound[:, None] + SLACK) & (size > 0)).any(axis=0)
+        return np.sort(cells[asked])
 
 
 def class_key(col: Column) -> Column:
@@ -410,7 +410,7 @@ def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, deal: int)
         vecs, own = np.stack(pdf["vec"].to_numpy()).astype(np.float64), int(pdf["cell"].iloc[0])
         bytes_, slips = codes.encode(vecs)
         reach = pdf["reach"].to_numpy(dtype=np.float64)
-        asked = np.array([-1]) if own < 0 else np.unique(pivots.visits(vecs, own, reach, count)[1])
+        asked = np.array([-1]) if own < 0 else pivots.visits(vecs, own, reach, count)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "uids": [pdf["uid"].tolist()], "vecs": [vecs.tobytes()],
                              "reach": [reach.tobytes()], "codes": [bytes_.tobytes()], "slips": [slips.tobytes()], "asked": [asked.tolist()]})
 
@@ -439,7 +439,10 @@ def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, deal: int)
             for c, s, n in zip(host["codes"], host["slips"], host["nuids"])), count)
         return pd.DataFrame({"uid": np.asarray(row["uids"])[rows], "nuid": uids, "lower": lower, "upper": upper}) if len(rows) else empty
 
-    found = asks.groupBy("asker", "turn").cogroup(hosts.groupBy("guest", "deal")).applyInPandas(
+    # Few bytes are much work here, so groups are not put together by their bytes.
+    tasks = max(1, min(MAX_TASKS, asked.count()))
+    found = asks.repartition(tasks, "asker", "turn").groupBy("asker", "turn").cogroup(
+        hosts.repartition(tasks, "guest", "deal").groupBy("guest", "deal")).applyInPandas(
         visit, f"uid {id_type}, nuid {id_type}, lower double, upper double")
     found = materialise(found, "survivors")
     # The k+1 lowest upper bounds of all deals bound what has to be looked at.
@@ -460,6 +463,12 @@ def _search(assigned: DataFrame, cells: _Cells, k: int, id_type: str, deal: int)
     return first.unionByName(second.select("uid", "dist", F.inline(F.arrays_zip(F.col("ids").alias("nid"), F.col("labels").alias("nlabel")))))
 
 
+def _outside(vectors, others):
+    """Distance of every vector from the box around the others, not above that from any of them."""
+    gaps = np.maximum(np.maximum(others.min(axis=0) - vectors, vectors - others.max(axis=0)), 0.0)
+    return np.sqrt(np.einsum("ij,ij->i", gaps, gaps)) * (1 - 1e-12)
+
+
 def surviving(asked, reach, blocks, count):
     """(row, id, lower, upper) of all points that may be among the ``count`` nearest of the ``asked`` vectors.
 
@@ -470,11 +479,20 @@ def surviving(asked, reach, blocks, count):
     norms = np.einsum("ij,ij->i", asked, asked)
     found = []
     for points, slips, ids in blocks:
+        # Only what lies at the other side's border can be in reach of it.
+        at = np.nonzero(_outside(asked, points) - slips.max() <= (limit + SLACK) * (1 + 1e-9))[0]
+        if not len(at):
+            continue
+        most = limit[at].max() + SLACK
+        border = np.nonzero(_outside(points, asked[at]) - slips <= most * (1 + 1e-9))[0]
+        if not len(border):
+            continue
+        points, slips, ids = points[border], slips[border], ids[border]
         sizes = np.einsum("ij,ij->i", points, points)
         error = 1e-14 * (points.shape[1] + 4) * (norms.max() + sizes.max())
         step = max(1, 4_000_000 // len(points))
-        for s in range(0, len(asked), step):
-            part = slice(s, s + step)
+        for s in range(0, len(at), step):
+            part = at[s:s + step]
             square = norms[part, None] + sizes[None, :] - 2.0 * (asked[part] @ points.T)
             upper = np.sqrt(np.maximum(square + error, 0.0)) + slips
             keep = min(count, len(points))
@@ -483,7 +501,10 @@ def surviving(asked, reach, blocks, count):
             limit[part] = np.minimum(limit[part], best[part].max(axis=1))
             lower = np.sqrt(np.maximum(square - error, 0.0)) - slips
             row, col = np.nonzero(lower * (1 - 1e-12) <= limit[part, None] + SLACK)
-            found.append((row + s, ids[col], lower[row, col], upper[row, col]))
+            found.append((part[row], ids[col], lower[row, col], upper[row, col]))
+    if not found:
+        nothing = np.empty(0, dtype=np.int64)
+        return nothing, nothing, np.empty(0), np.empty(0)
     rows, uids, lower, upper = (np.concatenate(c) for c in zip(*found))
     near = lower * (1 - 1e-12) <= limit[rows] + SLACK
     return rows[near], uids[near], lower[near], upper[near]
