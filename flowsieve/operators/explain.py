@@ -11,8 +11,9 @@ The product is carried down the tree as a polynomial in t, by its values at
 Gauss-Legendre nodes, which integrate it exactly; the leaves' polynomials are
 added up on the way back (Yu et al., "Linear TreeShap", 2022).  An edge divides
 its feature's earlier factor out and multiplies its own in, and settles its
-feature's share of all leaves below it at once, so a row visits every edge of a
-tree twice, whole batches of rows together.
+feature's share of all leaves below it at once.  Every edge of a tree is visited
+twice, with one row of each cell between that tree's own cuts, whole batches of
+them together.
 """
 
 from __future__ import annotations
@@ -141,21 +142,36 @@ def _tree(table: pd.DataFrame, weight: float, classes: int, code: int) -> Tree:
 
 def tree_attributions(tree: Tree, x: np.ndarray):
     """(phi rows x features x outputs, base outputs, output rows x outputs) of one tree."""
-    n, outputs = len(x), tree.value.shape[1]
-    phi, output = np.zeros((n, x.shape[1], outputs)), np.zeros((n, outputs))
+    first, place = _own_cells(tree, x)
+    outputs = tree.value.shape[1]
+    # Rows come last, so that every step goes through them side by side.
+    phi, output = np.zeros((x.shape[1], outputs, len(first))), np.zeros((outputs, len(first)))
     t, weights = np.polynomial.legendre.leggauss(tree.slots // 2 + 1)
     t, weights = (t + 1) / 2, weights / 2
     step = max(1, CELL_LIMIT // (len(t) * outputs))
-    for first in range(0, n, step):
-        rows = slice(first, first + step)
-        _down_and_up(tree, x[rows], t, weights, phi[rows], output[rows])
-    return phi, tree.base, output
+    for start in range(0, len(first), step):
+        rows = slice(start, start + step)
+        _down_and_up(tree, np.ascontiguousarray(x[first[rows]].T), t, weights, phi[..., rows], output[:, rows])
+    return phi.transpose(2, 0, 1)[place], tree.base, output.T[place]
+
+
+def _own_cells(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each of the cells between this tree's cuts, and the cell of every row: one tree has fewer cuts than all."""
+    place, room = np.zeros(len(x), dtype=np.int64), 1
+    for feature in np.unique(tree.feature[tree.feature >= 0]):
+        cuts = np.unique(tree.cut[tree.feature == feature])
+        if room * (len(cuts) + 1) >= 1 << 62:
+            place = np.unique(place, return_inverse=True)[1]
+            room = len(x)
+        place = place * (len(cuts) + 1) + np.searchsorted(cuts, x[:, feature], side="left")
+        room *= len(cuts) + 1
+    return np.unique(place, return_index=True, return_inverse=True)[1:]
 
 
 def _down_and_up(tree: Tree, x: np.ndarray, t: np.ndarray, weights: np.ndarray, phi: np.ndarray, output: np.ndarray) -> None:
-    """Add a tree's attributions and output for some rows; holds what stands on one path of the tree."""
-    n, outputs = phi.shape[0], phi.shape[2]
-    product, total, reached = {0: np.ones((n, len(t)))}, {}, {0: np.ones(n, dtype=bool)}
+    """Add a tree's attributions and output for some rows, which come last in all arrays; holds what stands on one path of the tree."""
+    n = x.shape[1]
+    product, total, reached = {0: np.ones((len(t), n))}, {}, {0: np.ones(n, dtype=bool)}
     hit, factor, gain, compared = {}, {}, {}, {}
 
     def leave(i: int) -> None:
@@ -166,7 +182,8 @@ def _down_and_up(tree: Tree, x: np.ndarray, t: np.ndarray, weights: np.ndarray,
         if parent < 0:
             return
         change = gain.pop(i) if before < 0 else gain.pop(i) - gain[before]
-        phi[:, feature] += np.matmul((change * weights)[:, None, :], below)[:, 0]
+        for part, own, weight in zip(change, below, weights):
+            phi[feature] += weight * part * own
         total[parent] = total[parent] + below if parent in total else below
         del hit[i], factor[i]
 
@@ -178,17 +195,17 @@ def _down_and_up(tree: Tree, x: np.ndarray, t: np.ndarray, weights: np.ndarray,
             leave(path.pop())
         if parent >= 0:
             if parent not in compared:
-                compared[parent] = x[:, tree.feature[i]] <= tree.cut[i]
+                compared[parent] = x[tree.feature[i]] <= tree.cut[i]
             inside = compared[parent] if tree.left[i] else ~compared[parent]
             before, share = tree.before[i], tree.share[i]
             hit[i] = inside if before < 0 else inside & hit[before]
-            factor[i] = hit[i][:, None] * t + (1 - t) * share
-            gain[i] = (hit[i] - share)[:, None] / factor[i]
+            factor[i] = hit[i] * t[:, None] + ((1 - t) * share)[:, None]
+            gain[i] = (hit[i] - share) / factor[i]
             product[i] = product[parent] * factor[i] if before < 0 else product[parent] * (factor[i] / factor[before])
             reached[i] = reached[parent] & inside
         if tree.leaf[i]:
-            total[i] = product[i][:, :, None] * tree.value[i]
-            output[reached[i]] += tree.value[i]
+            total[i] = product[i][:, None, :] * tree.value[i][:, None]
+            output[:, reached[i]] += tree.value[i][:, None]
         path.append(i)
     while path:
         leave(path.pop())
@@ -232,11 +249,24 @@ def _with_cells(rows: DataFrame, values: list[str], cuts: list[np.ndarray]) -> t
         return pd.DataFrame(found)
 
     placed = rows.withColumn("_at", cells(*[F.col(v) for v in values]))
-    return placed.select(*rows.columns, *[F.col(f"_at.{k}").alias(k) for k in keys]), keys
+    return placed.select(*[named(c) for c in rows.columns], *[F.col(f"_at.{k}").alias(k) for k in keys]), keys
 
 
 def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> DataFrame:
-    """(row_id, class_id, feature, value, phi, base_value, output) of every row.
+    """(row_id, class_id, feature, value, phi, base_value, output) of every row."""
+    return listed_attributions(explained_rows(df, model, row_id, features), row_id, features)
+
+
+def listed_attributions(explained: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+    """Explained rows with a row per class and feature."""
+    each = explained.select(named(row_id), "values", F.inline("classes"))
+    listed = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("values").alias("value"), F.col("phi").alias("phi"))
+    return (each.select(named(row_id), "class_id", "base_value", "output", F.inline(listed))
+            .select(named(row_id), "class_id", "feature", "value", "phi", "base_value", "output"))
+
+
+def explained_rows(df: DataFrame, model, row_id: str, features: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, kept columns, values, classes) of every row; classes is an array of (class_id, base_value, output, phi), phi and values an array by feature.
 
     Rows between the same cuts of all trees have the same attributions: these are found once per cell and joined to
     all its rows.  Cells are dealt to lanes of bounded size, trees to groups of bounded size, and every lane meets
@@ -252,13 +282,13 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
     parts = groups.agg(F.max("_part")).first()[0] + 1
     cuts, outputs = _cuts(trees, len(features))
     values = [f"_x{i}" for i in range(len(features))]
-    plain = df.select(named(row_id).alias(row_id), *[named(f).cast("double").alias(v) for f, v in zip(features, values)])
+    plain = df.select(named(row_id).alias(row_id), *[named(c) for c in keep], *[named(f).cast("double").alias(v) for f, v in zip(features, values)])
     placed, keys = _with_cells(plain, values, cuts)
     placed = materialise(placed, "explained")
     # Any values of a cell stand for it; a minimum needs no sort.
     cells = materialise(placed.groupBy(*keys).agg(*[F.min(v).alias(v) for v in values]).select(*keys, F.array(*values).alias("_x")), "cells")
     count = cells.count()
-    lanes = max(1, -(-count // LANE_ROWS), min(2 * spark.sparkContext.defaultParallelism, count // LEAST_ROWS))
+    lanes = max(1, -(-count // LANE_ROWS), min(spark.sparkContext.defaultParallelism, count // LEAST_ROWS))
     # Cells are sent once per group of trees, and every tree once per lane.
     laned = (cells.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int"))
              .withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
@@ -290,12 +320,11 @@ def attributions(df: DataFrame, model, row_id: str, features: list[str]) -> Data
         added = [F.sum(F.col("_phi")[i]).alias(f"_p{i}") for i in range(len(features))]
         table = (table.groupBy(*keys, "class_id").agg(F.sum("base_value").alias("base_value"), F.sum("output").alias("output"), *added)
                  .select(*keys, "class_id", "base_value", "output", F.array(*[F.col(f"_p{i}") for i in range(len(features))]).alias("_phi")))
-    table = materialise(table, "attributions")
+    own = F.struct("class_id", "base_value", "output", F.col("_phi").alias("phi"))
+    table = materialise(table.groupBy(*keys).agg(F.sort_array(F.collect_list(own)).alias("classes")), "attributions")
     if count * outputs * 8 * (len(features) + len(keys) + 6) <= SMALL_BYTES:
         table = F.broadcast(table)
-    listed = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.array(*values).alias("value"), F.col("_phi").alias("phi"))
-    long = placed.join(table, keys).select(named(row_id), "class_id", "base_value", "output", F.inline(listed))
-    return long.select(named(row_id), "class_id", F.col("feature"), F.col("value"), F.col("phi"), "base_value", "output")
+    return placed.join(table, keys).select(named(row_id), *[named(c) for c in keep], F.array(*values).alias("values"), "classes")
 
 
 def global_importance(phi: DataFrame, top: int = 15) -> DataFrame:

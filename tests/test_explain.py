@@ -65,6 +65,39 @@ def test_tree_values_equal_subset_enumeration(depth, features):
     assert base[0] == pytest.approx(expectation(0, tree, x[0], set()))
 
 
+def test_a_tree_goes_through_one_row_of_each_of_its_cells(monkeypatch):
+    rng = np.random.default_rng(5)
+    tree, x = as_table(grow(rng, 4, 3)), rng.normal(size=(5_000, 3))
+    x[0, 1], x[1, 2], x[2, 0] = np.nan, np.inf, -np.inf
+    cells = np.prod([len(np.unique(tree.cut[tree.feature == f])) + 1 for f in range(3)])
+    seen, inner = [], explain._down_and_up
+    monkeypatch.setattr(explain, "_down_and_up", lambda *args: (seen.append(args[-1].size), inner(*args)))
+    phi, base, output = explain.tree_attributions(tree, x)
+    assert sum(seen) <= cells < 1_000
+    assert np.allclose(base + phi.sum(axis=1), output)
+    alone = [explain.tree_attributions(tree, x[i:i + 1])[0][0] for i in range(50)]
+    assert np.allclose(phi[:50], alone)
+
+
+def test_cells_of_a_tree_with_more_cuts_than_fit_a_number():
+    rng = np.random.default_rng(6)
+    features, cuts = 40, 3
+    # A chain that tests every feature at several cuts: 4 to the 40th cells.
+    chain, number, cover = {}, 0, 10_000
+    for step in range(features * cuts):
+        chain[number] = {"cover": cover, "left": 2 * step + 1, "right": 2 * step + 2, "feature": step % features, "cut": rng.normal() - 2}
+        chain[2 * step + 1] = {"cover": 10, "left": None, "value": rng.normal()}
+        number, cover = 2 * step + 2, cover - 10
+    chain[number] = {"cover": cover, "left": None, "value": rng.normal()}
+    tree, x = as_table(chain), rng.normal(size=(300, features))
+    x[150:] = x[:150]
+    first, place = explain._own_cells(tree, x)
+    assert len(first) <= 150 and (place[150:] == place[:150]).all()
+    for f in range(features):
+        for cut in tree.cut[tree.feature == f]:
+            assert ((x[first[place], f] <= cut) == (x[:, f] <= cut)).all()
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(0)
@@ -194,3 +227,14 @@ def test_missing_values_and_many_features_are_explained(spark, monkeypatch, smal
     for r in own:
         assert total[r.row_id, 1] == pytest.approx(r.score[1], abs=1e-9)
     assert phi.filter((F.col("feature") == "f1") & F.col("value").isNull()).count() == 2 * len(range(0, 400, 3))
+
+
+def test_additivity_shuffles_no_attributions(spark):
+    from flowsieve.queries import learning, load_all
+
+    load_all()
+    gaps = learning.attribution_additivity(spark, "/root/testdata/sf0.001")
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(class_id" in plan and "hashpartitioning(row_id" not in plan and "SortMergeJoin" not in plan
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert sorted((r.class_id, r.n, r.largest_gap) for r in gaps.collect()) == [(c, events, 0.0) for c in range(5)]
