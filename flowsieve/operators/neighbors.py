@@ -51,6 +51,7 @@ MAX_PIVOTS = 65_536    # over all classes
 PIVOT_BYTES = 64 << 20 # with the line above, bounds what every task holds
 DEAL = 32              # blocks of codes a task compares a block of vectors with
 MAX_TASKS = 20_000     # tasks that blocks of vectors meet blocks of codes in
+HELD = 500_000         # distances a task computes at once, and candidates it keeps before it goes through them again
 SLACK = 2e-9           # twice the rounding step of distances
 INNER_MARKS = 127      # marks of a dimension at equal shares of units, and as many at equal steps
 
@@ -67,7 +68,7 @@ def nearest_ids(queries, points, id_ranks, offsets, count, limit=None):
     x = points - centre
     x_norm = np.einsum("ij,ij->i", x, x)
     keep = min(count, len(points))
-    step = max(1, 4_000_000 // max(1, len(points)))
+    step = max(1, HELD // max(1, len(points)))
     found = []
     for start in range(0, len(queries), step):
         part = queries[start:start + step]
@@ -138,7 +139,7 @@ class _Cells:
         """Cell and radius of every row of one class."""
         cells = self.members[cls]
         cell, radius = np.empty(len(vectors), dtype=np.int32), np.empty(len(vectors))
-        step = max(1, 4_000_000 // len(cells))
+        step = max(1, HELD // len(cells))
         for s in range(0, len(vectors), step):
             best = self.squares(vectors[s:s + step], cells)[0].argmin(axis=1)
             cell[s:s + step] = cells[best]
@@ -152,7 +153,7 @@ class _Cells:
         size, low, high = self.size[cells], self.low[cells], self.high[cells]
         between = np.linalg.norm(self.matrix[cells] - self.matrix[own], axis=1)
         mine = np.nonzero(cells == own)[0][0]
-        step = max(1, 2_000_000 // len(cells))
+        step = max(1, HELD // len(cells))
         asked = np.zeros(len(cells), dtype=bool)
         for s in range(0, len(vectors), step):
             square, error = self.squares(vectors[s:s + step], cells)
@@ -477,7 +478,14 @@ def surviving(asked, reach, blocks, count):
     best = np.full((len(asked), count), np.inf)
     limit = np.array(reach, dtype=np.float64)
     norms = np.einsum("ij,ij->i", asked, asked)
-    found = []
+    found, size, most_held = [], 0, HELD
+
+    def near():
+        """What was found and still is within the limits, which only fall."""
+        rows, uids, lower, upper = (np.concatenate(c) for c in zip(*found))
+        still = lower * (1 - 1e-12) <= limit[rows] + SLACK
+        return rows[still], uids[still], lower[still], upper[still]
+
     for points, slips, ids in blocks:
         # Only what lies at the other side's border can be in reach of it.
         at = np.nonzero(_outside(asked, points) - slips.max() <= (limit + SLACK) * (1 + 1e-9))[0]
@@ -490,7 +498,7 @@ def surviving(asked, reach, blocks, count):
         points, slips, ids = points[border], slips[border], ids[border]
         sizes = np.einsum("ij,ij->i", points, points)
         error = 1e-14 * (points.shape[1] + 4) * (norms.max() + sizes.max())
-        step = max(1, 4_000_000 // len(points))
+        step = max(1, HELD // len(points))
         for s in range(0, len(at), step):
             part = at[s:s + step]
             square = norms[part, None] + sizes[None, :] - 2.0 * (asked[part] @ points.T)
@@ -502,9 +510,12 @@ def surviving(asked, reach, blocks, count):
             lower = np.sqrt(np.maximum(square - error, 0.0)) - slips
             row, col = np.nonzero(lower * (1 - 1e-12) <= limit[part, None] + SLACK)
             found.append((part[row], ids[col], lower[row, col], upper[row, col]))
+            size += len(row)
+            if size > most_held:
+                found = [near()]
+                size = len(found[0][0])
+                most_held = max(HELD, 2 * size)
     if not found:
         nothing = np.empty(0, dtype=np.int64)
         return nothing, nothing, np.empty(0), np.empty(0)
-    rows, uids, lower, upper = (np.concatenate(c) for c in zip(*found))
-    near = lower * (1 - 1e-12) <= limit[rows] + SLACK
-    return rows[near], uids[near], lower[near], upper[near]
+    return near()
