@@ -47,11 +47,12 @@ WIDTH = 50
 GRAM = 16
 REACH = WIDTH - GRAM
 SPAN = REACH + WIDTH
-# Bytes hashed at once, anchors settled at once, contexts sorted at once and at most per window.
-PIECE = 1 << 20
-SETTLED = 1 << 20
+# Bytes hashed at once, anchors settled at once, contexts sorted at once and at most per window, bytes written at once.
+PIECE = 1 << 18
+SETTLED = 1 << 19
 CHUNK = 20_000
 GROUP = 20_000
+WRITTEN = 4 << 20
 # A place holds a position and, above these bits, the number of the text among those of its id.
 PLACE_BITS = 40
 
@@ -349,18 +350,41 @@ def _extent_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(pd.concat(held, ignore_index=True))
 
 
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(first, last, fields) of a list of structs: where each row's entries stand in the fields, which hold those of all rows.
+
+    Numbers stay in arrays; as objects of Python a batch's entries would take some hundred bytes each.
+    """
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    last = np.cumsum(sizes)
+    entries = column.flatten()
+    return last - sizes, last, [entries.field(name).to_numpy(zero_copy_only=False) for name in names]
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc, place, before, after): the bytes around the wanted windows of each text."""
+    """(window, doc, place, before, after): the bytes around the wanted windows of each text, at most CHUNK rows and one text's at once."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def written(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)],
+                                          names=["window", "doc", "place", "before", "after"])
+
     for batch in batches:
+        docs, numbers = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        first, last, (windows, places) = _listed(batch.column(3), "window", "place")
         rows = []
-        for doc, number, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for want in wanted:
-                if want["place"] >> PLACE_BITS == number:
-                    at = want["place"] & ((1 << PLACE_BITS) - 1)
-                    rows.append((want["window"], doc, want["place"], text[max(0, at - REACH):at], text[at:at + WIDTH]))
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["window", "doc", "place", "before", "after"])
+        for i in range(len(docs)):
+            own = np.flatnonzero(places[first[i]:last[i]] >> PLACE_BITS == numbers[i]) + first[i]
+            text = batch.column(2)[i].as_py()
+            for low in range(0, len(own), CHUNK):
+                part = own[low:low + CHUNK]
+                for window, place in zip(windows[part].tolist(), places[part].tolist()):
+                    at = place & ((1 << PLACE_BITS) - 1)
+                    rows.append((window, docs[i], place, text[max(0, at - REACH):at], text[at:at + WIDTH]))
+                if len(rows) >= CHUNK:
+                    yield written(rows)
+                    rows = []
+        yield written(rows)
 
 
 def removed_spans(size: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -375,21 +399,32 @@ def removed_spans(size: int, spans: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 def _deduplicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, spans, kept), about WRITTEN bytes and CHUNK spans at once."""
+    span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def written(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.int64(), span, pa.binary()))],
+                                          names=["doc_id", "n_bytes", "spans", "kept"])
+
     for batch in batches:
-        rows = []
-        for doc, number, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            text = text or b""
-            runs = removed_spans(len(text), [(s["first"], s["last"]) for s in spans or () if s["number"] == number])
+        numbers = batch.column(1).to_numpy(zero_copy_only=False)
+        begin, end, (of, firsts, lasts) = _listed(batch.column(3), "number", "first", "last")
+        rows, size = [], 0
+        for i in range(batch.num_rows):
+            text = batch.column(2)[i].as_py() or b""
+            own = np.flatnonzero(of[begin[i]:end[i]] == numbers[i]) + begin[i]
+            runs = removed_spans(len(text), list(zip(firsts[own].tolist(), lasts[own].tolist())))
             kept, at = [], 0
             for first, last in runs:
                 kept.append(text[at:first])
                 at = last
             kept.append(text[at:])
-            rows.append((doc, len(text), [{"first": a, "last": b} for a, b in runs], b"".join(kept)))
-        columns = list(zip(*rows)) or [[]] * 4
-        span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), span, pa.binary()))],
-                                         names=["doc_id", "n_bytes", "spans", "kept"])
+            rows.append((batch.column(0)[i].as_py(), len(text), [{"first": a, "last": b} for a, b in runs], b"".join(kept)))
+            size += len(text) + WRITTEN // CHUNK * len(runs)
+            if size >= WRITTEN:
+                yield written(rows)
+                rows, size = [], 0
+        yield written(rows)
 
 
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

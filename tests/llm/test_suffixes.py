@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowsieve.llm import suffixes
@@ -86,3 +87,27 @@ def test_suffixes_are_sorted_also_if_all_hashes_collide(collide):
         (g, a), (h, b) = words[order[at - 1]], words[order[at]]
         same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert shared[at] == (same if g == h else 0)
+
+
+def test_batches_of_many_entries_are_written_in_parts(monkeypatch):
+    """A batch's wanted windows and spans never become objects all at once."""
+    monkeypatch.setattr(suffixes, "CHUNK", 10)
+    monkeypatch.setattr(suffixes, "WRITTEN", 4000)
+    text, mark = bytes(range(200)) * 5, 1 << suffixes.PLACE_BITS
+    wanted = [[{"window": w, "place": 40 * w + (mark if w % 4 == 3 else 0)} for w in range(20)] for _ in range(6)]
+    kind = pa.list_(pa.struct([("window", pa.int64()), ("place", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([0] * 6, pa.int32()), pa.array([text] * 6, pa.binary()), pa.array(wanted, kind)],
+                                       names=["doc", "number", "text", "wanted"])
+    parts = list(suffixes._context_rows([batch]))
+    assert max(p.num_rows for p in parts) <= 25 and len(parts) > 3
+    found = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert found == [(w, d, 40 * w, text[max(0, 40 * w - suffixes.REACH):40 * w], text[40 * w:40 * w + suffixes.WIDTH]) for d in range(6) for w in range(20) if w % 4 != 3]
+    kind = pa.list_(pa.struct([("number", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
+    spans = [None, [], *[[{"number": n % 2, "first": 60 * n, "last": 60 * n + 20} for n in range(10)]] * 6]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(7)], pa.int64()), pa.array([0] * 8, pa.int32()), pa.array([text] * 7 + [None], pa.binary()), pa.array(spans, kind)],
+                                       names=["doc", "number", "text", "spans"])
+    parts = list(suffixes._deduplicated([batch]))
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert len(parts) > 1 and [r["doc_id"] for r in rows] == [None, *range(7)] and rows[0]["kept"] == rows[1]["kept"] == text
+    assert all(r["spans"] == [{"first": 60 * n, "last": 60 * n + 20} for n in range(0, 10, 2)] and len(r["kept"]) == 900 for r in rows[2:7])
+    assert rows[7] == {"doc_id": 6, "n_bytes": 0, "spans": rows[7]["spans"], "kept": b""}
